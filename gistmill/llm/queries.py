@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, classifier, mixing, packing, rules, secrets, warc
+from . import balltree, classifier, mixing, packing, partenum, rules, secrets, warc
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.join(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def op6_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_poisson_mixing, op3_warc_segments, op4_sum_of_squares_packing, op6_adaptive_quality_rules, op8_quality_classifier, op10_ball_tree_top_k)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_poisson_mixing, op3_warc_segments, op4_sum_of_squares_packing, op5_partenum_join, op6_adaptive_quality_rules, op8_quality_classifier, op10_ball_tree_top_k)}
 
 
 OP3 = """

@@ -28,6 +28,8 @@ WINDOW = 5
 LEAST_GROUP = 200
 #: Fences lie this many quartile ranges outside the quartiles, and never closer than the slack, in thousandths.
 REACH = 4.0
+#: Fences move out by this over the root of the number of words, in parts of their distance.
+SHORT = 6.0
 SLACK = {"word_length": 1500, "symbols": 100, "dup_lines": 250, "repeats": 100}
 
 
@@ -98,7 +100,7 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bucket(value: Column) -> Column:
     """Sketch bucket of a whole number from 0: exact below 32, then 16 buckets for each doubling."""
     shift = F.greatest(F.floor(F.log2(F.greatest(value, F.lit(1)).cast("double"))).cast("int") - 4, F.lit(0))
-    return (F.expr("0") + shift * 16 + F.call_function("shiftright", value, shift)).cast("int")
+    return (shift * 16 + F.call_function("shiftright", value, shift)).cast("int")
 
 
 def bucket_top(b: Column) -> Column:
@@ -124,9 +126,9 @@ def quantiles(sketch: DataFrame, keys: list[str], shares: dict[str, float]) -> D
 def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     q = quantiles(sketch, keys, {"q1": 0.25, "q3": 0.75})
     slack = F.create_map(*[x for name, v in SLACK.items() for x in (F.lit(name), F.lit(float(v)))])[F.col("ratio")]
-    room = F.greatest(REACH * (F.col("q3") - F.col("q1")), slack)
     names = list(SLACK)
-    return q.withColumn("low", F.col("q1") - room).withColumn("high", F.col("q3") + room).groupBy(*keys).agg(F.max("docs").alias("docs"), *(F.max(F.when(F.col("ratio") == n, F.struct("low", "high"))).alias(n) for n in names))
+    q = q.withColumn("room", F.greatest(REACH * (F.col("q3") - F.col("q1")), slack))
+    return q.withColumn("low", F.col("q1") - F.col("room")).withColumn("high", F.col("q3") + F.col("room")).groupBy(*keys).agg(F.max("docs").alias("docs"), *(F.max(F.when(F.col("ratio") == n, F.struct("low", "high", "room"))).alias(n) for n in names))
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -156,14 +158,15 @@ def judge(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     own = renamed(_fences(sketch, ["lang", "source"]), "own")
     lang = renamed(_fences(add(["lang"]), ["lang"]), "lang")
     every = renamed(_fences(add(["one"]), ["one"]), "all").drop("one")
-    # languages and the one row for everything are few beside the groups; the joined table has a row per group
-    # kept has one row per group, so the join with documents is left to the planner, which splits hot groups
+    # a row per group, and one row for everything; the join with the documents is the planner's, which splits hot groups
     limits = own.join(lang, "lang").crossJoin(F.broadcast(every))
     joined = measured.join(limits, ["lang", "source"], "left")
 
     def inside(n: str) -> Column:
+        # the ratios of a short text scatter more, so its fences are wider
         fence = F.when(F.col("own_docs") >= least_group, F.col(f"own_{n}")).when(F.col("lang_docs") >= least_group, F.col(f"lang_{n}")).otherwise(F.col(f"all_{n}"))
-        return F.coalesce(F.col(n).between(fence["low"], fence["high"]), F.lit(True))
+        wider = fence["room"] * (SHORT / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double")))
+        return F.coalesce(F.col(n).between(fence["low"] - wider, fence["high"] + wider), F.lit(True))
 
     kept = ~F.col("base_failed")
     for n in names:
