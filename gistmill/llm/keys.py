@@ -4,7 +4,8 @@ Signatures, bands and anchors come by the hundred for every document, and nearly
 would outweigh the text several times. Here a task packs about a million (key, id) pairs, sorted by key and dealt to
 buckets by key range, into one compressed blob per bucket, about six bytes a pair; a bucket's blobs are merged with
 numpy and only the shared keys come back as rows. A key that many ids of one task share is not sent with all of them:
-its ids leave the task as rows of their own, and the merge sees two of them, so no task gathers a hot key.
+its ids are sent as a row of their own that any merging task hands on, and the key's bucket sees two of them, so no task
+gathers a hot key.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import mix64
 
@@ -28,8 +29,6 @@ KEY_BITS = 48
 
 PACKED = [("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("hot", pa.binary()), ("key", pa.int64()), ("members", pa.list_(pa.int64()))]
 PACKED_SQL = "bucket int, keys binary, ids binary, hot binary, key long, members array<long>"
-#: A batch without packed rows, for tasks that emit other rows beside them.
-EMPTY = {name: None for name, _ in PACKED}
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -79,7 +78,7 @@ class Packer:
                 rows[name].append(given.get(name))
 
         for a, n in zip(starts[hot].tolist(), sizes[hot].tolist(), strict=True):
-            row(key=int(keys[a]), members=ids[a : a + n])
+            row(bucket=int(ids[a]) % self.buckets, key=int(keys[a]), members=ids[a : a + n])
         hot_keys = keys[starts[hot]]
         kept = (nth < 2) | ~np.repeat(hot, sizes)
         keys, ids = keys[kept], ids[kept]
@@ -98,6 +97,10 @@ def batch_of(rows: dict[str, list]) -> list[pa.Array]:
 
 def _merge(alike: bool):
     def run(table: pa.Table) -> pa.Table:
+        direct = table.filter(pc.is_valid(table["members"])).select(["key", "members"])
+        table = table.filter(pc.is_valid(table["keys"]))
+        if not table.num_rows:
+            return direct
         keys = np.concatenate([np.cumsum(_unsqueeze(x)) for x in table["keys"].to_pylist()])
         ids = np.concatenate([_unsqueeze(x) for x in table["ids"].to_pylist()])
         hot = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in table["hot"].to_pylist()]))
@@ -117,7 +120,8 @@ def _merge(alike: bool):
             keep &= first
         chosen = np.repeat(keep, sizes)
         offsets = np.concatenate([[0], np.cumsum(sizes[keep])])
-        return pa.table({"key": pa.array(names[keep], pa.int64()), "members": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[chosen], pa.int64()))})
+        found = pa.table({"key": pa.array(names[keep], pa.int64()), "members": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[chosen], pa.int64()))})
+        return pa.concat_tables([found, direct.cast(found.schema)])
 
     return run
 
@@ -125,11 +129,7 @@ def _merge(alike: bool):
 def shared(packed: DataFrame, alike: bool = False) -> DataFrame:
     """(key, members) rows for keys under more than one id; a key's ids are all members of its rows together.
 
-    alike: keys with the same set of ids are given once, under a negative number in place of the key. Members may come
-    under one key several times.
+    alike: keys with the same set of ids are given once a bucket, under one negative number in place of the key, so that
+    a distinct over the rows leaves them once. Members may come under one key several times.
     """
-    merged = packed.where("bucket is not null").select("bucket", "keys", "ids", "hot").groupBy("bucket").applyInArrow(_merge(alike), "key long, members array<long>")
-    direct = packed.where("members is not null").select("key", "members")
-    if alike:
-        merged = merged.groupBy("key").agg(F.first("members").alias("members")).where("key < 0").unionByName(merged.where("key >= 0"))
-    return merged.unionByName(direct)
+    return packed.where("bucket is not null").select(*(n for n, _ in PACKED)).groupBy("bucket").applyInArrow(_merge(alike), "key long, members array<long>")

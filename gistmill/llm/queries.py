@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, classifier, mixing, packing, partenum, rules, secrets, warc
+from . import balltree, classifier, mixing, packing, partenum, rules, secrets, suffix, warc
 from .common import table
 
 
@@ -45,12 +45,16 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_sorted_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_poisson_mixing, op3_warc_segments, op4_sum_of_squares_packing, op5_partenum_join, op6_adaptive_quality_rules, op8_quality_classifier, op10_ball_tree_top_k)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_poisson_mixing, op3_warc_segments, op4_sum_of_squares_packing, op5_partenum_join, op6_adaptive_quality_rules, op8_quality_classifier, op9_suffix_sorted_repeats, op10_ball_tree_top_k)}
 
 
 OP3 = """
