@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, classifier, mixing, packing, partenum, rules, secrets, suffix, warc
+from . import balltree, classifier, mixing, packing, paragraphs, partenum, rules, secrets, suffix, warc
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op6_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def op10_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_poisson_mixing, op3_warc_segments, op4_sum_of_squares_packing, op5_partenum_join, op6_adaptive_quality_rules, op8_quality_classifier, op9_suffix_sorted_repeats, op10_ball_tree_top_k)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_poisson_mixing, op3_warc_segments, op4_sum_of_squares_packing, op5_partenum_join, op6_adaptive_quality_rules, op7_paragraph_minhash, op8_quality_classifier, op9_suffix_sorted_repeats, op10_ball_tree_top_k)}
 
 
 OP3 = """
