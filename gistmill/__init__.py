@@ -1,0 +1 @@
+"""A Spark-native engine for mining needs from discussion-style text."""
