@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from functools import reduce
 from html import unescape
 
@@ -60,24 +61,24 @@ def grams(text: Column, size: int = 2) -> Column:
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def bag_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two short arrays."""
-    many = lambda bag, x: F.size(F.filter(bag, lambda y: y == x))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda total, x: total + F.least(many(a, x), many(b, x)))
+@F.pandas_udf("long")
+def bag_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Size of the multiset intersection of the character bigrams of two strings (Arrow UDF)."""
+    bag = lambda t: Counter(t[i : i + 2] for i in range(len(t) - 1))
+    return pd.Series([sum((bag(x or "") & bag(y or "")).values()) for x, y in zip(a, b, strict=True)])
 
 
 def bigram_dice(first: Column, second: Column) -> Column:
-    """Dice coefficient of character-bigram multisets; for fields, not for long texts (quadratic in distinct grams).
+    """Dice coefficient of character-bigram multisets.
 
     Both empty: 1; one empty: 0; one of a single character: whether they are equal. Null counts as empty.
     """
     a, b = (matching_form(F.coalesce(x, F.lit(""))) for x in (first, second))
-    dice = 2.0 * bag_overlap(grams(a), grams(b)) / (F.length(a) + F.length(b) - 2)
     return (
         F.when((a == "") & (b == ""), 1.0)
         .when((a == "") | (b == ""), 0.0)
         .when((F.length(a) < 2) | (F.length(b) < 2), (a == b).cast("double"))
-        .otherwise(dice)
+        .otherwise(2.0 * bag_overlap(a, b) / (F.length(a) + F.length(b) - 2))
     )
 
 

@@ -1,4 +1,4 @@
 """Named queries over the given tables."""
 
-from . import rollups  # noqa: F401
+from . import records, rollups, texts  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

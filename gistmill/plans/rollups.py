@@ -144,11 +144,11 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.average_precision(j, "label", "risk").withColumn("average_precision", F.round("average_precision", 6))
 
 
-@query(f"""WITH {S.CLAIMS}, c AS (SELECT report_id, round(avg(CASE verdict WHEN 'supported' THEN 100.0 WHEN 'partially' THEN 60.0 WHEN 'unverifiable' THEN 40.0 WHEN 'contradicted' THEN 15.0 ELSE 0.0 END * confidence + 50 * (1 - confidence)), 4) AS fact, count(*) FILTER (verdict = 'hallucination') AS h, count(*) FILTER (verdict IN ('hallucination', 'contradicted')) AS f FROM claims GROUP BY 1)
-  SELECT o_orderkey AS report_id, coalesce(fact, 50.0) AS fact, round(coalesce(fact, 50.0) * 0.45::DOUBLE + (o_orderkey % 100) * 0.30::DOUBLE + (o_custkey % 100) * 0.25::DOUBLE, 4) AS overall, coalesce(h, 0) AS hallucinations, coalesce(f, 0) AS flagged FROM orders LEFT JOIN c ON o_orderkey = report_id""")
+@query(f"""WITH {S.CLAIMS}, c AS (SELECT report_id, round(avg(CASE verdict WHEN 'supported' THEN 100.0 WHEN 'partially' THEN 60.0 WHEN 'unverifiable' THEN 40.0 WHEN 'contradicted' THEN 15.0 ELSE 0.0 END * confidence + 50 * (1 - confidence)), 6) AS fact, count(*) FILTER (verdict = 'hallucination') AS h, count(*) FILTER (verdict IN ('hallucination', 'contradicted')) AS f FROM claims GROUP BY 1)
+  SELECT o_orderkey AS report_id, coalesce(fact, 50.0) AS fact, round(coalesce(fact, 50.0) * 0.45::DOUBLE + (o_orderkey % 100) * 0.30::DOUBLE + (o_custkey % 100) * 0.25::DOUBLE, 6) AS overall, coalesce(h, 0) AS hallucinations, coalesce(f, 0) AS flagged FROM orders LEFT JOIN c ON o_orderkey = report_id""")
 def verification_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"), (F.col("o_orderkey") % 100).cast("double").alias("consistency"), (F.col("o_custkey") % 100).cast("double").alias("source"))
-    return A.verification_scores(S.claims(spark, sf_dir), reports, "report_id", digits=4)
+    return A.verification_scores(S.claims(spark, sf_dir), reports, "report_id", digits=6)
 
 
 @query("SELECT o_orderkey AS report_id, round(CASE WHEN f IS NULL THEN NULL ELSE (f * 0.45 + coalesce(c, 0) * 0.30 + coalesce(s, 0) * 0.25) / (0.45 + CASE WHEN c IS NULL THEN 0 ELSE 0.30 END + CASE WHEN s IS NULL THEN 0 ELSE 0.25 END) END, 4) AS score FROM (SELECT o_orderkey, CAST(nullif(o_orderkey % 5, 0) * 20 AS DOUBLE) AS f, CAST(nullif(o_custkey % 3, 0) * 30 AS DOUBLE) AS c, CAST(nullif(o_custkey % 4, 0) * 25 AS DOUBLE) AS s FROM orders)")
