@@ -10,6 +10,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 # Topics that a discussion about software does not have, in order of precedence in reasons.
 OFF_TOPIC = (
@@ -61,7 +62,7 @@ def grams(text: Column, size: int = 2) -> Column:
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def bag_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Size of the multiset intersection of the character bigrams of two strings (Arrow UDF)."""
     bag = lambda t: Counter(t[i : i + 2] for i in range(len(t) - 1))
@@ -97,13 +98,13 @@ def plain_text(html: Column) -> Column:
     return strip(reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, strip_tags(html)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_all(texts: pd.Series) -> pd.Series:
     """Every HTML entity, named or numbered (Arrow UDF)."""
     return texts.map(lambda t: None if t is None else unescape(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility composition (Arrow UDF)."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Price per million tokens (input, input from cache, output) by model.
 PRICES = {
@@ -115,7 +116,7 @@ def _balanced(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def tolerant_json(texts: pd.Series) -> pd.Series:
     """JSON found in a model's reply, as text: whole, fenced, or the first balanced object or array (Arrow UDF)."""
 

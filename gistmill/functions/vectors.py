@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 DIMENSIONS = 384
@@ -39,7 +40,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def cosine_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same on Arrow batches with numpy, for long vectors of one length."""
     x, y = np.stack(a.to_numpy()).astype(float), np.stack(b.to_numpy()).astype(float)
