@@ -170,3 +170,21 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.jsonl").write_text('{"id": "1"}\n{"id": "1"}\n')
     with pytest.raises(ValueError):
         files.jsonl(spark, str(tmp_path / "d.jsonl"), "id string")
+
+
+def test_sinks(spark, tmp_path):
+    from gistmill.sources import sinks
+
+    docs = spark.createDataFrame([("One?", {"b": "2", "a": "1"}, "Body")], "title string, fields map<string,string>, body string")
+    sinks.write_documents(docs, str(tmp_path / "d"), "need")
+    sinks.write_documents(docs.withColumn("body", F.lit("New")), str(tmp_path / "d"), "need")
+    got = sinks.read_documents(spark.read.parquet(str(tmp_path / "d"))).first()
+    assert (got["stage"], got["filename"], got["body"]) == ("need", "One.md", "New")
+    assert docs.select(sinks.markdown(F.col("fields"), F.col("body"))).first()[0] == "---\na: 1\nb: 2\n---\nBody"
+    patch = spark.createDataFrame([("One.md", {"a": "9", "c": "3"})], "filename string, updates map<string,string>")
+    new = sinks.updated_fields(docs.withColumn("filename", F.lit("One.md")), patch).first()
+    assert new["fields"] == {"a": "9", "b": "2", "c": "3"}
+    rows = spark.createDataFrame([("x", "p", 1), ("y", "p", 2), ("z", "q", 3)], "id string, platform string, n int")
+    a = sinks.write_with_manifest(rows, str(tmp_path / "m"), "id", "platform").collect()
+    b = sinks.write_with_manifest(rows.repartition(3), str(tmp_path / "m"), "id", "platform").collect()
+    assert sorted(a) == sorted(b) and {r["platform"]: r["rows"] for r in a} == {"p": 2, "q": 1}
