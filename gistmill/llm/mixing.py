@@ -48,7 +48,7 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, size: Column
         weight = F.pow(F.col("size").cast("double"), power)
     weighed = sums.withColumn("weight", weight)
     total = weighed.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    rate = F.round(F.lit(epochs) * F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size"), 9)
+    rate = F.round(F.lit(epochs) * F.try_divide("weight", "all_weight") * F.col("all_size") / F.col("size"), 9)
     out = weighed.crossJoin(F.broadcast(total)).withColumn("rate", F.coalesce(rate, F.lit(0.0)))
     whole = F.greatest(F.ceil(F.col("rate") - LARGEST_MEAN), F.lit(0)).cast("int")
     return out.select("mix_source", F.col("rate"), whole.alias("whole"), poisson_steps(F.col("rate") - whole).alias("steps"))

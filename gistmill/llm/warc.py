@@ -181,7 +181,7 @@ def reassemble(records: DataFrame) -> DataFrame:
         F.max("total").alias("total"),
         F.max("segment").alias("last"),
     )
-    times = (F.size("parts") / F.col("last")).cast("int")
+    times = F.greatest((F.size("parts") / F.col("last")).cast("int"), F.lit(1))
     picked = F.filter("parts", lambda x, i: i % times == 0)
     block = F.aggregate(picked, F.lit(b""), lambda a, x: F.concat(a, x["block"]))
     whole = (F.size("parts") == times * F.col("last")) & F.coalesce(F.octet_length(block) == F.col("total"), F.lit(False)) & F.forall(picked, lambda x: x["segment"].isNotNull())
