@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +65,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def pack_text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, packed) from (doc_id, text): texts compressed for a shuffle, to about a third of what it would make of them."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for part in by_bytes(batches, "text"):
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([pack.compress(t) for t in part.column("text").cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "packed"])
+
+
+def unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)

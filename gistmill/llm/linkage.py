@@ -1,24 +1,31 @@
 """Components of verified links among ids that share keys, without forming all pairs of a group.
 
-In each round every group (a key and its ids) names a few pivots, and each pivot is compared with the group's ids that
-are not yet in its component. Verified pairs are contracted into components; groups whose ids are all in one component
-are done, the others go on with new pivots, four times as many each round. Every pair of a group is therefore compared
-or already connected when the rounds end, so no link between components is lost, while groups of copies are settled by
-one comparison per member.
+Sketches come first: counts of features per cell of the feature domain, whose L1 distance is never above the size of the
+symmetric difference. An id without a partner in its group whose sketch allows the threshold leaves the group, which
+rids it of chance members; only the whole sets of the ids that stay are ever made. Then every group compares its most
+central id, the one under the most keys, with the others; links are contracted into components, and groups whose ids
+are all in one are done. In the groups that are left, pairs of different components whose sketches allow the threshold
+are verified. So no link is lost, groups of copies are settled by one comparison per member, sketches are compared
+inside tasks, and large groups in blocks of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, mix64
 
-#: Groups are first ranked within so many parts, then across them, so that a hot group is no single task's.
-PARTS = 32
+#: Ids that are compared with each other at a time, and rows of a comparing task on average.
+BLOCK, TASK_ROWS = 1024, 20_000
+#: Cells of a sketch by size: about five features a cell, so that the distance of unlike sets stays near their size.
+CELLS = (64, 256, 1024, 4096)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,44 +48,135 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def first_of(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    """The first n rows of each group, ranked in parts and then among the parts' best."""
-    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
-    best = rows.withColumn("part", part).withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order))).where(F.col("nth") <= n)
-    return best.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("nth") <= n).drop("part", "nth")
+def sketch(features: np.ndarray) -> bytes:
+    """Counts of hashed features by cell, held at 255, which can only lower a distance.
+
+    Cells of a coarse sketch are unions of neighbouring cells of a fine one, so two sketches meet at the coarser size.
+    """
+    many = next((c for c in CELLS if len(features) <= 5 * c), CELLS[-1])
+    cells = (mix64(features) >> np.uint64(64 - (many.bit_length() - 1))).astype(np.int64)
+    return np.minimum(np.bincount(cells, minlength=many), 255).astype(np.uint8).tobytes()
+
+
+class Sketches:
+    """Sketches of many rows, folded to each number of cells for the rows that have as many."""
+
+    def __init__(self, rows: list[bytes]):
+        self.level = np.searchsorted(CELLS, [len(r) for r in rows])
+        self.tables, self.places = [], []
+        for k, cells in enumerate(CELLS):
+            have = np.flatnonzero(self.level >= k)
+            table = np.zeros((len(have), cells), np.int16)
+            for i, r in enumerate(have.tolist()):
+                table[i] = np.frombuffer(rows[r], np.uint8).reshape(cells, -1).sum(axis=1, dtype=np.int16)
+            place = np.full(len(rows), -1)
+            place[have] = np.arange(len(have))
+            self.tables.append(table)
+            self.places.append(place)
+
+    def near(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether the distance of rows x and y is at most `most`: coarse cells first, finer ones for those that pass."""
+        ok = np.ones(len(x), bool)
+        level = np.minimum(self.level[x], self.level[y])
+        for k, (table, place) in enumerate(zip(self.tables, self.places, strict=True)):
+            todo = np.flatnonzero(ok & (level >= k))
+            for at in range(0, len(todo), (1 << 21) // CELLS[k]):
+                own = todo[at : at + (1 << 21) // CELLS[k]]
+                ok[own] = np.abs(table[place[x[own]]] - table[place[y[own]]]).sum(axis=1, dtype=np.int64) <= most[own]
+        return ok
+
+
+def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("features")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.split(pc.list_flatten(lists).to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(sizes)[:-1])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array([sketch(c) for c in cuts][: len(sizes)], pa.binary())], ["id", "n", "sketch"])
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """(id, n, sketch) of (id, features) rows."""
+    return sets.select("id", "features").mapInArrow(_sketch, "id long, n long, sketch binary")
+
+
+def _near(num: int, den: int, pairs: bool):
+    """Of rows in groups, those that have a partner whose sketch allows a Jaccard similarity of num/den.
+
+    pairs: the pairs themselves, of different components only, in place of (key, id) rows.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        group, ids, n, component = (np.ascontiguousarray(table[c].to_numpy()) for c in ("group", "id", "n", "component"))
+        order = np.lexsort((ids, group))
+        group, ids, n, component = group[order], ids[order], n[order], component[order]
+        raw = table["sketch"].to_pylist()
+        known = Sketches([raw[k] for k in order.tolist()])
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        sizes = np.diff(np.append(starts, len(group)))
+        after = np.repeat(starts + sizes, sizes) - np.arange(len(group))  # rows from this one to the end of its group
+        near, found = np.zeros(len(group), bool), [np.zeros((2, 0), np.int64)]
+        active, step = np.arange(len(group)), 0
+        while len(active):
+            step += 1
+            active = active[after[active] > step]
+            for at in range(0, len(active), 1 << 15):
+                x = active[at : at + (1 << 15)]
+                y = x + step
+                ok = known.near(x, y, (n[x] + n[y]) * (den - num) // (den + num))
+                if pairs:
+                    ok &= component[x] != component[y]
+                    found.append(np.stack([ids[x[ok]], ids[y[ok]]]))
+                else:
+                    near[x[ok]] = near[y[ok]] = True
+        if pairs:
+            both = np.unique(np.concatenate(found, axis=1), axis=1)
+            return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+        keys = table["key"].to_numpy()[order]
+        return pa.table({"key": pa.array(keys[near], pa.int64()), "id": pa.array(ids[near], pa.int64())})
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (key, id) dealt to groups: a key's blocks of bounded size in pairs, so that every two ids meet in one group."""
+    blocked = rows.join(sizes.select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "key")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    spread = blocked.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumn("group", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).drop("block", "other", "blocks")
+
+
+def _compared(rows: DataFrame, known: DataFrame, many: int, num: int, den: int, pairs: bool) -> DataFrame:
+    """`_near` of rows (key, id, component, group) with sketches known."""
+    placed = rows.withColumn("task", F.pmod("group", F.lit(max(1, math.ceil(many / TASK_ROWS)))).cast("int"))
+    seen = placed.join(known.select("id", "n", "sketch"), "id").select("task", "group", "key", "id", "component", "n", "sketch")
+    return seen.groupBy("task").applyInArrow(_near(num, den, pairs), "a long, b long" if pairs else "key long, id long")
 
 
-def linked(groups: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, component) of the ids that `verify` links, directly or through others.
+def linked(groups: DataFrame, known: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], num: int, den: int) -> DataFrame:
+    """(id, component) of the ids that are linked, directly or through others.
 
-    groups: (key, members) rows; a key's ids may be spread over rows. verify: takes (a, b) rows, a < b, distinct, and
-    returns those that are linked.
+    groups: (key, members) rows; a key's ids may be spread over rows. known: (id, n, sketch) of every id. verifier:
+    takes the ids worth a comparison and gives a function of (a, b) rows, a < b, that returns those that are linked;
+    links must have a Jaccard similarity of num/den or more.
     """
     members = cut(groups.select("key", F.explode("members").alias("id")).distinct(), "members")
-    # the first round needs no components: each group's smallest id is compared with the rest
-    pivots = members.groupBy("key").agg(F.min("id").alias("pivot"))
-    pairs = members.join(pivots, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    tested = cut(pairs, "pairs")
-    found = cut(verify(tested), "links")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    first = _in_blocks(members, sizes).withColumn("component", F.lit(0).cast("long"))
+    members = cut(_compared(first, known, members.count(), num, den, False).distinct(), "near")
+    verify = verifier(members.select("id").distinct())
+    degree = members.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    central = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("back"))).alias("c"))
+    pivots = cut(central.select("key", (-F.col("c.back")).alias("pivot")), "pivots")
+    ends = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
+    found = cut(verify(members.join(pivots, "key").where("id <> pivot").select(*ends).distinct()), "links")
     labels = components(found)
-    # a row of `members` leaves once its id was a pivot of the key
+    # the central id of a key is done there: it was compared with all others
     left = members.join(pivots.withColumnRenamed("pivot", "id"), ["key", "id"], "left_anti")
-    many = 4
-    while True:
-        known = left.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        open_keys = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        left = cut(known.join(open_keys, "key", "left_semi"), "open")
-        if left.isEmpty():
-            return labels
-        sizes = left.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        # ids of small components first: they are the ones that a large component has yet to be compared with
-        chosen = cut(first_of(left.join(sizes, "component"), ["key"], ["size", "id"], many).select("key", F.col("id").alias("pivot"), F.col("component").alias("own")), "pivots")
-        pairs = left.join(chosen, "key").where("component <> own").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        fresh = cut(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(fresh)
-        more = cut(verify(fresh), "links")
-        if not more.isEmpty():
-            found = found.unionByName(more)
-            labels = components(found)
-        left = left.select("key", "id").join(chosen.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
-        many *= 4
+    named = left.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    open_keys = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("many")).where("least < most")
+    rest = cut(_in_blocks(named, open_keys), "open")
+    many = rest.count()
+    if not many:
+        return labels
+    more = cut(verify(_compared(rest, known, many, num, den, True).distinct()), "links")
+    return labels if more.isEmpty() else components(found.unionByName(more))

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import keys
-from .common import by_bytes, cut, mix64, text_bytes
-from .linkage import linked
+from .common import by_bytes, cut, mix64, pack_text, text_bytes, unpack
+from .linkage import linked, sketch
 from .words import shingle_sets
 
 #: Upper ends of size bands grow by this factor.
@@ -99,8 +99,8 @@ def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-PROFILE = [("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]
-PROFILE_SQL = "doc_id long, n long, low long, high long"
+PROFILE = [("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("sketch", pa.binary())]
+PROFILE_SQL = "doc_id long, n long, low long, high long, sketch binary"
 
 
 def _profile(size: int, num: int, den: int, buckets: int):
@@ -118,7 +118,7 @@ def _profile(size: int, num: int, den: int, buckets: int):
             signed, owners = [], []
             for doc, own in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), size), strict=True):
                 name = xxhash.xxh3_128_intdigest(own.tobytes())
-                for n, v in zip(rows, (doc, len(own), (name & (1 << 64) - 1) - (1 << 63), (name >> 64) - (1 << 63)), strict=True):
+                for n, v in zip(rows, (doc, len(own), (name & (1 << 64) - 1) - (1 << 63), (name >> 64) - (1 << 63), sketch(own)), strict=True):
                     rows[n].append(v)
                 if doc is not None and name not in seen and len(own):  # equal sets are one; a task signs the first
                     if len(seen) > 200_000:
@@ -139,8 +139,9 @@ def _profile(size: int, num: int, den: int, buckets: int):
 
 def _sets(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_bytes(batches, "text"):
-            sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), size)]
+        for part in by_bytes(batches, "packed", 1 << 20):
+            texts = pa.array([unpack(x).decode() for x in part.column("packed").to_pylist()], pa.string())
+            sets = [s.view(np.int64) for s in shingle_sets(texts, size)]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]), pa.int64()))], ["id", "features"])
 
@@ -161,27 +162,30 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     pairs = total / 6 * 5.1 * (den - num) / (den + num)
     both = cut(plain.mapInArrow(_profile(size, num, den, keys.bucket_count(pairs)), f"{PROFILE_SQL}, {keys.PACKED_SQL}"), "profile")
     profile = both.where("n is not null").select(*(n for n, _ in PROFILE))
-    known = profile.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "low", "high")).alias("s")).select("doc_id", "s.*")
+    known = profile.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "low", "high", "sketch")).alias("s")).select("doc_id", "s.*")
     classes = known.groupBy("n", "low", "high").agg(F.min("doc_id").alias("rep"))
-    member = cut(known.join(classes, ["n", "low", "high"]).select("doc_id", "rep", "n"), "members")
+    member = cut(known.join(classes, ["n", "low", "high"]).select("doc_id", "rep", "n", "sketch"), "members")
     groups = cut(keys.shared(both.select(*(n for n, _ in keys.PACKED)), alike=True), "groups")
     # signatures name any document of a class of equal sets; from here on the class's smallest id stands for it
     named = groups.select("key", F.explode("members").alias("doc_id")).join(member.select("doc_id", "rep"), "doc_id").groupBy("key", "rep").agg(F.lit(1).alias("one"))
     lists = named.select("key", F.array("rep").alias("members"))
-    wanted = named.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(plain.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, features array<long>").groupBy("id").agg(F.max_by("features", F.size("features")).alias("features")), "sets")
-
-    def verify(asked: DataFrame) -> DataFrame:
-        # sizes first: only pairs whose sizes allow the threshold meet their sets
-        counts = member.where("doc_id = rep").select(F.col("rep").alias("id"), "n")
-        sized = asked.join(counts.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        fit = sized.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
-        left, right = (sets.select(F.col("id").alias(c), F.col("features").alias(f"f{c}")) for c in "ab")
-        met = fit.join(left, "a").join(right, "b")
-        common = F.size(F.array_intersect("fa", "fb"))
-        return met.where(den * common >= num * (F.size("fa") + F.size("fb") - common)).select("a", "b")
-
-    labels = linked(lists, verify)
+
+    def verifier(ids: DataFrame):
+        wanted = ids.select(F.col("id").alias("doc_id"))
+        texts = plain.where("doc_id is not null and text is not null").mapInArrow(pack_text, "doc_id long, packed binary")
+        made = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, features array<long>")
+        sets = cut(made.groupBy("id").agg(F.max_by("features", F.size("features")).alias("features")), "sets")
+
+        def verify(asked: DataFrame) -> DataFrame:
+            left, right = (sets.select(F.col("id").alias(c), F.col("features").alias(f"f{c}")) for c in "ab")
+            met = asked.join(left, "a").join(right, "b")
+            common = F.size(F.array_intersect("fa", "fb"))
+            return met.where(den * common >= num * (F.size("fa") + F.size("fb") - common)).select("a", "b")
+
+        return verify
+
+    reps = member.where("doc_id = rep").select(F.col("rep").alias("id"), "n", "sketch")
+    labels = linked(lists, reps, verifier, num, den)
     found = member.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     return profile.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
