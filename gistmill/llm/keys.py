@@ -1,7 +1,7 @@
 """Which 64-bit keys occur under more than one id, for many keys per id.
 
 Signatures, bands and anchors come by the hundred for every document, and nearly all occur once. Shuffled as rows they
-would outweigh the text several times. Here a task packs about a million (key, id) pairs, sorted by key and dealt to
+would outweigh the text several times. Here a task packs about half a million (key, id) pairs, sorted by key and dealt to
 buckets by key range, into one compressed blob per bucket, about six bytes a pair; a bucket's blobs are merged with
 numpy and only the shared keys come back as rows. A key that many ids of one task share is not sent with all of them:
 its ids are sent as a row of their own that any merging task hands on, and the key's bucket sees two of them, so no task
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import mix64
 
 #: Pairs that a task packs at a time, and pairs that a merging task holds on average.
-PACK_PAIRS, MERGE_PAIRS = 1 << 20, 1 << 21
+PACK_PAIRS, MERGE_PAIRS = 1 << 19, 1 << 19
 #: A key with more ids in one pack leaves as rows.
 HOT_IDS = 64
 #: Keys are compared by their upper 48 bits; what is found is verified by the callers.

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +23,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import keys
-from .common import by_bytes, cut, mix64, text_bytes
+from .common import by_bytes, cut, mix64, pack_text, text_bytes, unpack
 
 LENGTH, GRAM = 50, 20
 #: Bytes of stretches that a task packs at a time, and that a sorting task holds on average.
-PACK_BYTES, SORT_BYTES = 16 << 20, 24 << 20
+PACK_BYTES, SORT_BYTES = 8 << 20, 8 << 20
+#: Bytes of text or stretches that are hashed and sorted at a time; the arrays made of them take about a hundred times that.
+WORK_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 LETTERS = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
+@lru_cache(maxsize=8)
+def _powers(base: int, bits: int) -> np.ndarray:
+    out = np.full(1 << bits, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def powers_of(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers modulo 2^64; tables of up to 2^21 are kept."""
+    bits = max(n - 1, 1).bit_length()
+    return (_powers if bits <= 21 else _powers.__wrapped__)(int(base), bits)[:n]
+
+
 class HashedText:
     """A byte buffer with prefix polynomial hashes modulo 2^64 over scrambled bytes."""
 
     def __init__(self, raw: np.ndarray):
         self.raw = raw
-        powers = np.full(len(raw) + 1, BASE)
-        powers[0] = 1
-        self.powers = np.cumprod(powers, dtype=np.uint64)
+        self.powers = powers_of(BASE, len(raw) + 1)
         self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTERS[raw] * self.powers[:-1], dtype=np.uint64)])
 
     def equal(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -47,20 +62,22 @@ class HashedText:
 
     def extension(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Length of the longest common extension of the suffixes at x and y, up to limit, by binary search."""
-        low, high = np.zeros(len(x), np.int64), limit.astype(np.int64)
-        while (open_ := low < high).any():
+        out = limit.astype(np.int64)
+        rest = np.flatnonzero(~self.equal(x, y, out))
+        x, y, low, high = x[rest], y[rest], np.zeros(len(rest), np.int64), out[rest] - 1
+        while (low < high).any():
             middle = (low + high + 1) >> 1
-            same = self.equal(x, y, middle)
-            low = np.where(open_ & same, middle, low)
-            high = np.where(open_ & ~same, middle - 1, high)
-        return low
+            same = self.equal(x, y, middle)  # closed ones have middle = low, which is equal, so they stay
+            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        out[rest] = low
+        return out
 
-    def less(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray, or_equal: bool) -> np.ndarray:
-        """Whether the suffix at x is below that at y, comparing up to limit bytes."""
+    def order(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the suffix at x is below that at y, and whether they are equal, comparing up to limit bytes."""
         n = self.extension(x, y, limit)
-        full = n >= limit
+        level = n >= limit
         last = len(self.raw) - 1
-        return np.where(full, or_equal, self.raw[np.minimum(x + n, last)] < self.raw[np.minimum(y + n, last)])
+        return ~level & (self.raw[np.minimum(x + n, last)] < self.raw[np.minimum(y + n, last)]), level
 
     def verified(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Whether the limit bytes from x and y are the same, byte by byte."""
@@ -98,15 +115,13 @@ def suffix_sort(text: HashedText, at: np.ndarray, limit: np.ndarray, segment: np
         stop = np.minimum(start[active] + pair + np.where(right, width, 2 * width), start[active] + size[active])
         low, high = other.copy(), np.maximum(stop, other)
         mine = order[active]
-        while (open_ := low < high).any():
-            middle = (low + high) >> 1
-            probe = order[np.minimum(middle, len(at) - 1)]
+        while len(still := np.flatnonzero(low < high)):
+            middle = (low[still] + high[still]) >> 1
+            me = mine[still]
             # equal suffixes keep their order: those of the left run come before those of the right
-            below = text.less(at[probe], at[mine], limit[mine], False)
-            level = text.less(at[probe], at[mine], limit[mine], True)
-            go = np.where(right, level, below)
-            low = np.where(open_ & go, middle + 1, low)
-            high = np.where(open_ & ~go, middle, high)
+            below, level = text.order(at[order[middle]], at[me], limit[me])
+            go = below | (level & right[still])
+            low[still], high[still] = np.where(go, middle + 1, low[still]), np.where(go, high[still], middle)
         place = start[active] + pair + (inside - pair - np.where(right, width, 0)) + (low - other)
         order[place] = mine
         width *= 2
@@ -136,10 +151,8 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int =
     if n < length:
         return none
     text = HashedText(raw)
-    inverse = np.full(n + 1, pow(int(BASE), -1, 1 << 64), np.uint64)
-    inverse[0] = 1
     at = np.arange(n - gram + 1)
-    grams = mix64((text.prefix[at + gram] - text.prefix[at]) * np.cumprod(inverse, dtype=np.uint64)[at])
+    grams = mix64((text.prefix[gram:] - text.prefix[:-gram]) * powers_of(INVERSE, len(at)))
     low = np.uint64((1 << n.bit_length()) - 1)
     least, have = (grams & ~low) | at.astype(np.uint64), 1
     while have < wide:  # the smallest of 1, 2, 4, ... neighbours, then of all in the window
@@ -166,7 +179,7 @@ def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _keys(buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, names = keys.Packer(buckets), [n for n, _ in keys.PACKED]
-        for part in by_bytes(batches, "text"):
+        for part in by_bytes(batches, "text", WORK_BYTES):
             owner, _, _, _, hashes = anchors(*_joined(part.column("text")))
             for rows in packer.add(hashes, part.column("doc_id").to_numpy()[owner]):
                 yield pa.RecordBatch.from_arrays(keys.batch_of(rows), names)
@@ -184,23 +197,35 @@ def _gather(raw: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return raw[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
-def _classes(raw: np.ndarray, at: np.ndarray, size: np.ndarray, name: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether a stretch is the first of those equal to it under its key, whether a smaller document has an equal one)."""
+def _works(name: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of stretches, in the order of their keys, about WORK_BYTES at a time; a key's stretches stay together."""
+    order = np.argsort(name, kind="stable")
+    ends, begins = np.cumsum(size[order]), np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
+    at = 0
+    while at < len(order):
+        done = ends[at - 1] if at else 0
+        stop = int(np.searchsorted(ends, done + WORK_BYTES, side="right"))
+        k = int(np.searchsorted(begins, max(stop, at + 1), side="right")) - 1
+        stop = int(begins[k]) if begins[k] > at and stop < len(order) else int(begins[k + 1]) if stop < len(order) and k + 1 < len(begins) else len(order)
+        yield order[at:stop]
+        at = stop
+
+
+def _covered(raw: np.ndarray, at: np.ndarray, size: np.ndarray, name: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has a stretch equal to this one under its key."""
     order = np.lexsort((docs, size, name))
     change = (name[order][1:] != name[order][:-1]) | (size[order][1:] != size[order][:-1])
     segment = np.concatenate([[0], np.cumsum(change)])
     sorted_, classes = suffix_sort(HashedText(raw), at[order], size[order], segment)
     place = order[sorted_]
     starts = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
-    least = np.minimum.reduceat(docs[place], starts)[classes]
-    first, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    first[place[starts]] = True  # the sort is stable and docs rise in a segment, so this one has the smallest doc
-    later[place] = docs[place] > least
-    return first, later
+    later = np.zeros(len(at), bool)
+    later[place] = docs[place] > np.minimum.reduceat(docs[place], starts)[classes]
+    return later
 
 
 class Stretches:
-    """Collects stretches of a task and yields them dealt to buckets; equal ones are sent once, with the smallest doc."""
+    """Collects stretches of a task and yields them dealt to buckets; of equal ones those of the smallest document go."""
 
     def __init__(self, buckets: int):
         self.buckets, self.parts, self.held = buckets, [], 0
@@ -219,9 +244,12 @@ class Stretches:
         doc, tag, start, offset, size, name = (np.concatenate([c[i] for _, c in self.parts]) for i in range(6))
         self.parts, self.held = [], 0
         at = np.cumsum(size) - size
-        first, later = _classes(raw, at, size, name, doc)
+        later = np.zeros(len(at), bool)
+        for own in _works(name, size):
+            n = size[own]
+            later[own] = _covered(_gather(raw, at[own], n), np.cumsum(n) - n, n, name[own], doc[own])
         bucket = (name >> (keys.KEY_BITS - 30)) * self.buckets >> 30
-        chosen = np.flatnonzero(first)
+        chosen = np.flatnonzero(~later)
         chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
         bounds = np.searchsorted(bucket[chosen], np.arange(self.buckets + 1))
         rows: list[tuple] = []
@@ -229,29 +257,18 @@ class Stretches:
             own = chosen[bounds[b] : bounds[b + 1]]
             numbers = keys._squeeze(np.concatenate([c[own] for c in (doc, tag, start, offset, size, name)]))
             rows.append((b, numbers, zstandard.ZstdCompressor(level=1).compress(_gather(raw, at[own], size[own]).tobytes()), None))
-        gone = np.flatnonzero(later & ~first)
+        gone = np.flatnonzero(later)
         # whole stretches that a smaller document of this task has are cut already; any sorting task hands them on
         if len(gone):
             rows.append((int(doc[gone[0]]) % self.buckets, None, None, keys._squeeze(np.concatenate([doc[gone], tag[gone], start[gone], start[gone] + size[gone]]))))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), STRETCHES, strict=True)], [n for n, _ in STRETCHES])
 
 
-def _unpack(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
-def _pack_text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the shuffle."""
-    pack = zstandard.ZstdCompressor(level=1)
-    for part in by_bytes(batches, "text"):
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([pack.compress(t) for t in part.column("text").cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "packed"])
-
-
 def _stretches(buckets: int, length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Stretches(buckets)
-        for part in by_bytes(batches, "packed", 1 << 20):
-            texts = [_unpack(t) for t in part.column("packed").to_pylist()]
+        for part in by_bytes(batches, "packed", WORK_BYTES // 4):
+            texts = [unpack(t) for t in part.column("packed").to_pylist()]
             raw, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
             owner, start, many, place, hashes = anchors(raw, ends)
             name = (hashes >> np.uint64(64 - keys.KEY_BITS)).astype(np.int64)
@@ -270,44 +287,52 @@ def _stretches(buckets: int, length: int):
     return run
 
 
+def _cuts(raw: np.ndarray, numbers: np.ndarray, length: int) -> list[np.ndarray]:
+    """(doc, tag, start, end) columns of the byte spans to remove from stretches laid one after the other in raw."""
+    doc, tag, start, offset, size, name = numbers
+    at = np.cumsum(size) - size
+    later = _covered(raw, at, size, name, doc)
+    cuts = [np.stack([doc[later], tag[later], start[later], (start + size)[later]])]
+    # strings of different stretches under one anchor: those at one offset from it may be equal
+    order = np.lexsort((doc[~later], name[~later]))
+    own = np.flatnonzero(~later)[order]
+    group = np.concatenate([[0], np.cumsum(name[own][1:] != name[own][:-1])])
+    several = np.bincount(group)[group] > 1
+    own, group = own[several], group[several]
+    if not len(own):
+        return cuts
+    many = size[own] - length + 1
+    which = np.repeat(np.arange(len(own)), many)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+    behind = offset[own][which] - step
+    by = np.lexsort((doc[own][which], behind, group[which]))
+    pair = group[which][by] * (length + 1) + behind[by]
+    segment = np.concatenate([[0], np.cumsum(pair[1:] != pair[:-1])])
+    sorted_, classes = suffix_sort(HashedText(raw), (at[own][which] + step)[by], np.full(len(by), length, np.int64), segment)
+    place = by[sorted_]
+    docs = doc[own][which][place]
+    least = np.minimum.reduceat(docs, np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])))[classes]
+    gone = np.zeros(len(which), bool)
+    gone[place] = docs > least
+    # neighbouring strings of a stretch that go are one cut
+    edge = np.flatnonzero(gone & np.concatenate([[True], ~gone[:-1] | (which[1:] != which[:-1])]))
+    last = np.flatnonzero(gone & np.concatenate([~gone[1:] | (which[1:] != which[:-1]), [True]]))
+    e = own[which[edge]]
+    return [*cuts, np.stack([doc[e], tag[e], start[e] + step[edge], start[e] + step[last] + length])]
+
+
 def _sort(length: int):
     def run(table: pa.Table) -> pa.Table:
-        cuts = [np.concatenate([keys._unsqueeze(x).reshape(4, -1) for x in table["cuts"].drop_null().to_pylist()] or [np.zeros((4, 0), np.int64)], axis=1)]
+        cuts = [keys._unsqueeze(x).reshape(4, -1) for x in table["cuts"].drop_null().to_pylist()]
         table = table.filter(pc.is_valid(table["numbers"]))
         if table.num_rows:
             numbers = np.concatenate([keys._unsqueeze(x).reshape(6, -1) for x in table["numbers"].to_pylist()], axis=1)
-            doc, tag, start, offset, size, name = numbers
-            raw = np.frombuffer(b"".join(_unpack(x) for x in table["content"].to_pylist()), np.uint8)
-            at = np.cumsum(size) - size
-            first, later = _classes(raw, at, size, name, doc)
-            cuts.append(np.stack([doc[later], tag[later], start[later], (start + size)[later]]))
-            # strings of different stretches under one anchor: those at one offset from it may be equal
-            order = np.lexsort((doc[first], name[first]))
-            own = np.flatnonzero(first)[order]
-            group = np.concatenate([[0], np.cumsum(name[own][1:] != name[own][:-1])]) if len(own) else own
-            several = np.bincount(group)[group] > 1 if len(own) else np.zeros(0, bool)
-            own, group = own[several], group[several]
-            if len(own):
-                many = size[own] - length + 1
-                which = np.repeat(np.arange(len(own)), many)
-                step = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-                behind = offset[own][which] - step
-                by = np.lexsort((doc[own][which], behind, group[which]))
-                pair = group[which][by] * (length + 1) + behind[by]
-                segment = np.concatenate([[0], np.cumsum(pair[1:] != pair[:-1])])
-                begin = (at[own][which] + step)[by]
-                sorted_, classes = suffix_sort(HashedText(raw), begin, np.full(len(begin), length, np.int64), segment)
-                place = by[sorted_]
-                docs = doc[own][which][place]
-                least = np.minimum.reduceat(docs, np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])))[classes]
-                gone = np.zeros(len(which), bool)
-                gone[place] = docs > least
-                # neighbouring strings of a stretch that go are one cut
-                edge = np.flatnonzero(gone & np.concatenate([[True], ~gone[:-1] | (which[1:] != which[:-1])]))
-                last = np.flatnonzero(gone & np.concatenate([~gone[1:] | (which[1:] != which[:-1]), [True]]))
-                e = own[which[edge]]
-                cuts.append(np.stack([doc[e], tag[e], start[e] + step[edge], start[e] + step[last] + length]))
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "tag", "start", "end"), np.concatenate(cuts, axis=1), strict=True)})
+            raw = np.frombuffer(b"".join(unpack(x) for x in table["content"].to_pylist()), np.uint8)
+            at = np.cumsum(numbers[4]) - numbers[4]
+            for own in _works(numbers[5], numbers[4]):
+                cuts += _cuts(_gather(raw, at[own], numbers[4][own]), numbers[:, own], length)
+        columns = np.concatenate([*cuts, np.zeros((4, 0), np.int64)], axis=1)
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "tag", "start", "end"), columns, strict=True)})
 
     return run
 
@@ -324,7 +349,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = keys.shared(packed).select(F.explode("members").alias("doc_id"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     repeated = plain.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("repeated"))
     wanted = cut(shared.join(repeated, "doc_id"), "anchors")
-    texts = plain.mapInArrow(_pack_text, "doc_id long, packed binary").join(wanted, "doc_id")
+    texts = plain.mapInArrow(pack_text, "doc_id long, packed binary").join(wanted, "doc_id")
     parts = max(16, round(total * 1.5 / SORT_BYTES))
     return texts.mapInArrow(_stretches(parts, length), STRETCHES_SQL).groupBy("bucket").applyInArrow(_sort(length), "doc_id long, tag long, start long, end long")
 
@@ -340,10 +365,10 @@ def _union(spans_: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _removed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in by_bytes(batches, "packed", 1 << 20):
+    for part in by_bytes(batches, "packed", WORK_BYTES // 4):
         rows = []
         for doc, data, found in zip(part.column("doc_id").to_pylist(), part.column("packed").to_pylist(), part.column("spans").to_pylist(), strict=True):
-            text = _unpack(data)
+            text = unpack(data)
             tag = zlib.crc32(text) + 1
             gone = _union([(s["start"], s["end"]) for s in found or () if s["tag"] in (0, tag)])
             kept, at = [], 0
@@ -365,5 +390,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     found = cut(spans(docs, length), "spans").groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = plain.mapInArrow(_pack_text, "doc_id long, packed binary").join(found, "doc_id", "left").select("doc_id", "packed", "spans")
+    texts = plain.mapInArrow(pack_text, "doc_id long, packed binary").join(found, "doc_id", "left").select("doc_id", "packed", "spans")
     return texts.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
