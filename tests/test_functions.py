@@ -188,3 +188,13 @@ def test_sinks(spark, tmp_path):
     a = sinks.write_with_manifest(rows, str(tmp_path / "m"), "id", "platform").collect()
     b = sinks.write_with_manifest(rows.repartition(3), str(tmp_path / "m"), "id", "platform").collect()
     assert sorted(a) == sorted(b) and {r["platform"]: r["rows"] for r in a} == {"p": 2, "q": 1}
+
+
+def test_report_parts(spark):
+    from gistmill.functions import reports
+
+    text = "# R\n### 1. 共性痛点：Slow export（严重程度：★★★★★）\n- **表现：** takes hours\nand fails\n\n### 痛点 2：No search —\n**严重程度：中**\nplain words\n### Other\nignored\n**共性痛点3：Costs**\n### 类别1：Data\n- **CSV** x\n- **PDF**\n### 类别2：Table\n| 需求 | n |\n| --- | --- |\n| One | 1 |\n"
+    row = spark.createDataFrame([(text,), (None,)], "t string").select(reports.pain_points("t").alias("p"), reports.categories("t").alias("c")).collect()
+    assert [tuple(p) for p in row[0]["p"]] == [("Slow export", "高", "takes hours and fails"), ("No search", "中", "plain words"), ("Costs", "中", "")]
+    assert [(c["name"], c["items"]) for c in row[0]["c"]] == [("Data", ["CSV", "PDF"]), ("Table", ["One"])]
+    assert row[1]["p"] == [] and row[1]["c"] == []
