@@ -172,7 +172,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def _features_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in by_bytes(batches, "text"):
+    for batch in by_bytes(batches, "text", 1 << 20):
         got = features(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([a.astype("<i4").tobytes() for a, _ in got], pa.binary()), pa.array([b.astype("<f4").tobytes() for _, b in got], pa.binary()), batch.column("label")], ["doc_id", "ids", "weights", "label"])
 
@@ -195,7 +195,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 2 << 20):
             scores = pa.array(scorer.score(pc.fill_null(batch.column("text"), "")), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "quality_score"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -43,6 +45,13 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.select(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that a Python worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches holding about `limit` bytes of `column`, whole rows always."""
     for batch in batches:
@@ -54,6 +63,7 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

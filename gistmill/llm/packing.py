@@ -99,7 +99,7 @@ class WordEncoder:
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
-        for batch in by_bytes(batches, "text", 12 << 20):
+        for batch in by_bytes(batches, "text", 6 << 20):
             ids, counts = encoder.encode(batch.column("text"))
             docs, rows, at = batch.column("doc_id").to_pylist(), [], 0
             for doc, n in zip(docs, counts.tolist(), strict=True):
