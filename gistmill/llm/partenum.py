@@ -33,6 +33,8 @@ from .words import shingle_sets
 BAND = 1.5
 #: Contents of fewer features are weak; groups beyond those needed, by which that many weak groups do no harm.
 WEAK = 2
+#: Up to so many ids whose whole sets are needed are broadcast; beyond, the packed texts are shuffled to meet them.
+BROADCAST_IDS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -171,7 +173,9 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     lists = named.select("key", F.array("rep").alias("members"))
 
     def verifier(ids: DataFrame):
-        wanted = ids.select(F.col("id").alias("doc_id"))
+        wanted = cut(ids.select(F.col("id").alias("doc_id")), "wanted")
+        if wanted.count() <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)
         texts = plain.where("doc_id is not null and text is not null").mapInArrow(pack_text, "doc_id long, packed binary")
         made = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, features array<long>")
         sets = cut(made.groupBy("id").agg(F.max_by("features", F.size("features")).alias("features")), "sets")
