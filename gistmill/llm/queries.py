@@ -61,6 +61,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secret_scan, op2_poisson_mixing, op3_warc_segments, op4_sum_of_squares_packing, op5_partenum_join, op6_adaptive_quality_rules, op7_paragraph_minhash, op8_quality_classifier, op9_suffix_sorted_repeats, op10_ball_tree_top_k)}
 
 
+OP2 = """
+WITH RECURSIVE s AS (SELECT coalesce(source, '') AS src, sum(coalesce(length(text), 0) + 1) AS size FROM documents GROUP BY 1),
+w AS (SELECT src, size, pow(CAST(size AS DOUBLE), 0.5) AS weight FROM s),
+r AS (SELECT src, round(weight / (SELECT sum(weight) FROM w) * CAST((SELECT sum(size) FROM w) AS DOUBLE) / CAST(size AS DOUBLE), 9) AS rate FROM w),
+h AS (SELECT src, rate, CAST(greatest(ceil(rate - 32), 0) AS INTEGER) AS whole FROM r),
+c AS (SELECT src, rate - whole AS m, 0 AS k, exp(whole - rate) AS p, exp(whole - rate) AS upto FROM h
+  UNION ALL SELECT src, m, k + 1, p * m / (k + 1), upto + p * m / (k + 1) FROM c WHERE k < 120),
+d AS (SELECT *, coalesce(source, '') AS src, CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS point FROM documents),
+i AS (SELECT DISTINCT src, point FROM d),
+n AS (SELECT i.src, i.point, count(*) AS n FROM i JOIN c ON c.src = i.src AND c.upto <= i.point GROUP BY 1, 2)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(unnest(range(CAST(h.whole + coalesce(n.n, 0) AS BIGINT))) AS INTEGER) AS copy, round(h.rate, 6) AS mix_rate
+FROM d JOIN h USING (src) LEFT JOIN n ON n.src = d.src AND n.point = d.point
+"""
+
 OP3 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
 r AS (SELECT digest, max(page_id) AS first_id FROM p WHERE n >= 1000 GROUP BY digest)
@@ -81,4 +95,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_segments": OP3, "op10_ball_tree_top_k": OP10}
+    return {"op2_poisson_mixing": OP2, "op3_warc_segments": OP3, "op10_ball_tree_top_k": OP10}
