@@ -67,7 +67,9 @@ def replicate(docs: DataFrame, targets: dict[str, float] | None = None, size: Co
     joined = plain.join(F.broadcast(table) if few else table, "mix_source")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     point = hash_point(F.lit(seed), name)
-    number = F.col("whole") + F.size(F.filter("steps", lambda c: c <= point))
+    # the point's place among the steps is the inverse; without a lambda, since one that names another column may be
+    # moved to a side of the join that does not have it
+    number = F.col("whole") + F.array_position(F.sort_array(F.array_append("steps", point)), point).cast("int") - 1
     copies = joined.withColumn("mix_n", number).where("mix_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
     keyed = copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed), name, "copy")).withColumnRenamed("rate", "mix_rate")
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*(c for c in docs.columns if c not in ("copy", "mix_rate", "shuffle_key")), "copy", "mix_rate", "shuffle_key")
