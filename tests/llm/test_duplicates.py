@@ -148,6 +148,12 @@ def test_paragraphs_of_odd_documents(odd_docs, no_docs):
     assert paragraphs.repeats(no_docs).count() == 0
 
 
+def test_paragraphs_of_repeated_rows(spark):
+    text = prose(70, 30)
+    docs = spark.createDataFrame([(5, text), (5, text), (9, text)], "doc_id long, text string").coalesce(1)
+    assert {(r["doc_id"], r["kept_doc_id"]) for r in paragraphs.repeats(docs).collect()} == {(9, 5)}
+
+
 def plain_removal(docs, length):
     first, out = {}, []
     for i, data in sorted(docs, key=lambda x: (x[0] is None, x[0])):
