@@ -154,6 +154,24 @@ def test_paragraphs_of_repeated_rows(spark):
     assert {(r["doc_id"], r["kept_doc_id"]) for r in paragraphs.repeats(docs).collect()} == {(9, 5)}
 
 
+def test_paragraphs_inside_long_lines(spark):
+    bare = lambda seed, n: prose(seed, n).replace(".", "")
+    for seed in range(300):
+        rng = random.Random(seed)
+        passage = bare(1000 + seed, 51).split()
+        for at in range(rng.randrange(8), 51, rng.randrange(4, 8)) if seed % 3 == 0 else [rng.randrange(51)]:
+            passage[at] += "."
+        left, right = (bare(s, rng.randrange(60)) + rng.choice(["", "."]) for s in (5000 + seed, 6000 + seed))
+        texts = [" ".join([left, *passage, right]), " ".join([bare(7000 + seed, rng.randrange(30)), *passage, bare(8000 + seed, rng.randrange(9))])]
+        u = paragraphs.units_of(pa.array(texts))
+        assert set(u.content[u.owner == 0].tolist()) & set(u.content[u.owner == 1].tolist()), seed
+    passage = bare(1, 60)
+    texts = [bare(2, 40) + " " + passage + " " + bare(3, 40), bare(4, 30) + " " + passage + " " + bare(5, 35), bare(6, 3) + ". " + bare(7, 57)]
+    got = paragraphs.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["kept_doc_id"]) for r in got} == {(1, 0)}
+    assert all(r["first_word"] >= 30 and r["first_word"] + r["n_words"] <= 90 for r in got)
+
+
 def plain_removal(docs, length):
     first, out = {}, []
     for i, data in sorted(docs, key=lambda x: (x[0] is None, x[0])):
