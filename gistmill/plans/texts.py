@@ -131,6 +131,18 @@ def dice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.bigram_dice(F.col("t"), F.col("u")), 6).alias("dice"))
 
 
+@query("""WITH n AS (SELECT conv_id, turn, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{M}\\p{N}_]+', '', 'g') AS t FROM conversations),
+  g AS (SELECT conv_id, turn, gram, count(*) AS c FROM (SELECT conv_id, turn, substring(t, unnest(range(1, length(t))), 2) AS gram FROM n) GROUP BY ALL),
+  o AS (SELECT a.conv_id, a.turn, sum(least(a.c, b.c)) AS hit FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.gram = b.gram GROUP BY 1, 2),
+  p AS (SELECT a.conv_id, a.turn, a.t AS a, b.t AS b FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+  SELECT conv_id, turn, round(CASE WHEN a = '' AND b = '' THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 WHEN length(a) < 2 OR length(b) < 2 THEN CAST(a = b AS DOUBLE) ELSE 2 * coalesce(hit, 0) / (length(a) + length(b) - 2) END, 6) AS dice FROM p LEFT JOIN o USING (conv_id, turn)""")
+def dice_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole neighbouring turns."""
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("u"))
+    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.bigram_dice(F.col("text"), F.col("u")), 6).alias("dice"))
+
+
 @query("""WITH p AS (SELECT a.conv_id, a.turn, list_distinct(string_split(a.text, '')) AS x, list_distinct(string_split(b.text, '')) AS y, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
   SELECT conv_id, turn, round(CASE WHEN a = '' OR b = '' THEN 0.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS jaccard FROM p""")
 def char_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -45,3 +46,12 @@ def test_names_are_unique_and_entry_works(spark):
     assert set(SQL) <= set(QUERIES)
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_dice_of_whole_turns(spark, tmp_path):
+    same = "ab" * 150
+    turns = [(1, 0, same + "xyz" * 100), (1, 1, same + "uvw" * 100), (2, 0, ""), (2, 1, "")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r["dice"] for r in QUERIES["dice_turns"](spark, str(tmp_path)).collect()}
+    a, b = (Counter(t[i : i + 2] for i in range(len(t) - 1)) for _, _, t in (x[:3] for x in turns[:2]))
+    assert got == {1: round(2 * (a & b).total() / (a.total() + b.total()), 6), 2: 1.0}
