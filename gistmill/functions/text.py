@@ -111,8 +111,8 @@ def nfkc(texts: pd.Series) -> pd.Series:
 
 
 def title_key(title: Column) -> Column:
-    """Form under which titles are equal, apart from compatibility composition, for which see nfkc()."""
-    return F.regexp_replace(strip(F.lower(title)), r"(?U)[\s\-_]+", " ")
+    """Form under which titles are equal: lower case, composed for compatibility, runs of space, hyphen and underscore as one space."""
+    return F.regexp_replace(nfkc(strip(F.lower(title))), r"(?U)[\s\-_]+", " ")
 
 
 def safe_filename(title: Column) -> Column:

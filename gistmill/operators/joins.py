@@ -38,7 +38,8 @@ def by_title(asked: DataFrame, docs: DataFrame) -> DataFrame:
     """(title, filename, tier) of the document for each title: same file name, same normal form, or one in the other.
 
     asked has title; docs has filename and title. The first tier with a match decides, then the first file name. The
-    last tier compares only titles still open, with documents of the same first three characters in either.
+    last tier compares only titles still open, with documents of the same first three characters in either; a key of
+    fewer characters meets every key that holds it, an empty one all.
     """
     asked = asked.select("title").distinct()
     d = docs.select("filename", F.col("title").alias("doc_title"), T.title_key(F.col("title")).alias("doc_key"))
@@ -46,11 +47,17 @@ def by_title(asked: DataFrame, docs: DataFrame) -> DataFrame:
     same = q.join(d, q["file"] == d["filename"]).select("title", "filename", F.lit(1).alias("tier"))
     alike = q.join(d, q["key"] == d["doc_key"]).select("title", "filename", F.lit(2).alias("tier"))
     rest = q.join(same.unionByName(alike).select("title").distinct(), "title", "left_anti")
-    # a title inside another begins at one of its places: blocks are the three characters at every place
-    block = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - 2, F.lit(1))), lambda i: F.substring(k, i, F.lit(3)))
-    left = rest.withColumn("at", F.explode(F.array_distinct(block(F.col("key"))))).withColumn("head", F.left("key", F.lit(3)))
-    right = d.withColumn("at", F.explode(F.array_distinct(block(F.col("doc_key"))))).withColumn("doc_head", F.left("doc_key", F.lit(3)))
-    near = left.join(right, "at").where((F.col("at") == F.col("head")) | (F.col("at") == F.col("doc_head"))).where(F.contains("key", F.col("doc_key")) | F.contains("doc_key", F.col("key"))).select("title", "filename", F.lit(3).alias("tier"))
+    # a title inside another begins at one of its places: blocks are the three characters at every place. Shorter keys are
+    # blocks of their own, which meet the empty string, the characters and pairs of characters of the other side
+    at_places = lambda k, n: F.when(F.length(k) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - (n - 1), F.lit(1))), lambda i: F.substring(k, i, F.lit(n)))))
+    few = lambda k: F.flatten(F.array_compact(F.array(F.array(F.lit("")), at_places(k, 1), at_places(k, 2))))
+    inside = F.contains("key", F.col("doc_key")) | F.contains("doc_key", F.col("key"))
+    left = rest.withColumn("at", F.explode(at_places(F.col("key"), 3))).withColumn("head", F.left("key", F.lit(3)))
+    right = d.withColumn("at", F.explode(at_places(F.col("doc_key"), 3))).withColumn("doc_head", F.left("doc_key", F.lit(3)))
+    near = left.join(right, "at").where((F.col("at") == F.col("head")) | (F.col("at") == F.col("doc_head"))).where(inside).select("title", "filename")
+    short_asked = rest.where(F.length("key") < 3).join(d.withColumn("at", F.explode(few(F.col("doc_key")))), F.col("key") == F.col("at")).select("title", "filename")
+    short_docs = rest.withColumn("at", F.explode(few(F.col("key")))).join(d.where(F.length("doc_key") < 3), F.col("at") == F.col("doc_key")).select("title", "filename")
+    near = near.unionByName(short_asked).unionByName(short_docs).withColumn("tier", F.lit(3))
     best = Window.partitionBy("title").orderBy("tier", "filename")
     return same.unionByName(alike).unionByName(near.distinct()).withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
 

@@ -1,5 +1,8 @@
 """Functions and operators against values worked out by hand."""
 
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +201,18 @@ def test_report_parts(spark):
     assert [tuple(p) for p in row[0]["p"]] == [("Slow export", "高", "takes hours and fails"), ("No search", "中", "plain words"), ("Costs", "中", "")]
     assert [(c["name"], c["items"]) for c in row[0]["c"]] == [("Data", ["CSV", "PDF"]), ("Table", ["One"])]
     assert row[1]["p"] == [] and row[1]["c"] == []
+
+
+def test_title_lookup_of_short_and_full_width_titles(spark):
+    asked = ["AI tools", "导出", "x", "ＡＢＣ－Ｄ", "how to use ai", "导", "zq", "", "no match!", "B"]
+    docs = [("d1", "ai"), ("d2", "数据导出功能"), ("d3", "abc d"), ("d4", "Box"), ("d5", "导"), ("d6", "zz"), ("d7", "ﬁle")]
+    key = lambda t: re.sub(r"[\s\-_]+", " ", unicodedata.normalize("NFKC", t.lower().strip()))
+    want = {}
+    for t in asked:
+        k = key(t)
+        tiers = sorted((2 if k == key(d) else 3, f) for f, d in docs if k == key(d) or k in key(d) or key(d) in k)
+        if tiers:
+            want[t] = tiers[0]
+    got = J.by_title(spark.createDataFrame([(t,) for t in [*asked, "file"]], "title string"), spark.createDataFrame(docs, "filename string, title string")).collect()
+    assert {r["title"]: (r["tier"], r["filename"]) for r in got} == want | {"file": (2, "d7")}
+    assert want["导出"] == (3, "d2") and want["ＡＢＣ－Ｄ"] == (2, "d3") and want["how to use ai"] == (3, "d1") and "zq" not in want
