@@ -73,8 +73,19 @@ def truncated_to_budget(ranked: DataFrame, order: list, text: str, budget: int,
     return ranked.withColumn("_left", left).where("_left > 0").withColumn(text, F.left(text, F.col("_left").cast("int"))).drop("_left")
 
 
-def context_text(ranked: DataFrame, order: list, source: str, title: str, text: str) -> DataFrame:
-    """One row: passages headed by their source, in order, with rules between them."""
+def nearest_sparse(vectors: DataFrame, queries: DataFrame, key: str, by: str, k: int, least: float = 0.0) -> DataFrame:
+    """(by, key, score): the k keys most similar to each query of `by`, from (by, key, bucket, weight) and (by, bucket, weight).
+
+    Scores, to nine digits, under `least` are left out; ties to the smaller key.
+    """
+    met = vectors.join(queries.select(by, "bucket", F.col("weight").alias("_q")), [by, "bucket"])
+    scored = met.groupBy(by, key).agg(F.round(F.sum(F.col("weight") * F.col("_q")), 9).alias("score")).where(F.col("score") >= least)
+    return scored.withColumn("_nth", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))).where(F.col("_nth") <= k).drop("_nth")
+
+
+def context_text(ranked: DataFrame, order: list, source: str, title: str, text: str, by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each value of `by`: passages headed by their source, in order, with rules between them."""
     part = F.concat(F.lit("[来源: "), F.col(source), F.lit(" | "), F.col(title), F.lit("]\n"), F.col(text))
-    rows = ranked.withColumn("_nth", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).select("_nth", part.alias("part"))
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "part"))), lambda x: x["part"]), "\n\n---\n\n").alias("context"))
+    by = by or []
+    rows = ranked.withColumn("_nth", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order))).select(*by, "_nth", part.alias("part"))
+    return (rows.groupBy(*by) if by else rows).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "part"))), lambda x: x["part"]), "\n\n---\n\n").alias("context"))

@@ -41,11 +41,26 @@ KEY = "regexp_replace(trim(lower({0})), '[\\s\\-_]+', ' ', 'g')"
 @query(f"""WITH {TITLED}, m AS (SELECT q.title, d.filename, CASE WHEN left(regexp_replace(q.title, '[<>:"/\\\\|?*]', '', 'g'), 80) = d.filename THEN 1 WHEN {KEY.format('q.title')} = {KEY.format('d.title')} THEN 2 WHEN contains({KEY.format('q.title')}, {KEY.format('d.title')}) OR contains({KEY.format('d.title')}, {KEY.format('q.title')}) THEN 3 END AS tier FROM q, d)
   SELECT title, filename, tier FROM m WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY title ORDER BY tier, filename) = 1""")
 def title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.by_title(*_titles(spark, sf_dir, load(spark, sf_dir, "part").where("p_size = 1")))
+
+
+def _titles(spark: SparkSession, sf_dir: str, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     n, seg = load(spark, sf_dir, "nation"), load(spark, sf_dir, "customer").select("c_mktsegment").distinct()
-    asked = n.select(F.upper("n_name").alias("title")).union(load(spark, sf_dir, "part").where("p_size = 1").select("p_name")).union(seg.select(F.concat("c_mktsegment", F.lit("_"))))
+    asked = n.select(F.upper("n_name").alias("title")).union(parts.select("p_name")).union(seg.select(F.concat("c_mktsegment", F.lit("_"))))
     docs = n.select(F.concat("n_name", F.lit(".md")).alias("filename"), F.col("n_name").alias("title"))
-    docs = docs.union(load(spark, sf_dir, "region").select(F.concat(F.lit("x"), "r_name"), "r_name")).union(seg.select(F.concat(F.lit("seg "), "c_mktsegment"), "c_mktsegment"))
-    return J.by_title(asked, docs)
+    return asked, docs.union(load(spark, sf_dir, "region").select(F.concat(F.lit("x"), "r_name"), "r_name")).union(seg.select(F.concat(F.lit("seg "), "c_mktsegment"), "c_mktsegment"))
+
+
+ALL_TITLED = TITLED.replace(" WHERE p_size = 1", "").removesuffix(")") + " UNION ALL SELECT DISTINCT 'type ' || p_type, p_type FROM part UNION ALL SELECT CAST(doc_id AS VARCHAR) || '.md', split_part(text, chr(10), 1) FROM documents), qk AS (SELECT title, {0} AS k FROM q), dk AS (SELECT filename, {1} AS k FROM d)".format(KEY.format("title"), KEY.format("title"))
+
+
+@query(f"""WITH {ALL_TITLED}, m AS (SELECT title, filename, CASE WHEN left(regexp_replace(title, '[<>:"/\\|?*]', '', 'g'), 80) = filename THEN 1 WHEN qk.k = dk.k THEN 2 WHEN contains(qk.k, dk.k) OR contains(dk.k, qk.k) THEN 3 END AS tier FROM qk, dk)
+  SELECT title, filename, tier FROM m WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY title ORDER BY tier, filename) = 1""")
+def title_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of all parts, looked up among part types and the first lines of all documents too."""
+    asked, docs = _titles(spark, sf_dir, load(spark, sf_dir, "part"))
+    types = load(spark, sf_dir, "part").select(F.concat(F.lit("type "), "p_type"), "p_type").distinct()
+    return J.by_title(asked, docs.union(types).union(S.needs(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")), "title")))
 
 
 @query(f"WITH {S.EDGES} SELECT *, 'outgoing' AS direction FROM edges WHERE source_type = 'customer' AND source_id = '7' UNION ALL SELECT *, 'incoming' FROM edges WHERE target_type = 'customer' AND target_id = '7'")

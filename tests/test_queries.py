@@ -55,3 +55,20 @@ def test_dice_of_whole_turns(spark, tmp_path):
     got = {r["conv_id"]: r["dice"] for r in QUERIES["dice_turns"](spark, str(tmp_path)).collect()}
     a, b = (Counter(t[i : i + 2] for i in range(len(t) - 1)) for _, _, t in (x[:3] for x in turns[:2]))
     assert got == {1: round(2 * (a & b).total() / (a.total() + b.total()), 6), 2: 1.0}
+
+
+def test_context_of_ranked_hits(spark, tmp_path):
+    text = lambda *lines: "\n".join(lines)
+    docs = [
+        (1, text("red mill wheel", "x " * 390), "en"), (2, text("other", "y " * 395, "red mill wheel"), "en"), (3, text("red mill", "red mill " * 60), "en"),
+        (4, "nothing alike here", "en"), (5, "red mill wheel", "de"), (6, "wheel " * 400, "en"), (7, text("red", "red mill wheel " * 100), "en"),
+    ]
+    rows = [(i, t, lang, "s", len(t)) for i, t, lang in docs]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["lang"]: r["context"] for r in QUERIES["retrieval_hits_context"](spark, str(tmp_path)).collect()}
+    assert got["de"] == "[来源: s | red mill wheel]\nred mill wheel"
+    parts = got["en"].split("\n\n---\n\n")
+    chunks = [p.split("]\n", 1)[1] for p in parts]
+    # the best hit is whole, though over 100 characters, and the lines of low doc_ids that are not alike are no hits
+    assert parts[0].startswith("[来源: s | red]\n") and len(chunks[0]) > 1400
+    assert sum(map(len, chunks)) <= 2000 and "nothing" not in got["en"]
