@@ -1,10 +1,9 @@
-"""Pieces that the operators of this subpackage share: table access, lineage cuts and byte-bounded Arrow batches."""
+"""Pieces that the operators of this subpackage share: table access, intermediate tables and byte-bounded Arrow batches."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -24,20 +23,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one made for this process where that is unset."""
+    """The folder that all executors see: spark.checkpoint.dir, or one in the warehouse where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = tempfile.mkdtemp(prefix="gistmill-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    return where or f"{spark.conf.get('spark.sql.warehouse.dir')}/gistmill-intermediate"
+
+
+class Scratch:
+    """The intermediate tables of one operator call: Parquet in a folder of their own below the shared folder.
+
+    A table cuts lineage: a lost executor costs no more than the read. It can be dropped as soon as what was made of it
+    is itself written; the shuffle files behind a written table go when the driver's JVM collects its plan.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written and read back."""
+        self.made += 1
+        path = f"{self.folder}/{self.made}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this folder that no frame in use reads any more."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for t in tables:
+            path = hadoop(t.scratch_path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        release(self.spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM find plans that nobody holds, so that Spark deletes their shuffle files."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back, so that a lost executor costs no more than the read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df, written to the shared folder and read back."""
+    return Scratch(df.sparkSession, name).cut(df, name)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
@@ -56,16 +83,22 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_
     """Slices of the batches holding about `limit` bytes of `column`, whole rows always."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(lengths, dtype=np.int64)
-        start = 0
-        while start < batch.num_rows:
-            done = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        for start, stop in byte_runs(lengths, limit):
             yield batch.slice(start, stop - start)
-            start = stop
     trim()
 
 
+def byte_runs(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows, at least one each, whose lengths add up to about `limit`."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield start, stop
+        start = stop
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the splitmix finalizer)."""
     x = x.astype(np.uint64, copy=True)
@@ -79,9 +112,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def pack_text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, packed) from (doc_id, text): texts compressed for a shuffle, to about a third of what it would make of them."""
-    pack = zstandard.ZstdCompressor(level=1)
     for part in by_bytes(batches, "text"):
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([pack.compress(t) for t in part.column("text").cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "packed"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed_texts(part.column("text"))], ["doc_id", "packed"])
+
+
+def packed_texts(texts: pa.Array) -> pa.Array:
+    pack = zstandard.ZstdCompressor(level=1)
+    return pa.array([None if t is None else pack.compress(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
 
 
 def unpack(data: bytes) -> bytes:

@@ -5,7 +5,7 @@ would outweigh the text several times. Here a task packs about half a million (k
 buckets by key range, into one compressed blob per bucket, about six bytes a pair; a bucket's blobs are merged with
 numpy and only the shared keys come back as rows. A key that many ids of one task share is not sent with all of them:
 its ids are sent as a row of their own that any merging task hands on, and the key's bucket sees two of them, so no task
-gathers a hot key.
+gathers a hot key. An id is one 64-bit integer, or such an integer with a 32-bit number below it.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ HOT_IDS = 64
 #: Keys are compared by their upper 48 bits; what is found is verified by the callers.
 KEY_BITS = 48
 
-PACKED = [("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("hot", pa.binary()), ("key", pa.int64()), ("members", pa.list_(pa.int64()))]
-PACKED_SQL = "bucket int, keys binary, ids binary, hot binary, key long, members array<long>"
+PACKED = [("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("subs", pa.binary()), ("hot", pa.binary()), ("key", pa.int64()), ("members", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int32()))]
+PACKED_SQL = "bucket int, keys binary, ids binary, subs binary, hot binary, key long, members array<long>, numbers array<int>"
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -45,15 +45,24 @@ def bucket_count(pairs: float) -> int:
     return max(16, int(pairs / MERGE_PAIRS) + 1)
 
 
+def _sorted(keys: np.ndarray, ids: np.ndarray, subs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct (key, id, number) rows in order, where each key starts and how many rows it has."""
+    order = np.lexsort((subs, ids, keys))
+    keys, ids, subs = keys[order], ids[order], subs[order]
+    fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]) | (subs[1:] != subs[:-1])])[: len(keys)]
+    keys, ids, subs = keys[fresh], ids[fresh], subs[fresh]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys, ids, subs, starts, np.diff(np.append(starts, len(keys)))
+
+
 class Packer:
-    """Collects (key, id) pairs of a task; add() and end() yield packed rows as dictionaries of columns."""
+    """Collects (key, id, number) rows of a task; add() and end() yield packed rows as dictionaries of columns."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.keys, self.ids, self.held = buckets, [], [], 0
+        self.buckets, self.parts, self.held = buckets, [], 0
 
-    def add(self, keys: np.ndarray, ids: np.ndarray) -> Iterator[dict[str, list]]:
-        self.keys.append(keys >> np.uint64(64 - KEY_BITS))
-        self.ids.append(ids.astype(np.int64))
+    def add(self, keys: np.ndarray, ids: np.ndarray, numbers: np.ndarray | None = None) -> Iterator[dict[str, list]]:
+        self.parts.append(((keys >> np.uint64(64 - KEY_BITS)).astype(np.int64), ids.astype(np.int64), np.zeros(len(keys), np.int64) if numbers is None else numbers.astype(np.int64)))
         self.held += len(keys)
         if self.held >= PACK_PAIRS:
             yield from self.end()
@@ -61,14 +70,8 @@ class Packer:
     def end(self) -> Iterator[dict[str, list]]:
         if not self.held:
             return
-        keys, ids = np.concatenate(self.keys).astype(np.int64), np.concatenate(self.ids)
-        self.keys, self.ids, self.held = [], [], 0
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
-        keys, ids = keys[fresh], ids[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sizes = np.diff(np.append(starts, len(keys)))
+        keys, ids, subs, starts, sizes = _sorted(*(np.concatenate([p[i] for p in self.parts]) for i in range(3)))
+        self.parts, self.held = [], 0
         nth = np.arange(len(keys)) - np.repeat(starts, sizes)
         hot = sizes > HOT_IDS
         rows: dict[str, list] = {name: [] for name, _ in PACKED}
@@ -78,16 +81,16 @@ class Packer:
                 rows[name].append(given.get(name))
 
         for a, n in zip(starts[hot].tolist(), sizes[hot].tolist(), strict=True):
-            row(bucket=int(ids[a]) % self.buckets, key=int(keys[a]), members=ids[a : a + n])
+            row(bucket=int(ids[a]) % self.buckets, key=int(keys[a]), members=ids[a : a + n], numbers=subs[a : a + n])
         hot_keys = keys[starts[hot]]
         kept = (nth < 2) | ~np.repeat(hot, sizes)
-        keys, ids = keys[kept], ids[kept]
+        keys, ids, subs = keys[kept], ids[kept], subs[kept]
         bucket = (keys >> (KEY_BITS - 30)) * self.buckets >> 30
         bounds = np.searchsorted(bucket, np.arange(self.buckets + 1))
         hot_bucket = (hot_keys >> (KEY_BITS - 30)) * self.buckets >> 30
         for b in np.flatnonzero(np.diff(bounds)).tolist():
             part = slice(bounds[b], bounds[b + 1])
-            row(bucket=b, keys=_squeeze(np.diff(keys[part], prepend=0)), ids=_squeeze(ids[part]), hot=hot_keys[hot_bucket == b].astype("<i8").tobytes())
+            row(bucket=b, keys=_squeeze(np.diff(keys[part], prepend=0)), ids=_squeeze(ids[part]), subs=_squeeze(subs[part]), hot=hot_keys[hot_bucket == b].astype("<i8").tobytes())
         yield rows
 
 
@@ -97,39 +100,35 @@ def batch_of(rows: dict[str, list]) -> list[pa.Array]:
 
 def _merge(alike: bool):
     def run(table: pa.Table) -> pa.Table:
-        direct = table.filter(pc.is_valid(table["members"])).select(["key", "members"])
+        direct = table.filter(pc.is_valid(table["members"])).select(["key", "members", "numbers"])
         table = table.filter(pc.is_valid(table["keys"]))
         if not table.num_rows:
             return direct
         keys = np.concatenate([np.cumsum(_unsqueeze(x)) for x in table["keys"].to_pylist()])
-        ids = np.concatenate([_unsqueeze(x) for x in table["ids"].to_pylist()])
+        ids, subs = (np.concatenate([_unsqueeze(x) for x in table[c].to_pylist()]) for c in ("ids", "subs"))
         hot = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in table["hot"].to_pylist()]))
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
-        keys, ids = keys[fresh], ids[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sizes = np.diff(np.append(starts, len(keys)))
+        keys, ids, subs, starts, sizes = _sorted(keys, ids, subs)
         names = keys[starts]
         keep = sizes > 1
         if alike:  # keys with the same ids tell the same; which ids is told by a sum of scrambled ids
-            sums = np.add.reduceat(mix64(ids.astype(np.uint64) + np.uint64(1)), starts) >> np.uint64(16)
+            sums = np.add.reduceat(mix64(mix64(ids.astype(np.uint64) + np.uint64(1)) + subs.astype(np.uint64)), starts) >> np.uint64(16)
             names = np.where(np.isin(names, hot), names, -1 - sums.astype(np.int64))
             first = np.zeros(len(starts), bool)
             first[np.unique(names, return_index=True)[1]] = True
             keep &= first
         chosen = np.repeat(keep, sizes)
-        offsets = np.concatenate([[0], np.cumsum(sizes[keep])])
-        found = pa.table({"key": pa.array(names[keep], pa.int64()), "members": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[chosen], pa.int64()))})
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes[keep])]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[chosen], t)) for x, t in ((ids, pa.int64()), (subs, pa.int32()))]
+        found = pa.table({"key": pa.array(names[keep], pa.int64()), "members": lists[0], "numbers": lists[1]})
         return pa.concat_tables([found, direct.cast(found.schema)])
 
     return run
 
 
 def shared(packed: DataFrame, alike: bool = False) -> DataFrame:
-    """(key, members) rows for keys under more than one id; a key's ids are all members of its rows together.
+    """(key, members, numbers) rows for keys under more than one id; a key's ids are all members of its rows together.
 
     alike: keys with the same set of ids are given once a bucket, under one negative number in place of the key, so that
     a distinct over the rows leaves them once. Members may come under one key several times.
     """
-    return packed.where("bucket is not null").select(*(n for n, _ in PACKED)).groupBy("bucket").applyInArrow(_merge(alike), "key long, members array<long>")
+    return packed.where("bucket is not null").select(*(n for n, _ in PACKED)).groupBy("bucket").applyInArrow(_merge(alike), "key long, members array<long>, numbers array<int>")

@@ -1,18 +1,17 @@
 """Components of verified links among ids that share keys, without forming all pairs of a group.
 
-Sketches come first: counts of features per cell of the feature domain, whose L1 distance is never above the size of the
-symmetric difference. An id without a partner in its group whose sketch allows the threshold leaves the group, which
-rids it of chance members; only the whole sets of the ids that stay are ever made. Then every group compares its most
-central id, the one under the most keys, with the others; links are contracted into components, and groups whose ids
-are all in one are done. In the groups that are left, pairs of different components whose sketches allow the threshold
-are verified. So no link is lost, groups of copies are settled by one comparison per member, sketches are compared
-inside tasks, and large groups in blocks of bounded size.
+First every key compares its most central id, the one under the most keys, with the others: ids go with their content to
+the central id, a bounded number to a task, and are compared there. Links are contracted into components, and keys whose
+ids are all in one are done. The ids of the other keys are dealt to blocks of bounded size and compared exactly inside the
+task, by counting common features; a block gives a spanning forest of its links, so at most one row per id leaves it.
+Keys that are still open after that have their blocks compared two by two. So no link is lost, groups of copies are
+settled by one comparison per member, and what leaves a task grows with its ids, not with their square.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -20,163 +19,194 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64
+from .common import Scratch, byte_runs, trim
 
-#: Ids that are compared with each other at a time, and rows of a comparing task on average.
-BLOCK, TASK_ROWS = 1024, 20_000
-#: Cells of a sketch by size: about five features a cell, so that the distance of unlike sets stays near their size.
-CELLS = (64, 256, 1024, 4096)
+#: Ids, and bytes of their packed content, that are compared with one central id or with each other in one go.
+BLOCK, BLOCK_BYTES = 4096, 4 << 20
+#: Rows, and bytes of packed content, of a comparing task on average.
+TASK_ROWS, TASK_BYTES = 8192, 16 << 20
+#: Bytes of packed content that are unpacked at a time where rows are compared one by one.
+SLICE_BYTES = 1 << 20
 
+Sets = Callable[[list[bytes]], list[np.ndarray]]
 
-def components(edges: DataFrame) -> DataFrame:
+
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, component) for every id of `edges` (a, b): component is the smallest id that it is connected with.
 
     Ids take their smallest neighbour's label, labels are followed two steps, and the edges are rewritten in labels and
     made distinct, until none joins two labels. Each round's tables are written to the shared folder.
     """
-    rest = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    rest = scratch.cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))
     while not rest.isEmpty():
         parent = rest.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
         again = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        parent = cut(parent.join(again, "up", "left").select("node", F.coalesce("top", "up").alias("up")), "parents")
+        parent = scratch.cut(parent.join(again, "up", "left").select("node", F.coalesce("top", "up").alias("up")), "parents")
         labels = labels.join(parent.withColumnRenamed("node", "component"), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
-        labels = cut(labels, "labels")
+        labels = scratch.cut(labels, "labels")
         a, b = (parent.select(F.col("node").alias(c), F.col("up").alias(f"up_{c}")) for c in "ab")
         moved = rest.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("up_a", "a").alias("a"), F.coalesce("up_b", "b").alias("b"))
-        rest = cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        rest = scratch.cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     return labels
 
 
-def sketch(features: np.ndarray) -> bytes:
-    """Counts of hashed features by cell, held at 255, which can only lower a distance.
+def common(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements of each set are in `own`; all are sorted and distinct."""
+    if not len(own) or not sets:
+        return np.zeros(len(sets), np.int64)
+    flat = np.concatenate(sets)
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    return np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum([len(s) for s in sets])])])
 
-    Cells of a coarse sketch are unions of neighbouring cells of a fine one, so two sketches meet at the coarser size.
-    """
-    many = next((c for c in CELLS if len(features) <= 5 * c), CELLS[-1])
-    cells = (mix64(features) >> np.uint64(64 - (many.bit_length() - 1))).astype(np.int64)
-    return np.minimum(np.bincount(cells, minlength=many), 255).astype(np.uint8).tobytes()
-
-
-class Sketches:
-    """Sketches of many rows, folded to each number of cells for the rows that have as many."""
-
-    def __init__(self, rows: list[bytes]):
-        self.level = np.searchsorted(CELLS, [len(r) for r in rows])
-        self.tables, self.places = [], []
-        for k, cells in enumerate(CELLS):
-            have = np.flatnonzero(self.level >= k)
-            table = np.zeros((len(have), cells), np.int16)
-            for i, r in enumerate(have.tolist()):
-                table[i] = np.frombuffer(rows[r], np.uint8).reshape(cells, -1).sum(axis=1, dtype=np.int16)
-            place = np.full(len(rows), -1)
-            place[have] = np.arange(len(have))
-            self.tables.append(table)
-            self.places.append(place)
-
-    def near(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Whether the distance of rows x and y is at most `most`: coarse cells first, finer ones for those that pass."""
-        ok = np.ones(len(x), bool)
-        level = np.minimum(self.level[x], self.level[y])
-        for k, (table, place) in enumerate(zip(self.tables, self.places, strict=True)):
-            todo = np.flatnonzero(ok & (level >= k))
-            for at in range(0, len(todo), (1 << 21) // CELLS[k]):
-                own = todo[at : at + (1 << 21) // CELLS[k]]
-                ok[own] = np.abs(table[place[x[own]]] - table[place[y[own]]]).sum(axis=1, dtype=np.int64) <= most[own]
-        return ok
-
-
-def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("features")
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        cuts = np.split(pc.list_flatten(lists).to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(sizes)[:-1])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array([sketch(c) for c in cuts][: len(sizes)], pa.binary())], ["id", "n", "sketch"])
-
-
-def sketches(sets: DataFrame) -> DataFrame:
-    """(id, n, sketch) of (id, features) rows."""
-    return sets.select("id", "features").mapInArrow(_sketch, "id long, n long, sketch binary")
-
-
-def _near(num: int, den: int, pairs: bool):
-    """Of rows in groups, those that have a partner whose sketch allows a Jaccard similarity of num/den.
-
-    pairs: the pairs themselves, of different components only, in place of (key, id) rows.
-    """
+
+def _edges(a: list, b: list) -> pa.Table:
+    low, high = np.array(a, np.int64), np.array(b, np.int64)
+    return pa.table({"a": pa.array(np.minimum(low, high)), "b": pa.array(np.maximum(low, high))})
+
+
+def _star(sets_of: Sets, num: int, den: int):
+    """Links (a, b) between central ids and the ids sent to them."""
 
     def run(table: pa.Table) -> pa.Table:
-        group, ids, n, component = (np.ascontiguousarray(table[c].to_numpy()) for c in ("group", "id", "n", "component"))
-        order = np.lexsort((ids, group))
-        group, ids, n, component = group[order], ids[order], n[order], component[order]
-        raw = table["sketch"].to_pylist()
-        known = Sketches([raw[k] for k in order.tolist()])
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        sizes = np.diff(np.append(starts, len(group)))
-        after = np.repeat(starts + sizes, sizes) - np.arange(len(group))  # rows from this one to the end of its group
-        near, found = np.zeros(len(group), bool), [np.zeros((2, 0), np.int64)]
-        active, step = np.arange(len(group)), 0
-        while len(active):
-            step += 1
-            active = active[after[active] > step]
-            for at in range(0, len(active), 1 << 15):
-                x = active[at : at + (1 << 15)]
-                y = x + step
-                ok = known.near(x, y, (n[x] + n[y]) * (den - num) // (den + num))
-                if pairs:
-                    ok &= component[x] != component[y]
-                    found.append(np.stack([ids[x[ok]], ids[y[ok]]]))
-                else:
-                    near[x[ok]] = near[y[ok]] = True
-        if pairs:
-            both = np.unique(np.concatenate(found, axis=1), axis=1)
-            return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
-        keys = table["key"].to_numpy()[order]
-        return pa.table({"key": pa.array(keys[near], pa.int64()), "id": pa.array(ids[near], pa.int64())})
+        pivot, salt, ids = (table[c].to_numpy() for c in ("pivot", "salt", "id"))
+        order = np.lexsort((ids, ids != pivot, salt, pivot))
+        packed = table["packed"].combine_chunks()
+        lengths = pc.binary_length(packed).to_numpy(zero_copy_only=False)[order]
+        a, b, own, own_of = [], [], None, None
+        for start, stop in byte_runs(lengths, SLICE_BYTES):
+            part = order[start:stop]
+            sets = sets_of(packed.take(pa.array(part)).to_pylist())
+            bounds = np.flatnonzero(np.concatenate([[True], (pivot[part][1:] != pivot[part][:-1]) | (salt[part][1:] != salt[part][:-1])])).tolist()
+            for at, end in zip(bounds, [*bounds[1:], len(part)], strict=True):
+                center = pivot[part[at]]
+                if ids[part[at]] == center:
+                    own, own_of = sets[at], center
+                if own_of != center:
+                    continue
+                both = common(own, sets[at:end])
+                size = np.array([len(s) for s in sets[at:end]])
+                linked_ = ids[part[at:end]][(den * both >= num * (size + len(own) - both)) & (ids[part[at:end]] != center)]
+                a += [center] * len(linked_)
+                b += linked_.tolist()
+        trim()
+        return _edges(a, b)
 
     return run
 
 
-def _in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows (key, id) dealt to groups: a key's blocks of bounded size in pairs, so that every two ids meet in one group."""
-    blocked = rows.join(sizes.select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "key")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    spread = blocked.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.withColumn("group", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).drop("block", "other", "blocks")
+def forest(sets: list[np.ndarray], component: np.ndarray, block: np.ndarray | None, num: int, den: int) -> list[tuple[int, int]]:
+    """Places of rows whose links join all components that links join: at most one link per row.
 
+    block: only rows of different blocks are compared. Common features are counted through the rows that hold each.
+    """
+    if len(sets) == 2:
+        both = common(sets[0], sets[1:])[0]
+        return [(0, 1)] if component[0] != component[1] and den * both >= num * (len(sets[0]) + len(sets[1]) - both) else []
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.bincount(codes)
+    keep = holders[codes] > 1
+    codes, owner = codes[keep], owner[keep]
+    order = np.argsort(codes, kind="stable")
+    rows, starts = owner[order], np.cumsum(np.where(holders > 1, holders, 0)) - holders
+    begin = np.searchsorted(owner, np.arange(len(sets) + 1))
+    component, left, out = component.copy(), len(np.unique(component)), []
+    for x in range(len(sets) - 1):
+        if left == 1:
+            break
+        own = codes[begin[x] : begin[x + 1]]
+        many = holders[own]
+        places = np.repeat(starts[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        both = np.bincount(rows[places], minlength=len(sets))
+        near = (den * both >= num * (size[x] + size - both)) & (component != component[x])
+        near[: x + 1] = False
+        if block is not None:
+            near &= block != block[x]
+        for y in np.flatnonzero(near).tolist():
+            if component[y] != component[x]:
+                out.append((x, y))
+                component[component == component[y]] = component[x]
+                left -= 1
+    return out
+
+
+def _blocks(sets_of: Sets, num: int, den: int, across: bool):
+    """Links (a, b) that join components within groups (key, one, two)."""
 
-def _compared(rows: DataFrame, known: DataFrame, many: int, num: int, den: int, pairs: bool) -> DataFrame:
-    """`_near` of rows (key, id, component, group) with sketches known."""
-    placed = rows.withColumn("task", F.pmod("group", F.lit(max(1, math.ceil(many / TASK_ROWS)))).cast("int"))
-    seen = placed.join(known.select("id", "n", "sketch"), "id").select("task", "group", "key", "id", "component", "n", "sketch")
-    return seen.groupBy("task").applyInArrow(_near(num, den, pairs), "a long, b long" if pairs else "key long, id long")
+    def run(table: pa.Table) -> pa.Table:
+        key, one, two, ids, component, block = (table[c].to_numpy() for c in ("key", "one", "two", "id", "component", "block"))
+        order = np.lexsort((ids, two, one, key))
+        packed = table["packed"].combine_chunks()
+        key, one, two = key[order], one[order], two[order]
+        bounds = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])])).tolist()
+        a, b = [], []
+        # groups are unpacked some at a time, a group always whole
+        starts = np.array([*bounds, len(order)])
+        lengths = np.add.reduceat(pc.binary_length(packed).to_numpy(zero_copy_only=False)[order], bounds)
+        for first, last in byte_runs(lengths, SLICE_BYTES):
+            part = order[starts[first] : starts[last]]
+            sets = sets_of(packed.take(pa.array(part)).to_pylist())
+            for g in range(first, last):
+                at, end = starts[g] - starts[first], starts[g + 1] - starts[first]
+                rows = part[at:end]
+                if end - at > 1:
+                    for x, y in forest(sets[at:end], component[rows], block[rows] if across else None, num, den):
+                        a.append(ids[rows[x]])
+                        b.append(ids[rows[y]])
+        trim()
+        return _edges(a, b)
+
+    return run
 
 
-def linked(groups: DataFrame, known: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], num: int, den: int) -> DataFrame:
+def _compared(rows: DataFrame, by: list[str], content: DataFrame, run) -> DataFrame:
+    """run over rows (id, ...) with their content, those of equal `by` in one task."""
+    size = rows.join(content.select("id", "bytes"), "id").agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    tasks = max(16, math.ceil(size[0] / TASK_ROWS), math.ceil((size[1] or 0) / TASK_BYTES))
+    dealt = rows.withColumn("task", F.pmod(F.xxhash64(*by), F.lit(tasks)).cast("int")).join(content.select("id", "packed"), "id")
+    return dealt.groupBy("task").applyInArrow(run, "a long, b long").distinct()
+
+
+def linked(scratch: Scratch, members: DataFrame, content: DataFrame, sets_of: Sets, num: int, den: int) -> DataFrame:
     """(id, component) of the ids that are linked, directly or through others.
 
-    groups: (key, members) rows; a key's ids may be spread over rows. known: (id, n, sketch) of every id. verifier:
-    takes the ids worth a comparison and gives a function of (a, b) rows, a < b, that returns those that are linked;
-    links must have a Jaccard similarity of num/den or more.
+    members: distinct (key, id) rows; content: (id, packed, bytes), one row for every id, bytes the length of packed;
+    sets_of gives the sorted distinct features of packed contents. Ids link when the Jaccard similarity of their features
+    is num/den or more and they share a key.
     """
-    members = cut(groups.select("key", F.explode("members").alias("id")).distinct(), "members")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    first = _in_blocks(members, sizes).withColumn("component", F.lit(0).cast("long"))
-    members = cut(_compared(first, known, members.count(), num, den, False).distinct(), "near")
-    verify = verifier(members.select("id").distinct())
     degree = members.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     central = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("back"))).alias("c"))
-    pivots = cut(central.select("key", (-F.col("c.back")).alias("pivot")), "pivots")
-    ends = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
-    found = cut(verify(members.join(pivots, "key").where("id <> pivot").select(*ends).distinct()), "links")
-    labels = components(found)
+    pivots = scratch.cut(central.select("key", (-F.col("c.back")).alias("pivot")), "pivots")
+    pairs = scratch.cut(members.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct(), "pairs")
+    salts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
+    sent = pairs.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "id")
+    centers = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("id"))
+    found = scratch.cut(_compared(sent.unionByName(centers), ["pivot", "salt"], content, _star(sets_of, num, den)), "links")
+    labels = components(found, scratch)
+    scratch.drop(pairs)
     # the central id of a key is done there: it was compared with all others
-    left = members.join(pivots.withColumnRenamed("pivot", "id"), ["key", "id"], "left_anti")
-    named = left.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("many")).where("least < most")
-    rest = cut(_in_blocks(named, open_keys), "open")
-    many = rest.count()
-    if not many:
-        return labels
-    more = cut(verify(_compared(rest, known, many, num, den, True).distinct()), "links")
-    return labels if more.isEmpty() else components(found.unionByName(more))
+    left = scratch.cut(members.join(pivots.withColumnRenamed("pivot", "id"), ["key", "id"], "left_anti"), "left")
+    for across in (False, True):
+        named = left.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")).join(content.select("id", "bytes"), "id")
+        size = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("many"), F.sum("bytes").alias("all_bytes"))
+        blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("all_bytes") / BLOCK_BYTES)).cast("int")
+        still = size.where("least < most").select("key", blocks.alias("blocks"))
+        still = still.where("blocks > 1") if across else still
+        rows = named.join(still, "key").select("key", "id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+        if across:
+            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+            rows = rows.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "component", "block")
+        else:
+            rows = rows.select("key", F.col("block").alias("one"), F.col("block").alias("two"), "id", "component", "block")
+        rows = scratch.cut(rows, "open")
+        if rows.isEmpty():
+            break
+        more = scratch.cut(_compared(rows, ["key", "one", "two"], content, _blocks(sets_of, num, den, across)), "links")
+        scratch.drop(rows)
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            labels = components(found, scratch)
+    return labels

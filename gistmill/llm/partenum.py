@@ -25,16 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import keys
-from .common import by_bytes, cut, mix64, pack_text, text_bytes, unpack
-from .linkage import linked, sketch
+from .common import Scratch, by_bytes, mix64, packed_texts, text_bytes, unpack
+from .linkage import linked
 from .words import shingle_sets
 
 #: Upper ends of size bands grow by this factor.
 BAND = 1.5
 #: Contents of fewer features are weak; groups beyond those needed, by which that many weak groups do no harm.
 WEAK = 2
-#: Up to so many ids whose whole sets are needed are broadcast; beyond, the packed texts are shuffled to meet them.
-BROADCAST_IDS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -101,26 +99,27 @@ def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-PROFILE = [("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("sketch", pa.binary())]
-PROFILE_SQL = "doc_id long, n long, low long, high long, sketch binary"
+PROFILE = [("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("packed", pa.binary())]
+PROFILE_SQL = "doc_id long, n long, low long, high long, packed binary"
 
 
 def _profile(size: int, num: int, den: int, buckets: int):
-    names = [n for n, _ in PROFILE + keys.PACKED]
-    kinds = dict(PROFILE + keys.PACKED)
+    """Size, name and packed text of each document's set, and its signatures packed for their buckets."""
+    names = [n for n, _ in PROFILE] + [f"s_{n}" for n, _ in keys.PACKED]
+    kinds = dict(zip(names, (t for _, t in PROFILE + keys.PACKED), strict=True))
 
-    def batch(rows: dict[str, list]) -> pa.RecordBatch:
+    def batch(rows: dict[str, list | pa.Array]) -> pa.RecordBatch:
         many = len(next(iter(rows.values())))
-        return pa.RecordBatch.from_arrays([pa.array(rows.get(n, [None] * many), kinds[n]) for n in names], names)
+        return pa.RecordBatch.from_arrays([pa.array(rows[n], kinds[n]) if n in rows else pa.nulls(many, kinds[n]) for n in names], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = keys.Packer(buckets), {}
         for part in by_bytes(batches, "text"):
-            rows: dict[str, list] = {n: [] for n, _ in PROFILE}
+            rows: dict[str, list] = {n: [] for n, _ in PROFILE[:4]}
             signed, owners = [], []
             for doc, own in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), size), strict=True):
                 name = xxhash.xxh3_128_intdigest(own.tobytes())
-                for n, v in zip(rows, (doc, len(own), (name & (1 << 64) - 1) - (1 << 63), (name >> 64) - (1 << 63), sketch(own)), strict=True):
+                for n, v in zip(rows, (doc, len(own), (name & (1 << 64) - 1) - (1 << 63), (name >> 64) - (1 << 63)), strict=True):
                     rows[n].append(v)
                 if doc is not None and name not in seen and len(own):  # equal sets are one; a task signs the first
                     if len(seen) > 200_000:
@@ -129,25 +128,18 @@ def _profile(size: int, num: int, den: int, buckets: int):
                     got = signatures(own, num, den)
                     signed.append(got)
                     owners.append(np.full(len(got), doc, np.int64))
-            yield batch(rows)
+            yield batch(rows | {"packed": packed_texts(part.column("text"))})
             if signed:
                 for packed in packer.add(np.concatenate(signed), np.concatenate(owners)):
-                    yield batch(packed)
+                    yield batch({f"s_{n}": v for n, v in packed.items()})
         for packed in packer.end():
-            yield batch(packed)
+            yield batch({f"s_{n}": v for n, v in packed.items()})
 
     return run
 
 
 def _sets(size: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_bytes(batches, "packed", 1 << 20):
-            texts = pa.array([unpack(x).decode() for x in part.column("packed").to_pylist()], pa.string())
-            sets = [s.view(np.int64) for s in shingle_sets(texts, size)]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]), pa.int64()))], ["id", "features"])
-
-    return run
+    return lambda packed: shingle_sets(pa.array([unpack(x).decode() for x in packed], pa.string()), size)
 
 
 def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -156,40 +148,31 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     Documents link when den * |intersection| >= num * |union| of their sets of `size`-word shingles. component_id is the
     smallest doc_id reachable by links. Null, empty and blank texts have an empty set and link with nothing, and so do
     rows with a null doc_id (their component is null). Rows repeated with one id count as one document, under its
-    largest set if their texts differ. Other columns are left out; an empty table gives no rows.
+    largest set if their texts differ. Very long texts count whole. Other columns are left out; an empty table gives no
+    rows.
     """
+    scratch = Scratch(docs.sparkSession, "partenum")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = text_bytes(plain)
     # signatures of a set are about 2 (den - num) / (den + num) of its size, times 3 / 2 for subsets and 1.7 for bands
-    pairs = total / 6 * 5.1 * (den - num) / (den + num)
-    both = cut(plain.mapInArrow(_profile(size, num, den, keys.bucket_count(pairs)), f"{PROFILE_SQL}, {keys.PACKED_SQL}"), "profile")
-    profile = both.where("n is not null").select(*(n for n, _ in PROFILE))
-    known = profile.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "low", "high", "sketch")).alias("s")).select("doc_id", "s.*")
+    pairs = text_bytes(plain) / 6 * 5.1 * (den - num) / (den + num)
+    signed = ", ".join(f"s_{x.strip()}" for x in keys.PACKED_SQL.split(","))
+    both = scratch.cut(plain.mapInArrow(_profile(size, num, den, keys.bucket_count(pairs)), f"{PROFILE_SQL}, {signed}"), "profile")
+    profile = scratch.cut(both.where("n is not null").select("doc_id", "n", "low", "high"), "sizes")
+    groups = scratch.cut(keys.shared(both.select(*(F.col(f"s_{n}").alias(n) for n, _ in keys.PACKED)), alike=True).select("key", "members"), "groups")
+    known = profile.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "low", "high")).alias("s")).select("doc_id", "s.*")
     classes = known.groupBy("n", "low", "high").agg(F.min("doc_id").alias("rep"))
-    member = cut(known.join(classes, ["n", "low", "high"]).select("doc_id", "rep", "n", "sketch"), "members")
-    groups = cut(keys.shared(both.select(*(n for n, _ in keys.PACKED)), alike=True), "groups")
+    member = scratch.cut(known.join(classes, ["n", "low", "high"]), "members")
     # signatures name any document of a class of equal sets; from here on the class's smallest id stands for it
-    named = groups.select("key", F.explode("members").alias("doc_id")).join(member.select("doc_id", "rep"), "doc_id").groupBy("key", "rep").agg(F.lit(1).alias("one"))
-    lists = named.select("key", F.array("rep").alias("members"))
-
-    def verifier(ids: DataFrame):
-        wanted = cut(ids.select(F.col("id").alias("doc_id")), "wanted")
-        if wanted.count() <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
-        texts = plain.where("doc_id is not null and text is not null").mapInArrow(pack_text, "doc_id long, packed binary")
-        made = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, features array<long>")
-        sets = cut(made.groupBy("id").agg(F.max_by("features", F.size("features")).alias("features")), "sets")
-
-        def verify(asked: DataFrame) -> DataFrame:
-            left, right = (sets.select(F.col("id").alias(c), F.col("features").alias(f"f{c}")) for c in "ab")
-            met = asked.join(left, "a").join(right, "b")
-            common = F.size(F.array_intersect("fa", "fb"))
-            return met.where(den * common >= num * (F.size("fa") + F.size("fb") - common)).select("a", "b")
-
-        return verify
-
-    reps = member.where("doc_id = rep").select(F.col("rep").alias("id"), "n", "sketch")
-    labels = linked(lists, reps, verifier, num, den)
+    named = groups.select("key", F.explode("members").alias("doc_id")).join(member.select("doc_id", "rep"), "doc_id").select("key", F.col("rep").alias("id")).distinct()
+    named = scratch.cut(named, "named")
+    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
+    met = scratch.cut(named.join(several, "key", "left_semi"), "met")
+    asked = met.select(F.col("id").alias("doc_id")).distinct().join(member.where("doc_id = rep"), "doc_id").select("doc_id", "n", "low", "high")
+    texts = both.where("n > 0").select("doc_id", "n", "low", "high", "packed").join(asked, ["doc_id", "n", "low", "high"], "left_semi")
+    content = scratch.cut(texts.select(F.col("doc_id").alias("id"), "packed", F.octet_length("packed").alias("bytes")).dropDuplicates(["id"]), "content")
+    scratch.drop(both, groups, named)
+    labels = linked(scratch, met, content, _sets(size), num, den)
+    scratch.drop(content, met)
     found = member.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     return profile.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

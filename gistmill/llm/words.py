@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,6 +12,9 @@ import xxhash
 
 from .common import mix64
 
+#: A text of more bytes is split into words in slices of about so many, which end at white space.
+SLICE_BYTES = 4 << 20
+
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """All words in order, and how many each text has; a null text has none. lower: A-Z only."""
@@ -43,11 +49,39 @@ def window_hashes(codes: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarra
     return out
 
 
+def slices(text: bytes, ends: bytes, limit: int) -> Iterator[bytes]:
+    """A text in slices of at least `limit` bytes, parted at (and without) one byte that matches `ends`."""
+    stop, at = re.compile(ends), 0
+    while at <= len(text):
+        found = stop.search(text, min(at + limit, len(text)))
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end + 1
+
+
+def _long_set(text: bytes, size: int) -> np.ndarray:
+    """shingle_sets of one very long text: word hashes slice by slice, then the shingles of them all."""
+    each = [np.zeros(0, np.uint64)]
+    for part in slices(text, rb"[\x20\x09-\x0D]", SLICE_BYTES):
+        codes, distinct = word_codes(split_words(pa.array([part], pa.binary()).cast(pa.string()), lower=True)[0])
+        each.append(hash_strings(distinct)[codes])
+    return _set(np.concatenate(each), size)
+
+
+def _set(each: np.ndarray, size: int) -> np.ndarray:
+    n = len(each)
+    if n >= size:
+        return np.unique(window_hashes(np.arange(n), each, size))
+    return window_hashes(np.arange(n), each, n) ^ np.uint64(n) if n else np.zeros(0, np.uint64)
+
+
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its `size`-word shingles (A-Z lower-cased).
 
     A text with fewer words has the whole sequence as its one shingle; one without words has none.
     """
+    if len(texts) == 1 and texts[0].is_valid and len(raw := texts.cast(pa.binary())[0].as_py()) > SLICE_BYTES:
+        return [_long_set(raw, size)]
     words, counts = split_words(texts, lower=True)
     codes, distinct = word_codes(words)
     hashes = hash_strings(distinct)
@@ -56,9 +90,7 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     for n in counts.tolist():
         if n >= size:
             out.append(np.unique(rolled[at : at + n - size + 1]))
-        elif n:
-            out.append(window_hashes(codes[at : at + n], hashes, n) ^ np.uint64(n))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(_set(hashes[codes[at : at + n]], size))
         at += n
     return out

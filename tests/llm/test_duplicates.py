@@ -10,7 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gistmill.llm import keys, linkage, paragraphs, partenum, suffix
+from gistmill.llm import keys, linkage, paragraphs, partenum, suffix, words
+from gistmill.llm.words import hash_strings, window_hashes
 
 from .conftest import prose
 
@@ -71,6 +72,45 @@ def test_join(spark, size, num, den):
     assert got == {i: (len(sets[i]), want[i]) for i in sets} and len(set(want.values())) < len(want)
 
 
+def test_join_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "BLOCK", 3)
+    monkeypatch.setattr(linkage, "TASK_ROWS", 5)
+    long = prose(3, 900).split()
+    texts = [" ".join(long[i * 12 : i * 12 + 300]) for i in range(40)] + [" ".join(long[:300])] * 9 + [prose(50 + i, 80) for i in range(5)]
+    random.Random(1).shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for size, num, den in ((3, 90, 100), (5, 4, 5)):
+        sets = {i: shingles(t, size) for i, t in enumerate(texts)}
+        want = plain_components(sets, num, den)
+        assert {r["doc_id"]: r["component_id"] for r in partenum.join(docs, size, num, den).collect()} == want
+        assert sum(1 for i in want.values() if i == want[texts.index(" ".join(long[:300]))]) >= 49
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=8), min_size=2, max_size=12), st.booleans(), st.data())
+def test_forest(sets, across, data):
+    n = len(sets)
+    component, block = (np.array(data.draw(st.lists(st.integers(0, 3), min_size=n, max_size=n))) for _ in range(2))
+    got = linkage.forest([np.array(sorted(s), np.uint64) for s in sets], component, block if across else None, 1, 2)
+    up = {("c", int(c)): int(c) for c in component}
+
+    def joined(edges):
+        label = component.copy()
+        for x, y in edges:
+            label[label == label[y]] = label[x]
+        return {frozenset(np.flatnonzero(label == c).tolist()) for c in label}
+
+    every = [(x, y) for x in range(n) for y in range(x + 1, n) if 2 * len(sets[x] & sets[y]) >= len(sets[x] | sets[y]) and (not across or block[x] != block[y])]
+    assert joined(got) == joined(every) and len(got) < max(2, len(up))
+
+
+def test_long_text_sets(monkeypatch):
+    monkeypatch.setattr(words, "SLICE_BYTES", 50)
+    for text in (prose(4, 400), "a " * 90, "x" * 300, "é " + prose(5, 30) + "\t\u3000end", " " * 200):
+        long = words.shingle_sets(pa.array([text]), 5)[0]
+        assert np.array_equal(long, words.shingle_sets(pa.array([text, "other"]), 5)[0])
+
+
 def test_join_of_odd_documents(odd_docs, no_docs):
     got = partenum.join(odd_docs, 3, 90, 100).collect()
     sets = {r["doc_id"]: shingles(r["text"], 3) for r in odd_docs.collect() if r["doc_id"] is not None}
@@ -117,6 +157,47 @@ def test_shared_keys(spark, monkeypatch):
     assert alike <= {frozenset(v) for v in want.values() if len(v) > 1}
 
 
+def plain_paragraphs(text):
+    """(line, first word, words, is a piece) of a text, by its own reading of the rules."""
+    out = []
+    for k, line in enumerate((text or "").split("\n")):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line))
+        out.append((k, 0, tuple(words), False))
+        if len(words) <= 50:
+            continue
+        ends = [i + 1 for i, w in enumerate(words) if w[-1] in ".!?" and i + 1 < len(words)]
+        sentences = [(a, b) for a, b in zip([0, *ends], [*ends, len(words)], strict=True)]
+        out += [(k, a, tuple(words[a:b]), False) for a, b in sentences if len(sentences) > 1]
+        each = hash_strings(pa.array(words))
+        pairs = window_hashes(np.arange(len(words)), each, 2).tolist()
+        least = {max(i for i in range(s, s + 12) if pairs[i] == min(pairs[s : s + 12])) for s in range(len(words) - 12)}
+        for p in sorted(least):
+            touched = [b - a for a, b in sentences if a < p + 12 and b > p]
+            alike = any(b - a == 11 and a in (p, p + 1) for a, b in sentences)
+            if p + 12 <= len(words) and not alike and any(n < 8 or n > 20 for n in touched):
+                out.append((k, p, tuple(words[p : p + 12]), True))
+    return [u for u in out if len(u[2]) >= 8]
+
+
+def plain_repeats(texts, num=4, den=5):
+    units = [(d, *u) for d, t in sorted(texts.items()) for u in sorted(plain_paragraphs(t), key=lambda u: (u[0], u[1], -len(u[2]), u[3]))]
+    comp = plain_components({i: shingles(" ".join(u[3]), 5) if not u[4] else set() for i, u in enumerate(units)}, num, den)
+    first = {}
+    for i, u in enumerate(units):  # equal words are one, pieces too
+        j = first.setdefault(u[3], i)
+        x, y = comp[i], comp[j]
+        comp = {k: min(x, y) if c in (x, y) else c for k, c in comp.items()}
+    heads = {}
+    for i in comp:
+        heads.setdefault(comp[i], units[i])
+    out = set()
+    for i, (d, line, at, words, _) in enumerate(units):
+        head = heads[comp[i]]
+        if not (d == head[0] and line == head[1] and at < head[2] + len(head[3]) and head[2] < at + len(words)):
+            out.add((d, line, at, len(words), head[0]))
+    return out
+
+
 def test_paragraphs(spark):
     rng = random.Random(4)
     shared = [prose(500 + i, 55) for i in range(3)]
@@ -126,17 +207,22 @@ def test_paragraphs(spark):
         words = shared[i % 3].split()
         words[rng.randrange(10)] = "changed"
         texts[i + 1] += " " + " ".join(words) + " " + prose(i + 90, 20)
+    bare = prose(77, 70).replace(".", "")
+    texts += [prose(i + 200, 30) + " " + bare + " " + prose(i + 300, 9) for i in range(3)] + ["\n".join([texts[0]] * 3)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {(r["doc_id"], r["line"], r["first_word"], r["n_words"]) for r in paragraphs.repeats(docs).collect()}
-    u = paragraphs.units_of(pa.array(texts))
-    ids = paragraphs.unit_ids(np.arange(len(texts))[u.owner], u.number)
-    sets = {int(i): set(u.shingles[f : f + c].tolist()) for i, f, c in zip(ids, u.first, u.count, strict=True)}
-    comp = plain_components(sets, 4, 5)
-    want = {(int(u.owner[k]), int(u.line[k]), int(u.word[k]), int(u.words[k])) for k, i in enumerate(ids.tolist()) if comp[i] != i}
-    assert got == want and {d for d, *_ in got} >= {6, 8, 10}
-    # passages inside longer lines are found too
-    assert {1, 3, 5} & {d for d, *_ in got}
-    assert paragraphs.tuned(0.8, 0.995) <= paragraphs.BANDS
+    got = {(r["doc_id"], r["line"], r["first_word"], r["n_words"], r["kept_doc_id"]) for r in paragraphs.repeats(docs).collect()}
+    want = plain_repeats(dict(enumerate(texts)))
+    assert got == want and {d for d, *_ in got} >= {6, 8, 10, 21, 22, 23} and {1, 3, 5} & {d for d, *_ in got}
+    assert paragraphs.tuned(0.8, 0.998) == 9
+
+
+def test_paragraphs_of_a_long_text(spark):
+    lines = [prose(k % 5000, 9 + k % 7) for k in range(60_000)]
+    text = "\n".join(lines)
+    assert len(text) > 3 * paragraphs.WORK_BYTES
+    docs = spark.createDataFrame([(1, lines[59_999] + "\n" + lines[7]), (2, text), (2**62, lines[3])], "doc_id long, text string")
+    got = {(r["doc_id"], r["line"], r["kept_doc_id"]) for r in paragraphs.repeats(docs).collect()}
+    assert {(2, 59_999, 1), (2, 7, 1), (2, 5007, 1), (2, 5008, 2), (2**62, 0, 2)} <= got and (2, 8, 2) not in got and len(got) > 54_000
 
 
 def test_paragraphs_of_odd_documents(odd_docs, no_docs):
@@ -164,7 +250,7 @@ def test_paragraphs_inside_long_lines(spark):
         left, right = (bare(s, rng.randrange(60)) + rng.choice(["", "."]) for s in (5000 + seed, 6000 + seed))
         texts = [" ".join([left, *passage, right]), " ".join([bare(7000 + seed, rng.randrange(30)), *passage, bare(8000 + seed, rng.randrange(9))])]
         u = paragraphs.units_of(pa.array(texts))
-        assert set(u.content[u.owner == 0].tolist()) & set(u.content[u.owner == 1].tolist()), seed
+        assert set(u.low[u.owner == 0].tolist()) & set(u.low[u.owner == 1].tolist()), seed
     passage = bare(1, 60)
     texts = [bare(2, 40) + " " + passage + " " + bare(3, 40), bare(4, 30) + " " + passage + " " + bare(5, 35), bare(6, 3) + ". " + bare(7, 57)]
     got = paragraphs.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
