@@ -1,11 +1,15 @@
 """Components of verified links among ids that share keys, without forming all pairs of a group.
 
-First every key compares its most central id, the one under the most keys, with the others: ids go with their content to
-the central id, a bounded number to a task, and are compared there. Links are contracted into components, and keys whose
-ids are all in one are done. The ids of the other keys are dealt to blocks of bounded size and compared exactly inside the
-task, by counting common features; a block gives a spanning forest of its links, so at most one row per id leaves it.
-Keys that are still open after that have their blocks compared two by two. So no link is lost, groups of copies are
-settled by one comparison per member, and what leaves a task grows with its ids, not with their square.
+Where ids have sketches, parities of the number of features per cell of the feature domain, these come first: they never
+differ in more cells than the sets in features, so a group falls into the parts whose ids are joined by sketches that
+allow the threshold, before any content moves, and equal parts of several groups are one. Then every key compares its
+most central id, the one under the most keys, with the others: ids go with their content to the central id, a bounded
+number to a task, and are compared there. Links are contracted into components, and keys whose ids are all in one are
+done. The other keys are merged into families where they share ids, and the ids of a family are dealt to blocks of
+bounded size and compared exactly inside the task, by counting common features; a block gives a spanning forest of its
+links, so at most one row per id leaves it. Families that are still open after that have their blocks compared two by
+two. So no link is lost, groups of copies are settled by one comparison per member, and what leaves a task grows with its
+ids, not with their square.
 """
 
 from __future__ import annotations
@@ -19,14 +23,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_runs, trim
+from .common import Scratch, byte_runs, mix64, trim
 
 #: Ids, and bytes of their packed content, that are compared with one central id or with each other in one go.
 BLOCK, BLOCK_BYTES = 4096, 4 << 20
 #: Rows, and bytes of packed content, of a comparing task on average.
 TASK_ROWS, TASK_BYTES = 8192, 16 << 20
+#: Rows of a task that compares sketches on average.
+SKETCH_ROWS = 20_000
 #: Bytes of packed content that are unpacked at a time where rows are compared one by one.
 SLICE_BYTES = 1 << 20
+#: Sketches have at least two cells a feature, 2^6 to 2^(LEVELS + 5) of them.
+LEVELS = 16
 
 Sets = Callable[[list[bytes]], list[np.ndarray]]
 
@@ -52,6 +60,86 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     return labels
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """For each cell of the hashed feature domain whether it holds an odd number of features, one bit a cell.
+
+    Two sketches differ in no more bits than their sets in features. A sketch of half the cells is the two halves of the
+    larger one combined by exclusive or, so two sketches meet at the coarser size.
+    """
+    many = 1 << min(max((2 * len(features) - 1).bit_length(), 6), LEVELS + 5)
+    odd = np.bincount((mix64(features) & np.uint64(many - 1)).astype(np.int64), minlength=many) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+class Sketches:
+    """Sketches of many rows, folded to each number of cells for the rows that have as many."""
+
+    def __init__(self, rows: list[bytes]):
+        self.level = np.array([len(r).bit_length() - 4 for r in rows])
+        self.tables, self.places = [np.zeros((0, 1), np.uint64)] * LEVELS, [np.zeros(0, np.int64)] * LEVELS
+        held, table = np.zeros(0, np.int64), np.zeros((0, 1 << LEVELS), np.uint64)
+        for k in reversed(range(LEVELS)):
+            own, half = np.flatnonzero(self.level == k), 1 << k
+            mine = np.frombuffer(b"".join(rows[i] for i in own.tolist()), np.uint64).reshape(-1, half)
+            table, held = np.concatenate([table[:, :half] ^ table[:, half:], mine]), np.concatenate([held, own])
+            self.tables[k], self.places[k] = table, np.full(len(rows), -1)
+            self.places[k][held] = np.arange(len(held))
+
+    def near(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether the sketches of rows x and y differ in at most `most` bits, at the most cells that both have."""
+        ok, level = np.zeros(len(x), bool), np.minimum(self.level[x], self.level[y])
+        for k in np.unique(level).tolist():
+            todo, (table, place) = np.flatnonzero(level == k), (self.tables[k], self.places[k])
+            for at in range(0, len(todo), (1 << 20) >> k or 1):
+                own = todo[at : at + ((1 << 20) >> k or 1)]
+                ok[own] = np.bitwise_count(table[place[x[own]]] ^ table[place[y[own]]]).sum(axis=1, dtype=np.int64) <= most[own]
+        return ok
+
+
+def join_labels(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels (each the smallest place it joins) after x and y are joined too."""
+    while len(apart := np.flatnonzero(label[x] != label[y])):
+        one, two = label[x[apart]], label[y[apart]]
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while not np.array_equal(again := label[label], label):
+            label = again
+    return label
+
+
+def _near(num: int, den: int):
+    """Rows of groups (key, one, two), parted into what is joined by sketches that allow a Jaccard similarity of num/den.
+
+    Out go (key, id) rows of the parts of two ids and more, the key made of the part's ids, so that equal parts are one.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        key, one, two, ids, n = (table[c].to_numpy() for c in ("key", "one", "two", "id", "n"))
+        order = np.lexsort((n, two, one, key))
+        key, one, two, ids, n = (x[order] for x in (key, one, two, ids, n))
+        raw = table["sketch"].to_pylist()
+        known = Sketches([raw[k] for k in order.tolist()])
+        group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        label, active, step = np.arange(len(ids)), np.arange(len(ids)), 0
+        while len(active):  # sizes rise within a group, so a row is done at the first partner too large for it
+            step += 1
+            active = active[active + step < len(ids)]
+            active = active[(group[active + step] == group[active]) & (num * n[active + step] <= den * n[active])]
+            for at in range(0, len(active), 1 << 15):
+                x = active[at : at + (1 << 15)]
+                x = x[label[x] != label[x + step]]
+                ok = known.near(x, x + step, (n[x] + n[x + step]) * (den - num) // (den + num))
+                label = join_labels(label, x[ok], x[ok] + step)
+        trim()
+        order = np.argsort(label, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]]))
+        sizes = np.diff(np.append(starts, len(order)))
+        names = np.add.reduceat(mix64(ids[order].view(np.uint64) + np.uint64(1)), starts).view(np.int64)
+        keep = np.repeat(sizes > 1, sizes)
+        return pa.table({"key": pa.array(np.repeat(names, sizes)[keep], pa.int64()), "id": pa.array(ids[order][keep], pa.int64())})
+
+    return run
+
+
 def common(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """How many elements of each set are in `own`; all are sorted and distinct."""
     if not len(own) or not sets:
@@ -162,14 +250,39 @@ def _blocks(sets_of: Sets, num: int, den: int, across: bool):
     return run
 
 
+def _dealt(rows: DataFrame, by: list[str], tasks: int) -> DataFrame:
+    return rows.withColumn("task", F.pmod(F.xxhash64(*by), F.lit(tasks)).cast("int"))
+
+
 def _compared(rows: DataFrame, by: list[str], content: DataFrame, run) -> DataFrame:
     """run over rows (id, ...) with their content, those of equal `by` in one task."""
     size = rows.join(content.select("id", "bytes"), "id").agg(F.count(F.lit(1)), F.sum("bytes")).first()
     tasks = max(16, math.ceil(size[0] / TASK_ROWS), math.ceil((size[1] or 0) / TASK_BYTES))
-    dealt = rows.withColumn("task", F.pmod(F.xxhash64(*by), F.lit(tasks)).cast("int")).join(content.select("id", "packed"), "id")
+    dealt = _dealt(rows, by, tasks).join(content.select("id", "packed"), "id")
     return dealt.groupBy("task").applyInArrow(run, "a long, b long").distinct()
 
 
+def _in_blocks(rows: DataFrame, across: bool | None) -> DataFrame:
+    """Rows with (key, block, blocks) dealt to groups (key, one, two): across: a key's blocks by twos; not across: each
+    block by itself; None: both."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if across is not False else F.col("block")
+    rows = rows.withColumn("other", other)
+    rows = rows.where("other <> block") if across else rows
+    return rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("other", "blocks")
+
+
+def with_near_sketch(scratch: Scratch, members: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (key, id), keys made anew, of the ids that their sketches leave together; known: (id, n, sketch) of every id."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    blocked = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = scratch.cut(_in_blocks(blocked, None).drop("block"), "blocked")
+    tasks = max(16, math.ceil(rows.count() / SKETCH_ROWS))
+    seen = _dealt(rows, ["key", "one", "two"], tasks).join(known, "id").select("task", "key", "one", "two", "id", "n", "sketch")
+    near = scratch.cut(seen.groupBy("task").applyInArrow(_near(num, den), "key long, id long").distinct(), "near")
+    scratch.drop(rows)
+    return near
+
+
 def linked(scratch: Scratch, members: DataFrame, content: DataFrame, sets_of: Sets, num: int, den: int) -> DataFrame:
     """(id, component) of the ids that are linked, directly or through others.
 
@@ -186,22 +299,24 @@ def linked(scratch: Scratch, members: DataFrame, content: DataFrame, sets_of: Se
     centers = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("id"))
     found = scratch.cut(_compared(sent.unionByName(centers), ["pivot", "salt"], content, _star(sets_of, num, den)), "links")
     labels = components(found, scratch)
-    scratch.drop(pairs)
-    # the central id of a key is done there: it was compared with all others
-    left = scratch.cut(members.join(pivots.withColumnRenamed("pivot", "id"), ["key", "id"], "left_anti"), "left")
+    # the central id of a key is done there: it was compared with all others; keys in one component are done
+    named = members.join(pivots.withColumnRenamed("pivot", "id"), ["key", "id"], "left_anti").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    still = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("id").alias("first")).where("least < most")
+    open_ = scratch.cut(named.join(still.select("key", "first"), "key").select("first", "id").distinct(), "open")
+    scratch.drop(pairs, pivots)
+    if open_.isEmpty():
+        return labels
+    # keys that share ids are one family: its ids are compared once, however many keys they share
+    families = components(open_.select(F.col("first").alias("a"), F.col("id").alias("b")), scratch).select("id", F.col("component").alias("key"))
+    families = scratch.cut(families.join(content.select("id", "bytes"), "id"), "families")
     for across in (False, True):
-        named = left.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")).join(content.select("id", "bytes"), "id")
+        named = families.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "bytes")
         size = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("many"), F.sum("bytes").alias("all_bytes"))
         blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("all_bytes") / BLOCK_BYTES)).cast("int")
         still = size.where("least < most").select("key", blocks.alias("blocks"))
         still = still.where("blocks > 1") if across else still
-        rows = named.join(still, "key").select("key", "id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-        if across:
-            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
-            rows = rows.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "component", "block")
-        else:
-            rows = rows.select("key", F.col("block").alias("one"), F.col("block").alias("two"), "id", "component", "block")
-        rows = scratch.cut(rows, "open")
+        blocked = named.join(still, "key").select("key", "id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+        rows = scratch.cut(_in_blocks(blocked, across), "blocked")
         if rows.isEmpty():
             break
         more = scratch.cut(_compared(rows, ["key", "one", "two"], content, _blocks(sets_of, num, den, across)), "links")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import keys
 from .common import Scratch, by_bytes, mix64, packed_texts, text_bytes, unpack
-from .linkage import linked
+from .linkage import linked, sketch, with_near_sketch
 from .words import shingle_sets
 
 #: Upper ends of size bands grow by this factor.
@@ -99,12 +99,12 @@ def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-PROFILE = [("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("packed", pa.binary())]
-PROFILE_SQL = "doc_id long, n long, low long, high long, packed binary"
+PROFILE = [("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("sketch", pa.binary()), ("packed", pa.binary())]
+PROFILE_SQL = "doc_id long, n long, low long, high long, sketch binary, packed binary"
 
 
 def _profile(size: int, num: int, den: int, buckets: int):
-    """Size, name and packed text of each document's set, and its signatures packed for their buckets."""
+    """Size, name, sketch and packed text of each document's set, and its signatures packed for their buckets."""
     names = [n for n, _ in PROFILE] + [f"s_{n}" for n, _ in keys.PACKED]
     kinds = dict(zip(names, (t for _, t in PROFILE + keys.PACKED), strict=True))
 
@@ -115,11 +115,11 @@ def _profile(size: int, num: int, den: int, buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = keys.Packer(buckets), {}
         for part in by_bytes(batches, "text"):
-            rows: dict[str, list] = {n: [] for n, _ in PROFILE[:4]}
+            rows: dict[str, list] = {n: [] for n, _ in PROFILE[:5]}
             signed, owners = [], []
             for doc, own in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), size), strict=True):
                 name = xxhash.xxh3_128_intdigest(own.tobytes())
-                for n, v in zip(rows, (doc, len(own), (name & (1 << 64) - 1) - (1 << 63), (name >> 64) - (1 << 63)), strict=True):
+                for n, v in zip(rows, (doc, len(own), (name & (1 << 64) - 1) - (1 << 63), (name >> 64) - (1 << 63), sketch(own)), strict=True):
                     rows[n].append(v)
                 if doc is not None and name not in seen and len(own):  # equal sets are one; a task signs the first
                     if len(seen) > 200_000:
@@ -165,12 +165,13 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     # signatures name any document of a class of equal sets; from here on the class's smallest id stands for it
     named = groups.select("key", F.explode("members").alias("doc_id")).join(member.select("doc_id", "rep"), "doc_id").select("key", F.col("rep").alias("id")).distinct()
     named = scratch.cut(named, "named")
-    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
-    met = scratch.cut(named.join(several, "key", "left_semi"), "met")
-    asked = met.select(F.col("id").alias("doc_id")).distinct().join(member.where("doc_id = rep"), "doc_id").select("doc_id", "n", "low", "high")
-    texts = both.where("n > 0").select("doc_id", "n", "low", "high", "packed").join(asked, ["doc_id", "n", "low", "high"], "left_semi")
-    content = scratch.cut(texts.select(F.col("doc_id").alias("id"), "packed", F.octet_length("packed").alias("bytes")).dropDuplicates(["id"]), "content")
-    scratch.drop(both, groups, named)
+    chosen = ["doc_id", "n", "low", "high"]
+    reps = both.where("n > 0").join(member.where("doc_id = rep").select(*chosen), chosen, "left_semi").withColumnRenamed("doc_id", "id")
+    met = with_near_sketch(scratch, named, reps.select("id", "n", "sketch").dropDuplicates(["id"]), num, den)
+    scratch.drop(groups, named)
+    texts = reps.select("id", "packed").join(met.select("id").distinct(), "id", "left_semi")
+    content = scratch.cut(texts.withColumn("bytes", F.octet_length("packed")).dropDuplicates(["id"]), "content")
+    scratch.drop(both)
     labels = linked(scratch, met, content, _sets(size), num, den)
     scratch.drop(content, met)
     found = member.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
