@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import mix64
 
@@ -98,7 +99,7 @@ def batch_of(rows: dict[str, list]) -> list[pa.Array]:
     return [pa.array(rows[name], kind) for name, kind in PACKED]
 
 
-def _merge(alike: bool):
+def _merge(alike: bool, told: bool):
     def run(table: pa.Table) -> pa.Table:
         direct = table.filter(pc.is_valid(table["members"])).select(["key", "members", "numbers"])
         table = table.filter(pc.is_valid(table["keys"]))
@@ -112,7 +113,10 @@ def _merge(alike: bool):
         keep = sizes > 1
         if alike:  # keys with the same ids tell the same; which ids is told by a sum of scrambled ids
             sums = np.add.reduceat(mix64(mix64(ids.astype(np.uint64) + np.uint64(1)) + subs.astype(np.uint64)), starts) >> np.uint64(16)
-            names = np.where(np.isin(names, hot), names, -1 - sums.astype(np.int64))
+            sums = sums.astype(np.int64)
+            if told:
+                sums = (sums & ~1) | (names >> (KEY_BITS - 1))
+            names = np.where(np.isin(names, hot), names, -1 - sums)
             first = np.zeros(len(starts), bool)
             first[np.unique(names, return_index=True)[1]] = True
             keep &= first
@@ -125,10 +129,20 @@ def _merge(alike: bool):
     return run
 
 
-def shared(packed: DataFrame, alike: bool = False) -> DataFrame:
+def told_apart(keys: np.ndarray, kind: int) -> np.ndarray:
+    """64-bit keys with the upper bit set to a kind, 0 or 1; `is_kind` finds it again in what `shared` gives."""
+    return (keys >> np.uint64(1)) | np.uint64(kind << 63)
+
+
+def is_kind(key: Column, kind: int) -> Column:
+    return F.when(key < 0, (-1 - key).bitwiseAND(F.lit(1))).otherwise(F.shiftright(key, KEY_BITS - 1)) == kind
+
+
+def shared(packed: DataFrame, alike: bool = False, told: bool = False) -> DataFrame:
     """(key, members, numbers) rows for keys under more than one id; a key's ids are all members of its rows together.
 
     alike: keys with the same set of ids are given once a bucket, under one negative number in place of the key, so that
-    a distinct over the rows leaves them once. Members may come under one key several times.
+    a distinct over the rows leaves them once. told: of each kind of `told_apart` on its own. Members may come under one
+    key several times.
     """
-    return packed.where("bucket is not null").select(*(n for n, _ in PACKED)).groupBy("bucket").applyInArrow(_merge(alike), "key long, members array<long>, numbers array<int>")
+    return packed.where("bucket is not null").select(*(n for n, _ in PACKED)).groupBy("bucket").applyInArrow(_merge(alike, told), "key long, members array<long>, numbers array<int>")

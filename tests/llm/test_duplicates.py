@@ -170,7 +170,7 @@ def plain_paragraphs(text):
         out += [(k, a, tuple(words[a:b]), False) for a, b in sentences if len(sentences) > 1]
         each = hash_strings(pa.array(words))
         pairs = window_hashes(np.arange(len(words)), each, 2).tolist()
-        least = {max(i for i in range(s, s + 12) if pairs[i] == min(pairs[s : s + 12])) for s in range(len(words) - 12)}
+        least = {max(i for i in range(s, s + 20) if pairs[i] == min(pairs[s : s + 20])) for s in range(len(words) - 20)}
         for p in sorted(least):
             touched = [b - a for a, b in sentences if a < p + 12 and b > p]
             alike = any(b - a == 11 and a in (p, p + 1) for a, b in sentences)
