@@ -6,6 +6,10 @@ has settle their strings; they meet by packed key exchange. For the others the s
 anchor is sent to the anchor's bucket, where suffixes are sorted: prefix polynomial hashes give the longest common
 extension of two suffixes by binary search, so a comparison in the mergesort takes a logarithmic number of steps, and
 suffixes found equal are verified byte by byte. Of equal strings all but those of the smallest doc_id are removed.
+
+An anchor that more than `HOT_IDS` documents have is split: its strings are dealt one by one, by their own hash, so that
+equal strings still meet and any number of tasks shares the anchor. Texts of more than `WORK_BYTES` are taken in slices
+that overlap by one byte less than a string.
 """
 
 from __future__ import annotations
@@ -23,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import keys
-from .common import by_bytes, cut, mix64, pack_text, text_bytes, unpack
+from .common import Scratch, by_bytes, mix64, pack_text, text_bytes, unpack
 
 LENGTH, GRAM = 50, 20
 #: Bytes of stretches that a task packs at a time, and that a sorting task holds on average.
 PACK_BYTES, SORT_BYTES = 8 << 20, 8 << 20
 #: Bytes of text or stretches that are hashed and sorted at a time; the arrays made of them take about a hundred times that.
 WORK_BYTES = 1 << 20
+#: Documents under an anchor from which its strings are dealt one by one; up to that an anchor's stretches fit in one piece of work.
+HOT_IDS = 8192
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 LETTERS = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -151,15 +157,13 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int =
     if n < length:
         return none
     text = HashedText(raw)
-    at = np.arange(n - gram + 1)
-    grams = mix64((text.prefix[gram:] - text.prefix[:-gram]) * powers_of(INVERSE, len(at)))
-    low = np.uint64((1 << n.bit_length()) - 1)
-    least, have = (grams & ~low) | at.astype(np.uint64), 1
-    while have < wide:  # the smallest of 1, 2, 4, ... neighbours, then of all in the window
+    grams = mix64((text.prefix[gram:] - text.prefix[:-gram]) * powers_of(INVERSE, n - gram + 1))
+    least, chosen, have = grams, np.arange(len(grams), dtype=np.int32), 1
+    while have < wide:  # the first smallest of 1, 2, 4, ... neighbours, then of all in the window
         step = min(have, wide - have)
-        least = np.minimum(least[:-step], least[step:])
+        later = least[step:] < least[:-step]
+        least, chosen = np.where(later, least[step:], least[:-step]), np.where(later, chosen[step:], chosen[:-step])
         have += step
-    chosen = (least & low).astype(np.int64)
     begin = np.concatenate([[0], ends[:-1]])
     counts = np.maximum(ends - begin - length + 1, 0)
     owner = np.repeat(np.arange(len(ends)), counts)
@@ -171,18 +175,25 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int =
     return owner[fresh], start[fresh], np.diff(np.append(fresh, len(owner))), place[fresh], grams[place[fresh]]
 
 
-def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    parts = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
+def _slices(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, ends, text of each, place in it) of the texts; a long one slice by slice, so that every string is in one."""
+    if len(texts) > 1 or len(texts[0]) <= 2 * WORK_BYTES:
+        yield np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]), np.arange(len(texts)), np.zeros(len(texts), np.int64)
+        return
+    for at in range(0, len(texts[0]) - length + 1, WORK_BYTES):
+        own = np.frombuffer(texts[0], np.uint8, min(WORK_BYTES + length - 1, len(texts[0]) - at), at)
+        yield own, np.array([len(own)]), np.zeros(1, np.int64), np.full(1, at)
 
 
-def _keys(buckets: int):
+def _keys(buckets: int, length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, names = keys.Packer(buckets), [n for n, _ in keys.PACKED]
         for part in by_bytes(batches, "text", WORK_BYTES):
-            owner, _, _, _, hashes = anchors(*_joined(part.column("text")))
-            for rows in packer.add(hashes, part.column("doc_id").to_numpy()[owner]):
-                yield pa.RecordBatch.from_arrays(keys.batch_of(rows), names)
+            docs = part.column("doc_id").to_numpy()
+            for raw, ends, which, _ in _slices([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], length):
+                owner, _, _, _, hashes = anchors(raw, ends, length)
+                for rows in packer.add(hashes, docs[which[owner]]):
+                    yield pa.RecordBatch.from_arrays(keys.batch_of(rows), names)
         for rows in packer.end():
             yield pa.RecordBatch.from_arrays(keys.batch_of(rows), names)
 
@@ -212,15 +223,26 @@ def _works(name: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _covered(raw: np.ndarray, at: np.ndarray, size: np.ndarray, name: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Whether a smaller document has a stretch equal to this one under its key."""
-    order = np.lexsort((docs, size, name))
-    change = (name[order][1:] != name[order][:-1]) | (size[order][1:] != size[order][:-1])
-    segment = np.concatenate([[0], np.cumsum(change)])
-    sorted_, classes = suffix_sort(HashedText(raw), at[order], size[order], segment)
-    place = order[sorted_]
-    starts = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
+    """Whether a smaller document has a stretch equal to this one under its key: equal hashes, verified byte by byte."""
     later = np.zeros(len(at), bool)
-    later[place] = docs[place] > np.minimum.reduceat(docs[place], starts)[classes]
+    if not len(at):
+        return later
+    text = HashedText(raw)
+    value = (text.prefix[at + size] - text.prefix[at]) * powers_of(INVERSE, len(raw) + 1)[at]
+    order = np.lexsort((docs, value, size, name))
+    first, second = order[:-1], order[1:]
+    same = (name[first] == name[second]) & (size[first] == size[second]) & (value[first] == value[second])
+    real = same.copy()
+    real[same] = text.verified(at[first[same]], at[second[same]], size[first[same]])
+    if (same & ~real).any():  # a hash collision: these are sorted as suffixes
+        order = np.lexsort((docs, size, name))
+        change = (name[order][1:] != name[order][:-1]) | (size[order][1:] != size[order][:-1])
+        sorted_, classes = suffix_sort(text, at[order], size[order], np.concatenate([[0], np.cumsum(change)]))
+        order = order[sorted_]
+    else:
+        classes = np.concatenate([[0], np.cumsum(~real)])
+    starts = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
+    later[order] = docs[order] > np.minimum.reduceat(docs[order], starts)[classes]
     return later
 
 
@@ -269,19 +291,31 @@ def _stretches(buckets: int, length: int):
         out = Stretches(buckets)
         for part in by_bytes(batches, "packed", WORK_BYTES // 4):
             texts = [unpack(t) for t in part.column("packed").to_pylist()]
-            raw, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
-            owner, start, many, place, hashes = anchors(raw, ends)
-            name = (hashes >> np.uint64(64 - keys.KEY_BITS)).astype(np.int64)
-            lists = part.column("keys")
-            which = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            wanted = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
-            # (text, key) pairs as one number: the text's place is small beside the key's 48 bits
-            shared = np.isin((owner << keys.KEY_BITS) + name, (which << keys.KEY_BITS) + wanted)
-            owner, start, many, place, name = (x[shared] for x in (owner, start, many, place, name))
-            tags = np.where(part.column("repeated").to_numpy(zero_copy_only=False), [zlib.crc32(t) + 1 for t in texts], 0).astype(np.int64)
-            size = many + length - 1
-            begin = np.concatenate([[0], ends[:-1]])
-            yield from out.add(_gather(raw, start, size), part.column("doc_id").to_numpy()[owner], tags[owner], start - begin[owner], place - start, size, name)
+            docs = part.column("doc_id").to_numpy()
+            tag = np.where(part.column("repeated").to_numpy(zero_copy_only=False), [zlib.crc32(t) + 1 for t in texts], 0).astype(np.int64)
+            asked = []  # (text, key) pairs as one number: the text's place is small beside the key's 48 bits
+            for lists in (part.column("keys"), part.column("hot")):
+                own = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                asked.append((own << keys.KEY_BITS) + pc.list_flatten(lists).to_numpy(zero_copy_only=False))
+            for raw, ends, which, base in _slices(texts, length):
+                owner, start, many, place, hashes = anchors(raw, ends, length)
+                name = (hashes >> np.uint64(64 - keys.KEY_BITS)).astype(np.int64)
+                pair = (which[owner] << keys.KEY_BITS) + name
+                hot = np.isin(pair, asked[1])
+                shift = base - np.concatenate([[0], ends[:-1]])
+                for split in (False, True):
+                    own = np.flatnonzero(hot if split else np.isin(pair, asked[0]) & ~hot)
+                    o, s, n, p, k = (x[own] for x in (owner, start, many, place, name))
+                    if split and len(own):  # each string by itself, under its own hash
+                        o, p = np.repeat(o, n), np.repeat(p, n)
+                        s = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                        n = np.ones(len(s), np.int64)
+                        text = HashedText(raw)
+                        values = (text.prefix[s + length] - text.prefix[s]) * powers_of(INVERSE, len(raw) + 1)[s]
+                        k = (mix64(values) >> np.uint64(64 - keys.KEY_BITS)).astype(np.int64)
+                    size = n + length - 1
+                    at = which[o]
+                    yield from out.add(_gather(raw, s, size), docs[at], tag[at], s + shift[o], p - s, size, k)
         yield from out.end()
 
     return run
@@ -337,7 +371,7 @@ def _sort(length: int):
     return run
 
 
-def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def spans(scratch: Scratch, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, tag, start, end) byte spans to remove, overlapping ones included.
 
     tag is 0, or tells the texts of a repeated doc_id apart (crc32 + 1). Null ids take no part.
@@ -345,10 +379,13 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     total = text_bytes(plain)
     buckets = keys.bucket_count(total * 2 / (length - GRAM + 2))
-    packed = plain.mapInArrow(_keys(buckets), keys.PACKED_SQL)
-    shared = keys.shared(packed).select(F.explode("members").alias("doc_id"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    packed = plain.mapInArrow(_keys(buckets, length), keys.PACKED_SQL)
+    met = scratch.cut(keys.shared(packed).select(F.explode("members").alias("doc_id"), "key"), "anchors")
+    # a document may be told twice under a hot key, which makes the count no smaller
+    hot = met.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > HOT_IDS).select("key", F.lit(True).alias("is_hot"))
+    told = met.join(hot, "key", "left").groupBy("doc_id").agg(F.collect_set(F.expr("case when is_hot is null then key end")).alias("keys"), F.collect_set(F.expr("case when is_hot then key end")).alias("hot"))
     repeated = plain.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("repeated"))
-    wanted = cut(shared.join(repeated, "doc_id"), "anchors")
+    wanted = told.join(repeated, "doc_id")
     texts = plain.mapInArrow(pack_text, "doc_id long, packed binary").join(wanted, "doc_id")
     parts = max(16, round(total * 1.5 / SORT_BYTES))
     return texts.mapInArrow(_stretches(parts, length), STRETCHES_SQL).groupBy("bucket").applyInArrow(_sort(length), "doc_id long, tag long, start long, end long")
@@ -386,9 +423,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Removed is each byte covered by a `length`-byte string that also starts in a document of smaller doc_id, judged on
     the whole input. Null texts are empty; a row with a null id is kept whole and gives no strings; rows repeated with
-    an id are not each other's copies; other columns are left out; an empty table gives no rows.
+    an id are not each other's copies; very long texts count whole; other columns are left out; an empty table gives no
+    rows.
     """
-    found = cut(spans(docs, length), "spans").groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
+    scratch = Scratch(docs.sparkSession, "suffix")
+    found = scratch.cut(spans(scratch, docs, length), "spans").groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = plain.mapInArrow(pack_text, "doc_id long, packed binary").join(found, "doc_id", "left").select("doc_id", "packed", "spans")
     return texts.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

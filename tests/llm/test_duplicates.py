@@ -286,6 +286,25 @@ def test_removal(spark):
     assert removed(df) == plain_removal(docs, 50)
 
 
+@pytest.mark.parametrize("hot", [0, 3, 20])
+def test_removal_under_hot_anchors(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT_IDS", hot)
+    rng = random.Random(hot)
+    common = ["a phrase of some thirty bytes ", "another one that many texts hold "]
+    docs = [(i, (prose(i % 40, 8) + "".join(rng.choice(common) + prose(rng.randrange(12), rng.randrange(1, 9)) for _ in range(5))).encode()) for i in range(50)]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in docs], "doc_id long, text string").repartition(3)
+    assert removed(df) == plain_removal(docs, 50)
+
+
+def test_removal_of_a_long_text(spark):
+    parts = [prose(k, 40) for k in range(3000)]
+    long = " ".join(parts[k % 3000] + str(k) for k in range(12_000))
+    assert len(long) > 3 * suffix.WORK_BYTES
+    docs = [(1, " ".join(parts[5:9]).encode()), (2, long.encode()), (3, long[2**20 - 200 : 2**20 + 300].encode() + b"#" + parts[2999].encode())]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in docs], "doc_id long, text string")
+    assert removed(df) == plain_removal(docs, 50)
+
+
 def test_removal_of_odd_documents(odd_docs, no_docs):
     docs = [(r["doc_id"], (r["text"] or "").encode()) for r in odd_docs.collect()]
     assert removed(odd_docs) == plain_removal(docs, 50)
