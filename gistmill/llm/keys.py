@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, trim
 
 #: Pairs that a task packs at a time, and pairs that a merging task holds on average.
 PACK_PAIRS, MERGE_PAIRS = 1 << 19, 1 << 19
@@ -93,6 +93,7 @@ class Packer:
             part = slice(bounds[b], bounds[b + 1])
             row(bucket=b, keys=_squeeze(np.diff(keys[part], prepend=0)), ids=_squeeze(ids[part]), subs=_squeeze(subs[part]), hot=hot_keys[hot_bucket == b].astype("<i8").tobytes())
         yield rows
+        trim()
 
 
 def batch_of(rows: dict[str, list]) -> list[pa.Array]:
@@ -124,6 +125,7 @@ def _merge(alike: bool, told: bool):
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes[keep])]), pa.int32())
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x[chosen], t)) for x, t in ((ids, pa.int64()), (subs, pa.int32()))]
         found = pa.table({"key": pa.array(names[keep], pa.int64()), "members": lists[0], "numbers": lists[1]})
+        trim()
         return pa.concat_tables([found, direct.cast(found.schema)])
 
     return run

@@ -33,7 +33,7 @@ LENGTH, GRAM = 50, 20
 #: Bytes of stretches that a task packs at a time, and that a sorting task holds on average.
 PACK_BYTES, SORT_BYTES = 8 << 20, 8 << 20
 #: Bytes of text or stretches that are hashed and sorted at a time; the arrays made of them take about a hundred times that.
-WORK_BYTES = 1 << 20
+WORK_BYTES = 1 << 19
 #: Documents under an anchor from which its strings are dealt one by one; up to that an anchor's stretches fit in one piece of work.
 HOT_IDS = 8192
 BASE = np.uint64(0x9E3779B97F4A7C15)
