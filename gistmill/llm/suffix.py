@@ -172,7 +172,8 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int =
     start = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begin, counts)
     place = chosen[start]
     fresh = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])]))
-    return owner[fresh], start[fresh], np.diff(np.append(fresh, len(owner))), place[fresh], grams[place[fresh]]
+    # least hashes are small; scrambled again, they fall evenly into ranges
+    return owner[fresh], start[fresh], np.diff(np.append(fresh, len(owner))), place[fresh], mix64(grams[place[fresh]] ^ BASE)
 
 
 def _slices(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
