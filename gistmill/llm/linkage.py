@@ -140,13 +140,15 @@ def _near(num: int, den: int):
     return run
 
 
-def common(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements of each set are in `own`; all are sorted and distinct."""
-    if not len(own) or not sets:
+def common(own: np.ndarray, of_own: np.ndarray, sets: list[np.ndarray], of: np.ndarray) -> np.ndarray:
+    """How many elements of each set are in `own` under the set's group; of_own, of: groups of elements and of sets."""
+    size = np.array([len(s) for s in sets])
+    if not len(own) or not size.sum():
         return np.zeros(len(sets), np.int64)
-    flat = np.concatenate(sets)
-    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-    return np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum([len(s) for s in sets])])])
+    place = lambda features, groups: mix64(features ^ mix64(groups.astype(np.uint64) + np.uint64(1)))
+    known, flat = np.sort(place(own, of_own)), place(np.concatenate(sets), np.repeat(of, size))
+    hit = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat
+    return np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(size)])])
 
 
 def _edges(a: list, b: list) -> pa.Table:
@@ -160,25 +162,28 @@ def _star(sets_of: Sets, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         pivot, salt, ids = (table[c].to_numpy() for c in ("pivot", "salt", "id"))
         order = np.lexsort((ids, ids != pivot, salt, pivot))
+        group = np.cumsum(np.concatenate([[False], (pivot[order][1:] != pivot[order][:-1]) | (salt[order][1:] != salt[order][:-1])]))
         packed = table["packed"].combine_chunks()
         lengths = pc.binary_length(packed).to_numpy(zero_copy_only=False)[order]
-        a, b, own, own_of = [], [], None, None
+        found, own, own_group = [np.zeros((2, 0), np.int64)], np.zeros(0, np.uint64), -1
         for start, stop in byte_runs(lengths, SLICE_BYTES):
-            part = order[start:stop]
+            part, of = order[start:stop], group[start:stop]
             sets = sets_of(packed.take(pa.array(part)).to_pylist())
-            bounds = np.flatnonzero(np.concatenate([[True], (pivot[part][1:] != pivot[part][:-1]) | (salt[part][1:] != salt[part][:-1])])).tolist()
-            for at, end in zip(bounds, [*bounds[1:], len(part)], strict=True):
-                center = pivot[part[at]]
-                if ids[part[at]] == center:
-                    own, own_of = sets[at], center
-                if own_of != center:
-                    continue
-                both = common(own, sets[at:end])
-                size = np.array([len(s) for s in sets[at:end]])
-                linked_ = ids[part[at:end]][(den * both >= num * (size + len(own) - both)) & (ids[part[at:end]] != center)]
-                a += [center] * len(linked_)
-                b += linked_.tolist()
+            size = np.array([len(s) for s in sets])
+            center = np.flatnonzero(ids[part] == pivot[part])
+            # the centers of this slice, and the one that the last slice ended with
+            groups, centers = of[center], [sets[k] for k in center.tolist()]
+            if of[0] == own_group and of[0] not in groups:
+                groups, centers = np.concatenate([[own_group], groups]), [own, *centers]
+            of_size = np.zeros(of[-1] - of[0] + 1, np.int64)
+            of_size[groups - of[0]] = [len(c) for c in centers]
+            both = common(np.concatenate([*centers, own[:0]]), np.repeat(groups, [len(c) for c in centers]), sets, of)
+            linked_ = (den * both >= num * (size + of_size[of - of[0]] - both)) & (ids[part] != pivot[part]) & (both > 0)
+            found.append(np.stack([pivot[part[linked_]], ids[part[linked_]]]))
+            if len(groups) and groups[-1] == of[-1]:
+                own, own_group = centers[-1], of[-1]
         trim()
+        a, b = np.concatenate(found, axis=1)
         return _edges(a, b)
 
     return run
@@ -190,8 +195,9 @@ def forest(sets: list[np.ndarray], component: np.ndarray, block: np.ndarray | No
     block: only rows of different blocks are compared. Common features are counted through the rows that hold each.
     """
     if len(sets) == 2:
-        both = common(sets[0], sets[1:])[0]
-        return [(0, 1)] if component[0] != component[1] and den * both >= num * (len(sets[0]) + len(sets[1]) - both) else []
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        apart = component[0] != component[1] and (block is None or block[0] != block[1])
+        return [(0, 1)] if apart and den * both >= num * (len(sets[0]) + len(sets[1]) - both) else []
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
