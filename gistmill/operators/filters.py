@@ -16,13 +16,16 @@ def noise_verdict(content: Column, title: Column) -> Column:
     Too short, too long, off topic, or lines of which fewer than three in ten differ; else relevant with 0.7.
     """
     both = F.concat(F.lower(F.coalesce(content, F.lit(""))), F.lit(" "), F.lower(F.coalesce(title, F.lit(""))))
-    hits = F.filter(F.array(*map(F.lit, T.OFF_TOPIC)), lambda k: F.contains(both, k))
+    # the words have no case, so they are looked for as they stand; the list of hits is made for rows that have one
+    plain = F.concat_ws(" ", F.coalesce(content, F.lit("")), F.coalesce(title, F.lit("")))
+    off_topic = reduce(lambda a, b: a | b, (F.contains(plain, F.lit(k)) for k in T.OFF_TOPIC))
+    hits = F.filter(F.array(*map(F.lit, T.OFF_TOPIC)), lambda k: F.contains(plain, k))
     lines = F.filter(F.transform(F.split(F.coalesce(content, F.lit("")), "\n"), T.strip), lambda x: x != "")
     say = lambda verdict, reason, sure: F.struct(F.lit(verdict).alias("verdict"), reason.alias("reason"), F.lit(sure).alias("confidence"))
     return (
         F.when(F.length(T.strip(both)) < 60, say("noise", F.lit("内容过短 (<60字符)"), 0.95))
         .when(F.length(both) > 50000, say("noise", F.lit("内容过长 (>50000字符)"), 0.85))
-        .when(F.size(hits) > 0, say("noise", F.concat(F.lit("包含非技术关键词: "), F.array_join(F.slice(hits, 1, 3), ", ")), 0.90))
+        .when(off_topic, say("noise", F.concat(F.lit("包含非技术关键词: "), F.array_join(F.slice(hits, 1, 3), ", ")), 0.90))
         .when((F.size(lines) > 3) & (F.size(F.array_distinct(lines)) / F.size(lines) < 0.3), say("noise", F.lit("疑似重复/垃圾内容"), 0.85))
         .otherwise(say("relevant", F.lit(""), 0.7))
     )

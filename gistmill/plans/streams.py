@@ -32,7 +32,7 @@ def first_seen_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.first_seen(load(spark, sf_dir, "events").select("user_id", "event_type"), ["user_id", "event_type"])
 
 
-@query("""WITH d AS (SELECT user_id AS gate_id, CASE event_type WHEN 'click' THEN 'approved' WHEN 'view' THEN 'rejected' ELSE 'edited' END AS decision, epoch_us(ts) * 1000000 + event_id AS moment FROM events), f AS (SELECT gate_id, arg_min(decision, moment) AS state, count(*) - 1 AS refused FROM d WHERE decision <> 'edited' GROUP BY 1)
+@query("""WITH d AS (SELECT user_id AS gate_id, CASE event_type WHEN 'click' THEN 'approved' WHEN 'view' THEN 'rejected' ELSE 'edited' END AS decision, {'ts': ts, 'event_id': event_id} AS moment FROM events), f AS (SELECT gate_id, arg_min(decision, moment) AS state, count(*) - 1 AS refused FROM d WHERE decision <> 'edited' GROUP BY 1)
   SELECT DISTINCT d.gate_id, coalesce(state, 'awaiting_review') AS state, coalesce(refused, 0) AS refused FROM d LEFT JOIN f USING (gate_id)""")
 def gate_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "approved").when(F.col("event_type") == "view", "rejected").otherwise("edited")
