@@ -2,8 +2,10 @@
 
 Counts per text are made in one pass. What is usual is learnt from the data: per language and source a mergeable
 quantile sketch of each ratio, a histogram over buckets that widen with the value (relative error below 1/16), so that
-sketches add up by bucket and partial sums are made before the shuffle. Thresholds are fences around the quartiles of a
-document's own group, of its language where the group is small, and of everything where the language is small too.
+sketches add up by bucket and partial sums are made before the shuffle. Every group's sketch is blended with `PRIOR`
+documents' worth of its language's, and that with the whole table's, so that a small group leans on its language and a
+large one on itself, without a size at which the rule changes. Thresholds are fences beyond the outer tenths of the
+blended sketch; the only allowance besides is the sampling error of a ratio in a text of that length.
 """
 
 from __future__ import annotations
@@ -24,13 +26,17 @@ SPACE, SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 SYMBOL[list(b"#*$%&|<>")] = True
 WINDOW = 5
-#: A group with fewer documents takes the thresholds of its language, a language with fewer those of the whole table.
-LEAST_GROUP = 200
-#: Fences lie this many quartile ranges outside the quartiles, and never closer than the slack, in thousandths.
-REACH = 4.0
-#: Fences move out by this over the root of the number of words, in parts of their distance.
-SHORT = 6.0
-SLACK = {"word_length": 1500, "symbols": 100, "dup_lines": 250, "repeats": 100}
+#: So many documents of the language (of the whole table, for a language) are added to each sketch.
+PRIOR = 200
+#: Quantiles of a sketch, and how many times the distance from the middle to the outer ones the fences lie beyond these.
+SHARES = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+REACH = 3.0
+#: Standard errors that a text's own ratio may lie beyond a fence.
+ERRORS = 3.0
+#: Parts that a blended sketch is counted in, so that its sums are whole numbers and do not depend on their order.
+PARTS = 1_000_000
+#: Ratios that are judged, in thousandths.
+RATIOS = ("word_length", "symbols", "dup_lines", "repeats")
 
 
 def _per_row(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -111,7 +117,7 @@ def bucket_top(b: Column) -> Column:
 
 def sketches(measured: DataFrame, keys: list[str]) -> DataFrame:
     """Per group and ratio, the counts by bucket; a few hundred rows a group however many documents it has."""
-    ratios = F.explode(F.create_map(*[x for name in SLACK for x in (F.lit(name), F.col(name))]))
+    ratios = F.explode(F.create_map(*[x for name in RATIOS for x in (F.lit(name), F.col(name))]))
     return measured.select(*keys, ratios.alias("ratio", "value")).groupBy(*keys, "ratio", bucket(F.col("value")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -123,12 +129,45 @@ def quantiles(sketch: DataFrame, keys: list[str], shares: dict[str, float]) -> D
     return run.groupBy(*keys, "ratio").agg(F.max("docs").alias("docs"), *(F.min(F.when(F.col("upto") >= F.col("docs") * s, bucket_top(F.col("bucket")))).alias(n) for n, s in shares.items()))
 
 
-def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    q = quantiles(sketch, keys, {"q1": 0.25, "q3": 0.75})
-    slack = F.create_map(*[x for name, v in SLACK.items() for x in (F.lit(name), F.lit(float(v)))])[F.col("ratio")]
-    names = list(SLACK)
-    q = q.withColumn("room", F.greatest(REACH * (F.col("q3") - F.col("q1")), slack))
-    return q.withColumn("low", F.col("q1") - F.col("room")).withColumn("high", F.col("q3") + F.col("room")).groupBy(*keys).agg(F.max("docs").alias("docs"), *(F.max(F.when(F.col("ratio") == n, F.struct("low", "high", "room"))).alias(n) for n in names))
+def blended(sketch: DataFrame, keys: list[str], prior: DataFrame, size: int) -> DataFrame:
+    """Sketches per `keys` with `size` documents' worth of the prior's added; n in parts of a document.
+
+    prior: ratio, bucket, n and some of the keys, in parts too, or the plain sketch of everything.
+    """
+    shared = [c for c in prior.columns if c not in ("bucket", "n")]
+    whole = F.sum("n").over(Window.partitionBy(*shared))
+    share = prior.select(*shared, "bucket", F.floor(F.col("n") / whole * PARTS).alias("share"))
+    own = sketch.groupBy(*keys, "ratio", "bucket").agg((F.sum("n") * PARTS).alias("n"))
+    borrowed = sketch.select(*keys, "ratio").distinct().join(share, shared).select(*keys, "ratio", "bucket", (F.col("share") * size).alias("n"))
+    return own.unionByName(borrowed).groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
+
+
+def fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source) and for each ratio a struct (low, high), of the blended sketches; a row per group."""
+    every = sketch.groupBy("ratio", "bucket").agg(F.sum("n").alias("n"))
+    own = blended(sketch, ["lang", "source"], blended(sketch, ["lang"], every, prior), prior)
+    q = quantiles(own, ["lang", "source"], SHARES)
+    low, high = F.col("q10") - REACH * (F.col("q50") - F.col("q10")), F.col("q90") + REACH * (F.col("q90") - F.col("q50"))
+    limits = q.select("lang", "source", "ratio", F.struct(low.alias("low"), high.alias("high")).alias("fence"))
+    return limits.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == n, F.col("fence"))).alias(f"fence_{n}") for n in RATIOS))
+
+
+def inside(ratio: str) -> Column:
+    """Whether a text's ratio is within its group's fences, give or take the sampling error of a text of its length.
+
+    A share of n things may reach the upper score bound of the fence's share at n; a repeated window counts about two
+    windows of words at once, so repeats have n_words / 10 things. A mean word length may lie off by the error of n
+    lengths that scatter by half the fence. Shares have no lower fence: few symbols or repeats are no fault.
+    """
+    low, high = F.col(f"fence_{ratio}")["low"], F.col(f"fence_{ratio}")["high"]
+    if ratio == "word_length":
+        room = ERRORS * high / 2 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
+        return F.col(ratio).between(low - room, high + room)
+    n = F.greatest(F.col("n_lines" if ratio == "dup_lines" else "n_words"), F.lit(1)) / (2.0 * WINDOW if ratio == "repeats" else 1.0)
+    p = F.least(F.greatest(high / 1000, F.lit(0.0)), F.lit(1.0))
+    z2 = ERRORS * ERRORS
+    upper = (p + z2 / 2 / n + ERRORS * F.sqrt(p * (1 - p) / n + z2 / 4 / n / n)) / (1 + z2 / n)
+    return F.col(ratio) <= F.greatest(upper * 1000, high)
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -139,7 +178,7 @@ def measure(docs: DataFrame) -> DataFrame:
     return counted.withColumns({"word_length": per("word_chars", "n_words"), "symbols": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words")})
 
 
-def judge(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+def judge(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """Counts of every row of `docs` with base_failed and kept.
 
     base_failed: fewer than 10 words, or over a fifth of the words in repeated windows. kept: not base_failed and each
@@ -149,32 +188,15 @@ def judge(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = cut(measure(docs).withColumn("base_failed", failed), "rules")
     sketch = cut(sketches(measured.where(~F.col("base_failed")), ["lang", "source"]), "sketch")
-    names = list(SLACK)
-
-    def renamed(fences: DataFrame, prefix: str) -> DataFrame:
-        return fences.select(*(F.col(c).alias(c if c in ("lang", "source", "one") else f"{prefix}_{c}") for c in fences.columns))
-
-    add = lambda keys: sketch.withColumn("one", F.lit(1)).groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
-    own = renamed(_fences(sketch, ["lang", "source"]), "own")
-    lang = renamed(_fences(add(["lang"]), ["lang"]), "lang")
-    every = renamed(_fences(add(["one"]), ["one"]), "all").drop("one")
-    # a row per group, and one row for everything; the join with the documents is the planner's, which splits hot groups
-    limits = own.join(lang, "lang").crossJoin(F.broadcast(every))
-    joined = measured.join(limits, ["lang", "source"], "left")
-
-    def inside(n: str) -> Column:
-        # the ratios of a short text scatter more, so its fences are wider
-        fence = F.when(F.col("own_docs") >= least_group, F.col(f"own_{n}")).when(F.col("lang_docs") >= least_group, F.col(f"lang_{n}")).otherwise(F.col(f"all_{n}"))
-        wider = fence["room"] * (SHORT / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double")))
-        return F.coalesce(F.col(n).between(fence["low"] - wider, fence["high"] + wider), F.lit(True))
-
+    # written, so that the planner knows the size of the limits: few groups are broadcast, many are joined by sorting
+    limits = cut(fences(sketch, prior), "limits")
     kept = ~F.col("base_failed")
-    for n in names:
-        kept = kept & inside(n)
-    return joined.select("doc_id", *NAMES, "base_failed", kept.alias("kept"), *names)
+    for n in RATIOS:
+        kept = kept & F.coalesce(inside(n), F.lit(True))
+    return measured.join(limits, ["lang", "source"], "left").select("doc_id", *NAMES, "base_failed", kept.alias("kept"), *RATIOS)
 
 
-def passing(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+def passing(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The rows of `docs` whose doc_id has a kept row, all columns; the joined filter."""
-    verdicts = judge(docs, least_group).where("kept").select("doc_id").distinct()
+    verdicts = judge(docs, prior).where("kept").select("doc_id").distinct()
     return docs.join(verdicts, "doc_id", "left_semi")

@@ -59,6 +59,71 @@ def test_rules(spark, odd_docs, no_docs):
     assert rules.passing(odd_docs).columns == odd_docs.columns
 
 
+def plain_verdicts(rows, prior):
+    """kept by a plain reading of the rules: counts, buckets, blended histograms, fences, sampling errors."""
+    parts, names = 10**6, ("word_length", "symbols", "dup_lines", "repeats")
+
+    def top(v):
+        shift = max(v.bit_length() - 5, 0)
+        return ((v >> shift) + 1 << shift) - 1
+
+    measured = {}
+    for i, text, lang, source in rows:
+        n, chars, symbols, dup, rep = plain_counts(text)
+        lines = (text or "").count("\n") + 1
+        ratio = dict(zip(names, (chars * 1000 // n if n else 0, symbols * 1000 // n if n else 0, dup * 1000 // lines, rep * 1000 // n if n else 0), strict=True))
+        measured[i] = (n, lines, ratio, n < 10 or 100 * rep > 20 * n, (lang or "", source or ""))
+
+    def histogram(name, test):
+        return Counter(top(m[2][name]) for m in measured.values() if not m[3] and test(m[4]))
+
+    def add(own, base):
+        whole = sum(base.values())
+        return Counter({b: own[b] * parts + prior * int(base[b] / whole * parts) for b in {*own, *base}})
+
+    def at(h, share):
+        whole, run = sum(h.values()), 0
+        for b in sorted(h):
+            run += h[b]
+            if run >= whole * share:
+                return b
+
+    out = {}
+    for i, (n, lines, ratio, failed, group) in measured.items():
+        ok = not failed
+        for name in names if ok else ():
+            own = add(histogram(name, group.__eq__), add(histogram(name, lambda g, lang=group[0]: g[0] == lang), histogram(name, lambda g: True)))
+            a, m, b = (at(own, s) for s in (0.1, 0.5, 0.9))
+            low, high = a - 3 * (m - a), b + 3 * (b - m)
+            if name == "word_length":
+                room = 3 * high / 2 / n**0.5
+                ok = ok and low - room <= ratio[name] <= high + room
+            else:
+                k = {"symbols": n, "dup_lines": lines, "repeats": n / 10}[name]
+                p = min(high / 1000, 1)
+                upper = (p + 9 / 2 / k + 3 * (p * (1 - p) / k + 9 / 4 / k / k) ** 0.5) / (1 + 9 / k)
+                ok = ok and ratio[name] <= max(upper * 1000, high)
+        out[i] = ok
+    return out
+
+
+@pytest.mark.parametrize("prior", [20, 200])
+def test_verdicts_equal_a_plain_reading(spark, data, prior):
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in table(spark, data, "documents").collect()]
+    rows += [(10**6 + i, " ".join(w + "$" * (i % 5) for w in prose(i, 30 + i).split()), "en" if i % 3 else None, "src1") for i in range(60)]
+    got = {r["doc_id"]: r["kept"] for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), prior).collect()}
+    assert got == plain_verdicts(rows, prior) and 0 < sum(got.values()) < len(got)
+
+
+def test_thresholds_follow_the_group(spark):
+    """One text of long words stays where long words are usual and goes where they are not."""
+    wide = lambda i: " ".join(w + w + "ing" for w in prose(i, 60).split())
+    rows = [(i, prose(i, 60), "en", "plain") for i in range(900)] + [(2000 + i, wide(i), "en", "wide") for i in range(300)]
+    rows += [(5000, wide(5000), "en", "plain"), (5001, wide(5000), "en", "wide")]
+    got = {r["doc_id"]: r["kept"] for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[5000] and got[5001] and np.mean([got[r[0]] for r in rows]) > 0.99
+
+
 def test_classifier(spark, data):
     docs, labels = table(spark, data, "documents"), table(spark, data, "labels")
     got = {r["doc_id"]: r for r in classifier.classify(docs, labels).collect()}
