@@ -15,7 +15,7 @@ LABEL = re.compile(r"^-?\s*\*{0,2}(?:表现|影响|根因|具体数据)[：:]\*{
 CATEGORY = re.compile(r"(?m)^[^\S\n]*###\s*类别\s*\d+[：:][^\S\n]*(.*)$")
 NOT_BOLD, NOT_CELLS = ("代表性需求",), ("需求", "代表性原文")
 
-POINT = StructType([StructField(n, StringType()) for n in ("title", "severity", "description")])
+POINT = StructType([StructField(n, StringType()) for n in ("title", "severity", "description", "evidence")])
 GROUP = StructType([StructField("name", StringType()), StructField("items", ArrayType(StringType()))])
 
 
@@ -34,14 +34,15 @@ def _sections(pattern: re.Pattern, text: str) -> list[tuple[str, str]]:
     return [(h.strip(), re.split(r"(?m)^\s*###", b, maxsplit=1)[0]) for h, b in zip(parts[1::2], parts[2::2], strict=True)]
 
 
-def points_of(text: str) -> list[tuple[str, str, str]]:
+def points_of(text: str) -> list[tuple[str, str, str, str]]:
     out = []
     for head, body in _sections(HEAD, text):
         found = SEVERITY.search(head) or SEVERITY.search(body)
         title = re.sub(r"\s*[—–]+$", "", re.sub(r"（严重程度.*?）|\*\*$", "", head).strip()).strip()
         lines = [LABEL.sub("", x.strip()) for x in body.split("\n") if x.strip()]
         if title:
-            out.append((title, level(found[1]) if found else "中", " ".join(x for x in lines if x and not x.startswith("**"))[:300]))
+            described = " ".join(x for x in lines if x and not x.startswith("**"))[:300]
+            out.append((title, level(found[1]) if found else "中", described, described[:200]))
     return out
 
 
@@ -63,8 +64,8 @@ def categories_of(text: str, most: int = 5) -> list[tuple[str, list[str]]]:
 
 @F.pandas_udf(ArrayType(POINT))
 def pain_points(texts: pd.Series) -> pd.Series:
-    """Title, severity and description of each pain point of a report."""
-    return texts.map(lambda t: [dict(zip(("title", "severity", "description"), p, strict=True)) for p in points_of(t or "")])
+    """Title, severity, description and evidence (its beginning) of each pain point of a report."""
+    return texts.map(lambda t: [dict(zip(POINT.names, p, strict=True)) for p in points_of(t or "")])
 
 
 @F.pandas_udf(ArrayType(GROUP))

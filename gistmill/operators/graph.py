@@ -65,3 +65,13 @@ def relationship_lines(needs: DataFrame, platform: str, title: str, order: str,
     shown = F.when(F.length(title) > 25, F.concat(F.left(title, F.lit(25)), F.lit("..."))).otherwise(F.col(title))
     some = first_per_group(needs, [platform], [order], most).select(platform, F.struct(F.col(order).alias("o"), shown.alias("t")).alias("x"))
     return some.groupBy(platform).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n").alias("lines"))
+
+
+def edge_page(edges: DataFrame, key: str, number: int, size: int, **filters: str | int | None) -> DataFrame:
+    """A page of the edges that meet all filters given (None is no filter), newest first, with how many there are."""
+    from .windows import page
+
+    for column, value in filters.items():
+        if value is not None:
+            edges = edges.where(F.col(column) == value)
+    return page(edges, [F.desc("created_at"), F.desc(key)], number, size)

@@ -98,6 +98,58 @@ def overlap_checker(texts: list[str]) -> list[dict | None]:
     return out
 
 
+def figure_claims(texts: list[str]) -> list[list[dict]]:
+    """Up to 12 sentences with a figure, word for word."""
+    out = []
+    for t in texts:
+        found = [s.strip() for s in re.split(r"[.!?。！？\n]", t) if re.search(r"\d", s)]
+        out.append([{"quote": q, "section": ""} for q in dict.fromkeys(found) if len(q) > 5][:12])
+    return out
+
+
+def extract_claims(reports: DataFrame, key: str, text: str, hook: Callable[[list[str]], list[list[dict] | None]] = figure_claims, most: int = 12, batch: int = 64) -> DataFrame:
+    """(key, claim_id, quote, section, start, end, error): claims that the hook quotes from each report, with their places.
+
+    An answer counts only whole: a list of at most `most` objects whose quotes are over 5 characters and stand in the
+    report word for word. Otherwise the report has one row with the error, and no claims. Places count characters from
+    0, the first place of a quote. Reports of fewer than 50 characters besides white space are not asked about.
+    """
+
+    def faults(items, body: str) -> str:
+        if not isinstance(items, list):
+            return "response is not a list"
+        if len(items) > most:
+            return f"response has more than {most} claims"
+        for x in items:
+            quote = x.get("quote") if isinstance(x, dict) else None
+            if not isinstance(quote, str) or len(quote) <= 5:
+                return "claim has no quote, or a short one"
+            if quote not in body:
+                return "claim quote is not in the report"
+        return ""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), batch):
+                part, rows = pdf.iloc[at : at + batch], []
+                try:
+                    said = hook(list(part[text]))
+                except Exception as e:  # noqa: BLE001
+                    rows = [(k, None, None, None, None, str(e) or "hook failed") for k in part[key]]
+                    said = []
+                for k, body, items in zip(part[key], part[text], said, strict=False):
+                    if error := faults(items, body):
+                        rows.append((k, None, None, None, None, error))
+                        continue
+                    rows += [(k, x["quote"], str(x.get("section", "")), body.find(x["quote"]), body.find(x["quote"]) + len(x["quote"]), "") for x in items]
+                out = pd.DataFrame(rows, columns=[key, "quote", "section", "start", "end", "error"])
+                yield out.astype({"start": "Int64", "end": "Int64"})
+
+    asked = reports.select(key, text).where(F.length(F.trim(F.col(text))) >= 50)
+    got = asked.mapInPandas(run, f"{key} {dict(reports.dtypes)[key]}, quote string, section string, start long, end long, error string")
+    return got.select(key, F.when(F.col("error") == "", T.claim_id(F.col("quote"), F.col("section"), F.col("start"))).alias("claim_id"), "quote", "section", "start", "end", "error")
+
+
 def check_claims(claims: DataFrame, sources: DataFrame, report: str, hook: Hook = overlap_checker, most: int = 15, size: int = 200) -> DataFrame:
     """(report, claim_id, verdict, confidence) of claims (report, claim_id, quote) against their report's sources.
 

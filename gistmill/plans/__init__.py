@@ -1,4 +1,4 @@
 """Named queries over the given tables."""
 
-from . import records, rollups, streams, texts  # noqa: F401
+from . import outputs, records, rollups, streams, texts  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -61,6 +61,16 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(_header, DOCUMENT)
 
 
+def file_counts(spark: SparkSession, folders: dict[str, tuple[str, str]]) -> DataFrame:
+    """(name, files): how many files below each named folder fit its pattern; only the listing is read, no contents."""
+    counts = None
+    for name, (path, pattern) in folders.items():
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
+        one = found.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("files"))
+        counts = one if counts is None else counts.unionByName(one)
+    return counts if counts is not None else spark.createDataFrame([], "name string, files long")
+
+
 def stage_folder(stage):
     """Folder of a stage column; the root for others."""
     return F.coalesce(F.create_map(*[x for k, v in STAGES.items() for x in (F.lit(k), F.lit(v))])[stage], F.lit(""))

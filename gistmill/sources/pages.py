@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 # Labels of trending periods.
+# Markup of result blocks, their links, texts and authors, and of topics.
+POST_BLOCK = r'(?s)<div\s+class="s_post"[^>]*>(.*?)</div>'
+POST_LINK = r'(?s)<a\s+[^>]*href="(/p/\d+)"[^>]*>(.*?)</a>'
+POST_TEXT = r'(?s)<p[^>]*class="[^"]*p_content[^"]*"[^>]*>(.*?)</p>'
+POST_AUTHOR = r'p_author_name"[^>]*>(.*?)<'
+POST_TITLE = r'<span\s+class="p_title"[^>]*>.*?<a[^>]*href="(/p/\d+)"[^>]*>(.*?)</a>'
+TOPIC_LINK = r'(?s)<a\s+[^>]*href="(https://www\.douban\.com/group/topic/\d+/?)[^"]*"[^>]*>(.+?)</a>'
+TOPIC_TEXTS = (r'(?s)<span\s+class="subject-cast"[^>]*>(.*?)</span>', r'(?s)<p[^>]*>(.*?)</p>')
+TOPIC_RATING = r'<span\s+class="rating_nums">([\d.]+)</span>'
 PERIODS = {"daily": "today", "weekly": "this week", "monthly": "this month"}
 
 
@@ -61,23 +70,35 @@ def answers(rows: DataFrame) -> DataFrame:
 
 
 def posts(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Search result blocks in pages: link, title, excerpt (or the title), author; one row per link."""
-    block = pages.select(F.explode(F.regexp_extract_all(html, F.lit(r'(?s)<div\s+class="s_post"[^>]*>(.*?)</div>'), F.lit(1))).alias("b"))
-    link, title = F.regexp_extract("b", r'(?s)<a\s+[^>]*href="(/p/\d+)"[^>]*>(.*?)</a>', 1), T.plain_text(F.regexp_extract("b", r'(?s)<a\s+[^>]*href="(/p/\d+)"[^>]*>(.*?)</a>', 2))
-    text = T.plain_text(F.regexp_extract("b", r'(?s)<p[^>]*class="[^"]*p_content[^"]*"[^>]*>(.*?)</p>', 1))
-    rows = block.select(F.concat(F.lit("https://tieba.baidu.com"), link).alias("url"), title.alias("t"), text.alias("x"), T.strip(F.regexp_extract("b", r'p_author_name"[^>]*>(.*?)<', 1)).alias("a"), link.alias("l"))
-    rows = rows.where("l <> '' and t <> ''").dropDuplicates(["url"])
-    return rows.select(*_item("tieba", F.col("url"), F.left("t", F.lit(200)), F.when(F.col("x") != "", F.left("x", F.lit(3000))).otherwise(F.col("t")), F.col("a")))
+    """Search result blocks in pages: link, title, excerpt (or the title), author; one row per link.
+
+    A page without blocks gives its title links instead, whose titles are the text too.
+    """
+    blocks = F.regexp_extract_all(html, F.lit(POST_BLOCK), F.lit(1))
+    some = pages.select(blocks.alias("bs"), F.col(html).alias("h"))
+    block = some.select(F.explode("bs").alias("b"))
+    link, title = F.regexp_extract("b", POST_LINK, 1), T.plain_text(F.regexp_extract("b", POST_LINK, 2))
+    text = T.plain_text(F.regexp_extract("b", POST_TEXT, 1))
+    author = T.strip(F.regexp_extract("b", POST_AUTHOR, 1))
+    bare = some.where(F.size("bs") == 0).select(F.explode(F.regexp_extract_all("h", F.lit(POST_TITLE), F.lit(0))).alias("b"))
+    named = T.plain_text(F.regexp_extract("b", POST_TITLE, 2))
+    rows = block.select(link.alias("l"), title.alias("t"), text.alias("x"), author.alias("a")).unionByName(bare.select(F.regexp_extract("b", POST_TITLE, 1).alias("l"), named.alias("t"), F.lit("").alias("x"), F.lit("").alias("a")))
+    rows = rows.where("l <> '' and t <> ''").dropDuplicates(["l"])
+    return rows.select(*_item("tieba", F.concat(F.lit("https://tieba.baidu.com"), F.col("l")), F.left("t", F.lit(200)), F.when(F.col("x") != "", F.left("x", F.lit(3000))).otherwise(F.col("t")), F.col("a")))
 
 
 def topics(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Topic links in pages, each with the excerpt found around its first place."""
-    links = pages.select(F.col(html).alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(r'href="(https://www\.douban\.com/group/topic/\d+)[^"]*"'), F.lit(1)))).alias("url"))
-    at = F.greatest(F.position(F.col("url"), F.col("h")) - 200, F.lit(1))
-    near = links.withColumn("near", F.substring("h", at, F.lit(2200)))
-    title = T.plain_text(F.regexp_extract("near", r'topic/\d+[^"]*"[^>]*>([^<]+)<', 1))
-    text = F.coalesce(F.nullif(T.plain_text(F.regexp_extract("near", r'(?s)<p class="content"[^>]*>(.*?)</p>', 1)), F.lit("")), F.nullif(T.plain_text(F.regexp_extract("near", r'(?s)<div class="content"[^>]*>(.*?)</div>', 1)), F.lit("")), title)
-    return near.where(title != "").select(*_item("douban", F.col("url"), title, text)).dropDuplicates(["source_url"])
+    """Topic links in pages, each with the excerpt and the rating found around its first place; the title where none is."""
+    found = F.regexp_extract_all(html, F.lit(TOPIC_LINK), F.lit(0))
+    links = pages.select(F.col(html).alias("h"), F.explode(F.array_distinct(found)).alias("a"))
+    links = links.select("h", F.regexp_extract("a", TOPIC_LINK, 1).alias("url"), T.plain_text(F.regexp_extract("a", TOPIC_LINK, 2)).alias("t"))
+    at = F.position(F.col("url"), F.col("h"))
+    start = F.greatest(at - 200, F.lit(1))
+    near = links.where("t <> ''").withColumn("near", F.substring("h", start, at + 2000 - start))
+    texts = [F.nullif(T.plain_text(F.regexp_extract("near", p, 1)), F.lit("")) for p in TOPIC_TEXTS]
+    rating = F.regexp_extract("near", TOPIC_RATING, 1)
+    tags = F.when(rating != "", F.array(F.concat(F.lit("评分:"), rating))).otherwise(F.array().cast("array<string>"))
+    return near.select(*_item("douban", F.col("url"), F.left("t", F.lit(200)), F.coalesce(*(F.left(x, F.lit(3000)) for x in texts), F.col("t")), tags=tags)).dropDuplicates(["source_url"])
 
 
 def trending(pages: DataFrame, since: str = "daily", day: str | None = None, html: str = "html") -> DataFrame:

@@ -13,6 +13,7 @@ from gistmill.operators import claims as C
 from gistmill.operators import evaluation as E
 from gistmill.operators import filters as P
 from gistmill.operators import joins as J
+from gistmill.operators import models as M
 from gistmill.operators import upserts as U
 from gistmill.sources import files, pages
 
@@ -152,6 +153,41 @@ def test_posts_and_topics(spark):
     assert (r["title"], r["content"]) == ("Title", "Text")
 
 
+def test_posts_without_blocks_and_topics_with_ratings(spark):
+    html = '<span class="p_title"><a href="/p/5">One &lt;x&gt;</a></span>\n<span class="p_title"><a href="/p/5">again</a></span><span class="p_title" id="q"><b></b><a href="/p/6"><em>Two</em></a></span>'
+    got = sorted((r["source_url"], r["title"], r["content"], r["author"]) for r in pages.posts(spark.createDataFrame([(html,), (None,), ("",)], "html string")).collect())
+    assert [r[0][-4:] for r in got] == ["/p/5", "/p/6"] and got[1][1:] == ("Two", "Two", "") and got[0][1] in ("One <x>", "again")
+    link = '<a class="t" href="https://www.douban.com/group/topic/{0}/" title="x">{1}</a>'
+    html = link.format(7, "<b>First</b>") + '<span class="subject-cast"> A cast </span><p>no</p><span class="rating_nums">8.5</span>' + "." * 2500 + link.format(8, "Second") + '<span class="subject-cast"></span><p class="z">Para</p>' + "." * 2500 + link.format(9, "Third") + link.format(10, " ")
+    got = {r["source_url"][-3:].strip("/c"): (r["title"], r["content"], r["tags"]) for r in pages.topics(spark.createDataFrame([(html,)], "html string")).collect()}
+    assert got == {"/7/".strip("/"): ("First", "A cast", ["评分:8.5"]), "8": ("Second", "Para", []), "9": ("Third", "Third", [])}
+
+
+def test_claims_quoted_word_for_word(spark):
+    texts = {1: "In 2020 half of all users left. " * 3, 2: "short 1", 3: "x" * 60, 4: "bad answer " * 9, 5: "not a list " * 9, 6: "too many 1 " * 9, 7: "Nothing to count in this text, " * 3}
+
+    def hook(asked):
+        return [{"bad": [{"quote": "never said so"}], "not": {"quote": "not a list"}, "too": [{"quote": "too many 1"}] * 13}.get(t[:3], M.figure_claims([t])[0]) for t in asked]
+
+    df = spark.createDataFrame(list(texts.items()), "k long, t string")
+    got = sorted((r["k"], r["quote"] or "", r["start"], r["end"], r["error"]) for r in M.extract_claims(df, "k", "t", hook).collect())
+    assert [g[:4] for g in got if not g[4]] == [(1, "In 2020 half of all users left", 0, 30)]
+    assert [(g[0], g[4]) for g in got if g[4]] == [(4, "claim quote is not in the report"), (5, "response is not a list"), (6, "response has more than 12 claims")]
+
+    def broken(asked):
+        raise ValueError("no model")
+
+    assert {r["error"] for r in M.extract_claims(df, "k", "t", broken).collect()} == {"no model"}
+
+
+def test_file_counts(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name in ("a/x.md", "a/b/y.md", "a/b/z.py"):
+        (tmp_path / name).write_text("1", encoding="utf-8")
+    got = files.file_counts(spark, {"md": (f"{tmp_path}/a", "*.md"), "py": (f"{tmp_path}/a", "*.py"), "none": (f"{tmp_path}/a", "*.js")})
+    assert {r["name"]: r["files"] for r in got.collect()} == {"md": 2, "py": 1, "none": 0}
+
+
 def test_json_sources(spark):
     rows = spark.createDataFrame([("<em>A</em>b", "", "u", "n", "x, y,")], "title string, description string, url string, nickname string, tags string")
     r = pages.articles(rows).first()
@@ -198,7 +234,8 @@ def test_report_parts(spark):
 
     text = "# R\n### 1. 共性痛点：Slow export（严重程度：★★★★★）\n- **表现：** takes hours\nand fails\n\n### 痛点 2：No search —\n**严重程度：中**\nplain words\n### Other\nignored\n**共性痛点3：Costs**\n### 类别1：Data\n- **CSV** x\n- **PDF**\n### 类别2：Table\n| 需求 | n |\n| --- | --- |\n| One | 1 |\n"
     row = spark.createDataFrame([(text,), (None,)], "t string").select(reports.pain_points("t").alias("p"), reports.categories("t").alias("c")).collect()
-    assert [tuple(p) for p in row[0]["p"]] == [("Slow export", "高", "takes hours and fails"), ("No search", "中", "plain words"), ("Costs", "中", "")]
+    assert all(p["evidence"] == p["description"][:200] for p in row[0]["p"])
+    assert [tuple(p)[:3] for p in row[0]["p"]] == [("Slow export", "高", "takes hours and fails"), ("No search", "中", "plain words"), ("Costs", "中", "")]
     assert [(c["name"], c["items"]) for c in row[0]["c"]] == [("Data", ["CSV", "PDF"]), ("Table", ["One"])]
     assert row[1]["p"] == [] and row[1]["c"] == []
 
