@@ -43,9 +43,18 @@ def distributions(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def top_values(df: DataFrame, values: Column, n: int, order: Column) -> DataFrame:
-    """The n most frequent elements of an array column, ties to the one that comes first in `order`."""
-    each = df.select(order.alias("_at"), F.posexplode(values).alias("_pos", "value"))
-    return each.groupBy("value").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("_at", "_pos")).alias("_first")).orderBy(F.desc("count"), "_first").limit(n).select("value", "count")
+    """The n most frequent elements of an array column, ties to the one that comes first in `order`.
+
+    Elements are counted by hash; only rows that hold the first place of a leading element are looked into again.
+    """
+    lists = df.select(order.alias("_at"), values.alias("_v"))
+    counts = lists.select("_at", F.explode("_v").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("count"), F.min("_at").alias("_at"))
+    rank = F.struct(-F.col("count"), F.col("_at"))
+    last = counts.orderBy(rank).limit(n).agg(F.max(rank).alias("_last"))
+    best = counts.crossJoin(F.broadcast(last)).where(rank <= F.col("_last")).drop("_last")
+    near = lists.join(best.select("_at").distinct(), "_at", "left_semi").select("_at", F.posexplode("_v").alias("_pos", "value"))
+    first = near.join(best.select("_at", "value"), ["_at", "value"]).groupBy("value").agg(F.min("_pos").alias("_pos"))
+    return best.join(first, "value", "left").orderBy(F.desc("count"), "_at", "_pos").limit(n).select("value", "count")
 
 
 def counts_by(df: DataFrame, keys: list[str], **conditions: Column) -> DataFrame:

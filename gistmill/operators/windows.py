@@ -11,9 +11,13 @@ def first_per_group(df: DataFrame, by: list[str], order: list, n: int) -> DataFr
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def quota_sample(df: DataFrame, quotas: DataFrame, by: str, order: list) -> DataFrame:
-    """The first rows of each group, as many as its quota (by, quota); groups without a quota are left out."""
+def quota_sample(df: DataFrame, quotas: DataFrame, by: str, order: list, most: int | None = None) -> DataFrame:
+    """The first rows of each group, as many as its quota (by, quota); groups without a quota are left out.
+
+    With `most`, the largest quota, each task keeps no more rows of a group than that before the shuffle.
+    """
     ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    ranked = ranked if most is None else ranked.where(F.col("_n") <= most)
     return ranked.join(quotas, by).where(F.col("_n") <= F.col("quota")).drop("_n", "quota")
 
 

@@ -148,7 +148,7 @@ def stratified_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import short_id
 
     quotas = spark.createDataFrame([("en", 34), ("de", 33), ("fr", 33)], "lang string, quota int")
-    some = W.quota_sample(load(spark, sf_dir, "documents"), quotas, "lang", ["doc_id"])
+    some = W.quota_sample(load(spark, sf_dir, "documents"), quotas, "lang", ["doc_id"], most=34)
     return some.select("doc_id", "lang", short_id(F.col("source"), F.col("doc_id").cast("string")).alias("id"))
 
 
