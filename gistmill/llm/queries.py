@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, classifier, mixing, packing, paragraphs, partenum, rules, secrets, suffix, warc
+from . import balltree, classifier, conversations, mixing, packing, paragraphs, partenum, rules, secrets, suffix, variants, warc
 from .common import table
 
 
@@ -57,8 +57,20 @@ def op10_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_poisson_mixing, op3_warc_segments, op4_sum_of_squares_packing, op5_partenum_join, op6_adaptive_quality_rules, op7_paragraph_minhash, op8_quality_classifier, op9_suffix_sorted_repeats, op10_ball_tree_top_k)}
+    numbered = (
+        op1_secret_scan, op2_poisson_mixing, op3_warc_segments, op4_sum_of_squares_packing, op5_partenum_join, op6_adaptive_quality_rules, op7_paragraph_minhash,
+        op8_quality_classifier, op9_suffix_sorted_repeats, op10_ball_tree_top_k, op11_conversation_prefix_trie, op12_spelling_variants,
+    )
+    return {f.__name__: f for f in numbered}
 
 
 OP2 = """
@@ -93,6 +105,50 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+#: The table by which SQL makes CRC-32 of bytes, from its rule.
+CRC = """t AS (SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS step FROM t WHERE k = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, where `crc` is joined."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda j: CAST('0x' || substr(hex(encode({text})), 2 * j + 1, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda a, b: xor(a >> 8, crc.step[(xor(a, b) & 255) + 1])))"
+
+
+OP11 = f"""
+WITH RECURSIVE {CRC},
+o AS (SELECT conv_id, list(sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) ORDER BY turn NULLS FIRST, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS turns,
+  list(length(coalesce(text, '')) ORDER BY turn NULLS FIRST, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS sizes FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT o.*, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM o, crc),
+r AS (SELECT h.conv_id, list_concat(coalesce(f.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns, list_concat(coalesce(f.sizes, [])[1:h.h], h.sizes[h.h + 1:]) AS sizes
+  FROM h LEFT JOIN o f ON f.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, turns, sizes, unnest(range(len(turns) + 1)) AS depth FROM r),
+k AS (SELECT conv_id, depth, array_to_string(turns[1:depth], ' ') AS key, array_to_string(turns[1:depth - 1], ' ') AS parent, CASE WHEN depth = 0 THEN 0 ELSE sizes[depth] END AS size, turns, depth = len(turns) AS ends FROM p),
+n AS (SELECT depth, key, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size, arg_min(turns[1:depth], conv_id) AS turns,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM k GROUP BY depth, key),
+c AS (SELECT depth - 1 AS depth, parent AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (depth, key)),
+up AS (SELECT d AS depth, array_to_string(turns[1:d], ' ') AS key, CAST(n_children = 0 AS BIGINT) AS leaf, (n_convs - 1) * size AS saved FROM (SELECT *, unnest(range(depth + 1)) AS d FROM m)),
+s AS (SELECT depth, key, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY 1, 2)
+SELECT m.conv_id, m.depth, a.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256
+FROM m JOIN s USING (depth, key) LEFT JOIN n a ON a.depth = m.depth - 1 AND a.key = m.parent
+"""
+
+OP12 = f"""
+WITH RECURSIVE {CRC},
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS mark, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{{6,}}')) AS run FROM documents) GROUP BY 1, 2),
+h AS (SELECT run, times, {crc32_sql("mark")} AS h FROM r, crc),
+w AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT times, CASE WHEN h % 199 = 0 THEN run[1:CAST(h % length(run) AS INTEGER)] || run[CAST(h % length(run) AS INTEGER) + 2:] ELSE run END AS word FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+d AS (SELECT word, n, word AS less FROM w UNION ALL SELECT DISTINCT word, n, word[1:i - 1] || word[i + 1:] AS less FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM w)),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM d a JOIN d b USING (less) WHERE a.word <> b.word AND levenshtein(a.word, b.word) = 1),
+f AS (SELECT word, n, count(*) AS n_near, arg_min(other, {{'n': -other_n, 'word': other}}) AS form, max(other_n) AS form_n FROM near GROUP BY 1, 2),
+g AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM w LEFT JOIN f USING (word)),
+z AS (SELECT word, word AS root FROM g UNION ALL SELECT z.word, g.form FROM z JOIN g ON g.word = z.root WHERE g.form IS NOT NULL)
+SELECT g.*, z.root FROM g JOIN z USING (word) JOIN g e ON e.word = z.root WHERE e.form IS NULL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_poisson_mixing": OP2, "op3_warc_segments": OP3, "op10_ball_tree_top_k": OP10}
+    return {"op2_poisson_mixing": OP2, "op3_warc_segments": OP3, "op10_ball_tree_top_k": OP10, "op11_conversation_prefix_trie": OP11, "op12_spelling_variants": OP12}
