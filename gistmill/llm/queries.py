@@ -141,8 +141,9 @@ WITH RECURSIVE {CRC},
 r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS mark, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{{6,}}')) AS run FROM documents) GROUP BY 1, 2),
 h AS (SELECT run, times, {crc32_sql("mark")} AS h FROM r, crc),
 w AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT times, CASE WHEN h % 199 = 0 THEN run[1:CAST(h % length(run) AS INTEGER)] || run[CAST(h % length(run) AS INTEGER) + 2:] ELSE run END AS word FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
-d AS (SELECT word, n, word AS less FROM w UNION ALL SELECT DISTINCT word, n, word[1:i - 1] || word[i + 1:] AS less FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM w)),
-near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM d a JOIN d b USING (less) WHERE a.word <> b.word AND levenshtein(a.word, b.word) = 1),
+d AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS less FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM w)),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM d a JOIN d b USING (less, i) WHERE a.word <> b.word
+  UNION SELECT d.word, d.n, w.word, w.n FROM d JOIN w ON w.word = d.less UNION SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON w.word = d.less),
 f AS (SELECT word, n, count(*) AS n_near, arg_min(other, {{'n': -other_n, 'word': other}}) AS form, max(other_n) AS form_n FROM near GROUP BY 1, 2),
 g AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM w LEFT JOIN f USING (word)),
 z AS (SELECT word, word AS root FROM g UNION ALL SELECT z.word, g.form FROM z JOIN g ON g.word = z.root WHERE g.form IS NOT NULL)
