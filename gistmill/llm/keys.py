@@ -112,15 +112,18 @@ def _merge(alike: bool, told: bool):
         keys, ids, subs, starts, sizes = _sorted(keys, ids, subs)
         names = keys[starts]
         keep = sizes > 1
-        if alike:  # keys with the same ids tell the same; which ids is told by a sum of scrambled ids
-            sums = np.add.reduceat(mix64(mix64(ids.astype(np.uint64) + np.uint64(1)) + subs.astype(np.uint64)), starts) >> np.uint64(16)
-            sums = sums.astype(np.int64)
+        if alike:  # keys with the same ids tell the same: sets of ids are equal where two sums of scrambled ids are
+            both = mix64(mix64(ids.astype(np.uint64) + np.uint64(1)) + subs.astype(np.uint64))
+            sums = (np.add.reduceat(both, starts) >> np.uint64(16)).astype(np.int64)
+            more = np.add.reduceat(mix64(both ^ np.uint64(0xD6E8FEB86659FD93)), starts)
             if told:
                 sums = (sums & ~1) | (names >> (KEY_BITS - 1))
-            names = np.where(np.isin(names, hot), names, -1 - sums)
-            first = np.zeros(len(starts), bool)
-            first[np.unique(names, return_index=True)[1]] = True
-            keep &= first
+            plain = ~np.isin(names, hot)
+            names = np.where(plain, -1 - sums, names)
+            order = np.lexsort((more, names))
+            order = order[keep[order]]  # a key of one id is no key to be met under another name
+            again = np.concatenate([[False], (names[order][1:] == names[order][:-1]) & (more[order][1:] == more[order][:-1])])[: len(order)]
+            keep[order[again & plain[order]]] = False
         chosen = np.repeat(keep, sizes)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes[keep])]), pa.int32())
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x[chosen], t)) for x, t in ((ids, pa.int64()), (subs, pa.int32()))]
@@ -145,6 +148,6 @@ def shared(packed: DataFrame, alike: bool = False, told: bool = False) -> DataFr
 
     alike: keys with the same set of ids are given once a bucket, under one negative number in place of the key, so that
     a distinct over the rows leaves them once. told: of each kind of `told_apart` on its own. Members may come under one
-    key several times.
+    key several times, and sets of ids that fall on one number are members of it together.
     """
     return packed.where("bucket is not null").select(*(n for n, _ in PACKED)).groupBy("bucket").applyInArrow(_merge(alike, told), "key long, members array<long>, numbers array<int>")

@@ -47,16 +47,19 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(edges.sparkSession, "components")
     rest = scratch.cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))
+    labels = scratch.cut(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), "labels")
     while not rest.isEmpty():
         parent = rest.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
         again = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
         parent = scratch.cut(parent.join(again, "up", "left").select("node", F.coalesce("top", "up").alias("up")), "parents")
-        labels = labels.join(parent.withColumnRenamed("node", "component"), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
-        labels = scratch.cut(labels, "labels")
+        renamed = labels.join(parent.withColumnRenamed("node", "component"), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+        renamed = scratch.cut(renamed, "labels")
         a, b = (parent.select(F.col("node").alias(c), F.col("up").alias(f"up_{c}")) for c in "ab")
         moved = rest.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("up_a", "a").alias("a"), F.coalesce("up_b", "b").alias("b"))
-        rest = scratch.cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        moved = scratch.cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        scratch.drop(rest, labels, parent)
+        rest, labels = moved, renamed
+    scratch.drop(rest)
     return labels
 
 

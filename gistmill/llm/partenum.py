@@ -157,23 +157,25 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     pairs = text_bytes(plain) / 6 * 5.1 * (den - num) / (den + num)
     signed = ", ".join(f"s_{x.strip()}" for x in keys.PACKED_SQL.split(","))
     both = scratch.cut(plain.mapInArrow(_profile(size, num, den, keys.bucket_count(pairs)), f"{PROFILE_SQL}, {signed}"), "profile")
-    texts = scratch.cut(both.where("n is not null").select(*(n for n, _ in PROFILE)), "texts")
+    texts = both.where("n is not null").select(*(n for n, _ in PROFILE))
     profile = scratch.cut(texts.select("doc_id", "n", "low", "high"), "sizes")
     groups = scratch.cut(keys.shared(both.select(*(F.col(f"s_{n}").alias(n) for n, _ in keys.PACKED)), alike=True).select("key", "members"), "groups")
     known = profile.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "low", "high")).alias("s")).select("doc_id", "s.*")
     classes = known.groupBy("n", "low", "high").agg(F.min("doc_id").alias("rep"))
     member = scratch.cut(known.join(classes, ["n", "low", "high"]), "members")
-    # signatures name any document of a class of equal sets; from here on the class's smallest id stands for it
-    named = groups.select("key", F.explode("members").alias("doc_id")).join(member.select("doc_id", "rep"), "doc_id").select("key", F.col("rep").alias("id")).distinct()
+    # signatures name any document that has a set, be it the largest of its id or not; from here on the smallest id of the
+    # set's class stands for it. An id with several sets stands for the classes of them all: what meets is compared.
+    every = profile.where("doc_id is not null and n > 0").distinct().join(classes, ["n", "low", "high"]).select("doc_id", "rep").distinct()
+    named = groups.select("key", F.explode("members").alias("doc_id")).join(every, "doc_id").select("key", F.col("rep").alias("id")).distinct()
     named = scratch.cut(named, "named")
-    scratch.drop(both, groups)
+    scratch.drop(groups)
     chosen = ["doc_id", "n", "low", "high"]
     reps = texts.where("n > 0").join(member.where("doc_id = rep").select(*chosen), chosen, "left_semi").withColumnRenamed("doc_id", "id")
     met = with_near_sketch(scratch, named, reps.select("id", "n", "sketch").dropDuplicates(["id"]), num, den)
     scratch.drop(named)
     wanted = reps.select("id", "packed").join(met.select("id").distinct(), "id", "left_semi")
     content = scratch.cut(wanted.withColumn("bytes", F.octet_length("packed")).dropDuplicates(["id"]), "content")
-    scratch.drop(texts)
+    scratch.drop(both)
     labels = linked(scratch, met, content, _sets(size), num, den)
     scratch.drop(content, met)
     found = member.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))

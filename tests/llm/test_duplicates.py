@@ -333,3 +333,23 @@ def test_hash_collisions_are_verified():
     for i, c in zip(order, classes, strict=True):
         groups.setdefault(int(c), set()).add(raw[at[i] : at[i] + 10].tobytes())
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == 3
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (2, 3, 0, 1), (1, 0, 3, 2)])
+def test_links_of_a_set_that_an_id_has_beside_a_larger_one(spark, order):
+    base = prose(41, 121).split()
+    near = [*base[:60], "elsewhere", *base[61:]]
+    rows = [(1, " ".join(base)), (1, prose(42, 400)), (2, " ".join(base)), (3, " ".join(near))]
+    df = spark.createDataFrame([rows[k] for k in order], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in partenum.join(df, size=3, num=90, den=100).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
+
+
+def test_a_key_of_one_id_displaces_no_shared_key():
+    row = lambda key, ids: (np.full(len(ids), key, np.uint64) << np.uint64(64 - keys.KEY_BITS), np.array(ids, np.int64))
+    given = [(5, [1, 2]), (6, [3]), (7, [1, 2]), (8, [2, 3]), (9, [4])]
+    packer = keys.Packer(1)
+    packed = list(packer.add(*(np.concatenate(x) for x in zip(*(row(*g) for g in given), strict=True)))) + list(packer.end())
+    table = pa.concat_tables([pa.table({n: pa.array(p[n], t) for n, t in keys.PACKED}) for p in packed])
+    got = keys._merge(alike=True, told=False)(table)
+    assert sorted(got["members"].to_pylist()) == [[1, 2], [2, 3]]
