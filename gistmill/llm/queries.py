@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, classifier, conversations, mixing, packing, paragraphs, partenum, rules, secrets, suffix, variants, warc
+from . import balltree, classifier, conversations, language, mixing, packing, paragraphs, partenum, rules, secrets, suffix, variants, warc
 from .common import table
 
 
@@ -65,10 +65,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(table(spark, sf_dir, "documents"))
 
 
+def op13_language_by_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     numbered = (
         op1_secret_scan, op2_poisson_mixing, op3_warc_segments, op4_sum_of_squares_packing, op5_partenum_join, op6_adaptive_quality_rules, op7_paragraph_minhash,
-        op8_quality_classifier, op9_suffix_sorted_repeats, op10_ball_tree_top_k, op11_conversation_prefix_trie, op12_spelling_variants,
+        op8_quality_classifier, op9_suffix_sorted_repeats, op10_ball_tree_top_k, op11_conversation_prefix_trie, op12_spelling_variants, op13_language_by_partial_matching,
     )
     return {f.__name__: f for f in numbered}
 
