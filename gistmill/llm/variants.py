@@ -57,15 +57,13 @@ def near_pairs(words: DataFrame, scratch: Scratch, shortest: int = 6, work: int
     own = words.select("word", "n", F.lit(0).alias("longer"), F.length("word").alias("l"))
     probes = words.where(F.length("word") > shortest).select("word", "n", F.lit(1).alias("longer"), (F.length("word") - 1).alias("l"))
     rows = own.unionByName(probes).withColumns({"a": F.lit(0), "b": F.col("l")})
-    found = None
-    where = ["l", "a", "b", "key"]
+    found, where = None, ["l", "a", "b", "key"]
     while True:
-        entries = scratch.cut(_entries(rows), "entries")
+        entries = _entries(rows)
         own_, longer = F.count_if(F.col("longer") == 0), F.count_if(F.col("longer") == 1)
         size = entries.groupBy(*where).agg(own_.alias("x"), longer.alias("y")).where("x > 1 OR x = 1 AND y > 0")
         hot = (F.col("x").cast("double") * (F.col("x") + F.col("y")) > work) & (F.col("b") - F.col("a") > 1)
         met = scratch.cut(entries.join(size.select(*where, hot.alias("hot")), where), "met")
-        scratch.drop(entries)
         cool = met.where(~F.col("hot"))
         left = cool.where("longer = 0").select(*where, F.col("word").alias("first"), F.col("n").alias("first_n"))
         right = cool.select(*where, "word", "n", "longer")
@@ -73,11 +71,10 @@ def near_pairs(words: DataFrame, scratch: Scratch, shortest: int = 6, work: int
         fresh = (F.col("b") == F.col("l")) | (mine != others)  # else they meet under the first half, too
         pairs = left.join(right, where).where(((F.col("longer") == 1) | (F.col("first") < F.col("word"))) & fresh)
         pairs = pairs.where(F.levenshtein("first", "word", 1) == 1).select(F.col("first").alias("a"), F.col("first_n").alias("a_n"), F.col("word").alias("b"), F.col("n").alias("b_n"))
-        pairs = scratch.cut(pairs, "pairs")
         found = pairs if found is None else found.unionByName(pairs)
         rows = met.where("hot").drop("hot", "key")
         if rows.isEmpty():
-            return found
+            return scratch.cut(found, "pairs")
 
 
 def forms(pairs: DataFrame, words: DataFrame, times: int = 5) -> DataFrame:
