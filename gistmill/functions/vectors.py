@@ -58,21 +58,6 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", v
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def within_budget(ranked: DataFrame, order: list, length: Column, budget: int, by: list[str] | None = None) -> DataFrame:
-    """The leading rows whose lengths together stay within a budget; stops at the first that does not fit."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    w = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("_used", F.sum(length).over(w)).where(F.col("_used") <= budget).drop("_used")
-
-
-def truncated_to_budget(ranked: DataFrame, order: list, text: str, budget: int, by: list[str] | None = None) -> DataFrame:
-    """The leading rows within a budget, the one that overflows cut to what is left."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    w = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(budget) - F.coalesce(F.sum(F.length(text)).over(w), F.lit(0))
-    return ranked.withColumn("_left", left).where("_left > 0").withColumn(text, F.left(text, F.col("_left").cast("int"))).drop("_left")
-
-
 def nearest_sparse(vectors: DataFrame, queries: DataFrame, key: str, by: str, k: int, least: float = 0.0) -> DataFrame:
     """(by, key, score): the k keys most similar to each query of `by`, from (by, key, bucket, weight) and (by, bucket, weight).
 

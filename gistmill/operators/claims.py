@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..kept import dropped, kept
 
 CLAIM = r"\d+\.\s*\*\*(.{10,150}?)\*\*"
 
 
+def rule_quotes(body: Column) -> Column:
+    """Bold numbered items of a report, without colons at their ends, equal ones once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(CLAIM), F.lit(1)), lambda q: F.regexp_replace(T.strip(q), "[：:]+$", "")))
+
+
 def rule_claims(reports: DataFrame, key: str, body: str, section: str = "核心发现") -> DataFrame:
     """(key, pos, quote, start, claim_id) of bold numbered items, equal ones of a report once; start counts from 0."""
-    quotes = F.transform(F.regexp_extract_all(body, F.lit(CLAIM), F.lit(1)), lambda q: F.regexp_replace(T.strip(q), "[：:]+$", ""))
-    each = reports.select(key, F.col(body).alias("_body"), F.posexplode(F.array_distinct(quotes)).alias("pos", "quote"))
+    each = reports.select(key, F.col(body).alias("_body"), F.posexplode(rule_quotes(F.col(body))).alias("pos", "quote"))
     start = (F.position(F.col("quote"), F.col("_body")) - 1).cast("int")
     return each.select(key, "pos", "quote", start.alias("start"), T.claim_id(F.col("quote"), F.lit(section), start).alias("claim_id"))
 
@@ -38,30 +45,51 @@ def suggestions(claims: DataFrame) -> DataFrame:
     return claims.where(kind.isNotNull()).select(kind.alias("type"), F.col("text").alias("claim"), "verdict", F.coalesce(F.nullif("evidence", F.lit("")), why).alias("reason"), action.alias("action"))
 
 
+def seeds(words: DataFrame) -> DataFrame:
+    """(by, id) of the rows that no earlier seed shares a word with, from distinct (by, id, word); ids in order within by.
+
+    Found in rounds: an open row that is the smallest open one under each of its words is a seed, for no row before it
+    that shares a word can become one any more; the rows that share a word with it are closed. So the rounds follow the
+    longest chain of rows that wait for each other, not the rows. Each round's open words are a written table.
+    """
+    open_, found = kept(words, "words"), []
+    while not open_.isEmpty():
+        least = open_.groupBy("by", "word").agg(F.min("id").alias("_least"))
+        marked = open_.join(least, ["by", "word"])
+        fresh = kept(marked.groupBy("by", "id").agg(F.bool_and(F.col("id") == F.col("_least")).alias("seed")).where("seed").select("by", "id"), "seeds")
+        found.append(fresh)
+        taken = open_.join(fresh, ["by", "id"], "left_semi").select("by", "word")
+        closed = open_.join(taken, ["by", "word"], "left_semi").select("by", "id").distinct()
+        rest = kept(open_.join(closed, ["by", "id"], "left_anti"), "words")
+        dropped(open_)
+        open_ = rest
+    dropped(open_)
+    return reduce(DataFrame.unionByName, found) if found else words.select("by", "id").where("false")
+
+
 def seed_clusters(needs: DataFrame, by: str, key: str, title: str) -> DataFrame:
     """(by, key, cluster) of greedy clusters of each group, in key order, at most eight.
 
-    A need joins the first seed with which it shares a word of three characters or more; groups of up to three are one
-    cluster. The greedy rule needs a group's rows in order, so it is one pandas call per group, over titles alone.
+    A need joins the first seed with which it shares a word of three characters or more; a need that shares none with
+    the seeds before it is a seed, as is one without words. Of more than eight clusters the seven largest stay, numbered
+    by size and then by their first need, and the others are the eighth; else they are numbered by their first need.
+    Groups of up to three are one cluster. A null group is none; keys are distinct within a group.
+    Seeds share no word with each other, so a word leads to one seed, whose cluster is found by a join.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        words = [{w for w in str(t).lower().split() if len(w) >= 3} for t in pdf[title]]
-        cluster = [-1] * len(words)
-        if len(words) <= 3:
-            cluster = [0] * len(words)
-        made = 0
-        for i in range(len(words)):
-            if cluster[i] < 0:
-                cluster[i] = made
-                for j in range(i + 1, len(words)):
-                    if cluster[j] < 0 and words[i] & words[j]:
-                        cluster[j] = made
-                made += 1
-        sizes = pd.Series(cluster).value_counts(sort=False)
-        rank = {c: min(n, 7) for n, c in enumerate(sorted(sizes.index, key=lambda c: (-sizes[c], c)))} if len(sizes) > 8 else {c: c for c in sizes.index}
-        return pd.DataFrame({by: pdf[by], key: pdf[key], "cluster": [rank[c] for c in cluster]})
-
-    kinds = dict(needs.dtypes)
-    return needs.select(by, key, title).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {key} {kinds[key]}, cluster int")
+    rows = kept(needs.where(F.col(by).isNotNull()).select(F.col(by).alias("by"), F.col(key).alias("id"), title), "needs")
+    tokens = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(title), F.lit(""))), r"(?U)\s+"), lambda w: F.length(w) >= 3))
+    words = kept(rows.select("by", "id", F.explode(tokens).alias("word")), "words")
+    first = seeds(words).withColumn("seed", F.col("id"))
+    owner = words.join(first.select("by", "id", "seed"), ["by", "id"]).select("by", "word", "seed")
+    joined = words.join(owner, ["by", "word"]).groupBy("by", "id").agg(F.min("seed").alias("seed"))
+    placed = kept(rows.select("by", "id").join(joined, ["by", "id"], "left").withColumn("seed", F.coalesce("seed", "id")), "placed")
+
+    sizes = placed.groupBy("by", "seed").agg(F.count(F.lit(1)).alias("many"))
+    groups = sizes.groupBy("by").agg(F.sum("many").alias("rows"), F.count(F.lit(1)).alias("clusters"))
+    told = sizes.join(groups, "by")
+    rank = lambda *order: (F.row_number().over(Window.partitionBy("by").orderBy(*order)) - 1).alias("cluster")
+    few = told.where("rows > 3 AND clusters <= 8").select("by", "seed", rank("seed"))
+    large = told.where("rows > 3 AND clusters > 8").select("by", "seed", rank(F.desc("many"), "seed")).where("cluster < 7")
+    numbered = placed.join(groups, "by").join(few.unionByName(large), ["by", "seed"], "left")
+    cluster = F.when(F.col("rows") <= 3, 0).otherwise(F.coalesce("cluster", F.lit(7)))
+    return numbered.select(F.col("by").alias(by), F.col("id").alias(key), cluster.cast("int").alias("cluster"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import values as V
+from .prefix import running
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -63,19 +63,20 @@ def field_agreement(compared: DataFrame) -> DataFrame:
 def auroc(rows: DataFrame, label: str, risk: str) -> DataFrame:
     """Area under the ROC curve, ties a half; null with one class.
 
-    Grouped by risk first, so what is ranked is distinct values and their counts, not rows.
+    Grouped by risk first; what lies below each distinct value is a running sum over ranges of values.
     """
     by = rows.groupBy(F.col(risk).alias("r")).agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(F.lit(0)).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2)).agg(F.try_divide(F.sum("wins"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
+    below = running(by, [], ["r"], {"upto": F.col("neg")})
+    wins = F.col("pos") * (F.col("upto") - F.col("neg") / 2)
+    return below.withColumn("wins", wins).agg(F.try_divide(F.sum("wins"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
 
 
 def average_precision(rows: DataFrame, label: str, risk: str) -> DataFrame:
     """Mean over positives of the precision at their risk, rows of one risk taken together."""
     by = rows.groupBy(F.col(risk).alias("r")).agg(F.count_if(F.col(label)).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = F.col("pos") * F.sum("pos").over(w) / F.sum("n").over(w)
-    return by.withColumn("part", part).agg(F.try_divide(F.sum("part"), F.sum("pos").cast("double")).alias("average_precision"))
+    upto = running(by, [], [F.desc("r")], {"pos_upto": F.col("pos"), "n_upto": F.col("n")})
+    part = F.col("pos") * F.col("pos_upto") / F.col("n_upto")
+    return upto.withColumn("part", part).agg(F.try_divide(F.sum("part"), F.sum("pos").cast("double")).alias("average_precision"))
 
 
 def verdict_metrics(matched: DataFrame, verdicts: list[str]) -> DataFrame:

@@ -13,9 +13,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions import values as V
 from .filters import noise_verdict
+from .prefix import running
 
 Hook = Callable[[list[str]], list[dict | None]]
 # What an extracted record may hold.
@@ -150,6 +153,27 @@ def extract_claims(reports: DataFrame, key: str, text: str, hook: Callable[[list
     return got.select(key, F.when(F.col("error") == "", T.claim_id(F.col("quote"), F.col("section"), F.col("start"))).alias("claim_id"), "quote", "section", "start", "end", "error")
 
 
+def claims_as_json(texts: list[str]) -> list[str]:
+    """`figure_claims` as an experiment's hook."""
+    return [json.dumps(c, ensure_ascii=False) for c in figure_claims(texts)]
+
+
+def checks_as_json(inputs: list[str]) -> list[str]:
+    """`overlap_checker` over all claims of {claims, sources} objects, as an experiment's hook."""
+    out = []
+    for x in map(json.loads, inputs):
+        shown = [f"{s['title']} {s['content']}" for s in x["sources"]]
+        said = overlap_checker([json.dumps({"claim": c["quote"], "sources": shown}) for c in x["claims"]])
+        out.append(json.dumps(said))
+    return out
+
+
+def consistency_by_words(inputs: list[str]) -> list[str]:
+    """A score of {body, claims} objects: lower for each claim that both denies and states."""
+    count = lambda x: sum(bool(re.search(r"(?i)\b(?:never|not)\b.*\band\b", c["quote"])) for c in x["claims"])
+    return [str(max(0, 100 - 60 * count(x))) for x in map(json.loads, inputs)]
+
+
 def check_claims(claims: DataFrame, sources: DataFrame, report: str, hook: Hook = overlap_checker, most: int = 15, size: int = 200) -> DataFrame:
     """(report, claim_id, verdict, confidence) of claims (report, claim_id, quote) against their report's sources.
 
@@ -170,6 +194,72 @@ def check_claims(claims: DataFrame, sources: DataFrame, report: str, hook: Hook
     return none.unionByName(asked.mapInPandas(run, f"{report} {dict(claims.dtypes)[report]}, claim_id string, verdict string, confidence double"))
 
 
+def overlaps_by_index(asks: list[str]) -> list[str]:
+    """`overlap_checker` over {claims: [{index, quote}], sources} objects: [{index, verdict, confidence}] as JSON."""
+    out = []
+    for x in map(json.loads, asks):
+        said = overlap_checker([json.dumps({"claim": c["quote"], "sources": x["sources"]}) for c in x["claims"]])
+        out.append(json.dumps([{"index": c["index"], **s} for c, s in zip(x["claims"], said, strict=True)]))
+    return out
+
+
+def _indexed(answer: str, wanted: list[int]) -> dict[int, dict]:
+    """An answer by index; raises unless it is a list with each wanted index once, a known verdict and a confidence."""
+    items = json.loads(answer)
+    if not isinstance(items, list) or not all(isinstance(i, dict) for i in items):
+        raise ValueError("answer is not a list of objects")
+    if sorted(i.get("index", -1) if isinstance(i.get("index"), int) else -1 for i in items) != sorted(wanted):
+        raise ValueError("indices are not complete and distinct")
+    for i in items:
+        if i.get("verdict") not in V.VERDICT:
+            raise ValueError("verdict is not known")
+        if isinstance(i.get("confidence"), bool) or not isinstance(i.get("confidence"), int | float):
+            raise ValueError("confidence is no number")
+    return {i["index"]: i for i in items}
+
+
+def check_in_batches(claims: DataFrame, sources: DataFrame, report: str, hook: Callable[[list[str]], list[str]] = overlaps_by_index, per: int = 12, most: int = 15, size: int = 200) -> DataFrame:
+    """(report, claim_id, verdict, confidence, error) of claims (report, claim_id, quote), asked about `per` at a time.
+
+    The hook takes a list of {claims: [{index, quote}], sources} objects as JSON, and gives a list of answers
+    [{index, verdict, confidence}]. An answer counts only if it has every index of its batch once; else, or if the hook
+    fails, the batch is halved and asked again, down to single claims, which then have the error in place of a verdict.
+    Of a report's sources (report, title, content) the first `most` by title are shown, cut to `size` characters.
+    Without sources nothing is asked: unverifiable with 0.3. Null quotes are empty. claim_id is distinct in a report.
+    """
+    first = sources.select(report, F.struct(F.coalesce("title", F.lit("")).alias("title"), F.left(F.coalesce("content", F.lit("")), F.lit(size)).alias("content")).alias("s"))
+    ranked = first.withColumn("_nth", F.row_number().over(Window.partitionBy(report).orderBy("s"))).where(F.col("_nth") <= most)
+    shown = ranked.groupBy(report).agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: F.concat_ws(" ", x["title"], x["content"])).alias("sources"))
+    rows = running(claims.select(report, "claim_id", F.coalesce("quote", F.lit("")).alias("quote")), [report], ["claim_id"], {"_nth": F.lit(1)})
+    rows = rows.join(shown, report, "left")
+    none = rows.where("sources IS NULL").select(report, "claim_id", F.lit("unverifiable").alias("verdict"), F.lit(0.3).alias("confidence"), F.lit(None).cast("string").alias("error"))
+    batches = rows.where("sources IS NOT NULL").groupBy(report, F.floor((F.col("_nth") - 1) / per).alias("_batch")).agg(F.array_sort(F.collect_list(F.struct("_nth", "claim_id", "quote"))).alias("claims"), F.first("sources").alias("sources"))
+
+    def ask(quotes: list[str], shown: list[str], at: int) -> list[tuple]:
+        wanted = list(range(at, at + len(quotes)))
+        try:
+            body = json.dumps({"claims": [{"index": i, "quote": q} for i, q in zip(wanted, quotes, strict=True)], "sources": shown}, ensure_ascii=False)
+            said = _indexed(hook([body])[0], wanted)
+            return [(said[i]["verdict"], min(1.0, max(0.0, float(said[i]["confidence"]))), None) for i in wanted]
+        except Exception as e:  # noqa: BLE001
+            if len(quotes) == 1:
+                return [(None, None, str(e) or "hook failed")]
+            half = len(quotes) // 2
+            return ask(quotes[:half], shown, at) + ask(quotes[half:], shown, at + half)
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            out = []
+            for name, group, shown in zip(pdf[report], pdf["claims"], pdf["sources"], strict=True):
+                got = ask([c["quote"] for c in group], list(shown), 0)
+                out += [(name, c["claim_id"], *g) for c, g in zip(group, got, strict=True)]
+            yield pd.DataFrame(out, columns=[report, "claim_id", "verdict", "confidence", "error"])
+
+    kinds = dict(claims.dtypes)
+    asked = batches.mapInPandas(run, f"{report} {kinds[report]}, claim_id {kinds['claim_id']}, verdict string, confidence double, error string")
+    return none.unionByName(asked)
+
+
 def consistency(model_score):
     """Score of a report's consistency: halfway between full marks and the model's."""
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), (100 + model_score) / 2))

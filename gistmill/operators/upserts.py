@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def counted(events: DataFrame, key: list[str], value: str, ts: str) -> DataFrame:
     """Knowledge entries from a batch: latest value, number of sources, and confidence 0.5 plus 0.05 for each after the first."""
@@ -46,8 +48,7 @@ def deleted(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def numbered(old: DataFrame, new: DataFrame, key: str, order: list) -> DataFrame:
-    """New rows with ids that go on from the largest one there is."""
-    from pyspark.sql.window import Window
-
+    """New rows with ids that go on from the largest one there is, in an order that leaves no ties."""
     top = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    return new.crossJoin(F.broadcast(top)).withColumn(key, F.col("_top") + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).drop("_top")
+    nth = running(new, [], order, {"_nth": F.lit(1)})
+    return nth.crossJoin(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_nth")).drop("_top", "_nth")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from ..streaming import ingest
+from ..streaming import changes, ingest
 from .registry import query
 
 
@@ -38,3 +38,16 @@ def gate_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "approved").when(F.col("event_type") == "view", "rejected").otherwise("edited")
     d = load(spark, sf_dir, "events").select(F.col("user_id").alias("gate_id"), kind.alias("decision"), F.struct("ts", "event_id").alias("at"))
     return ingest.gate_states(d).drop("decided_at")
+
+
+def task_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of tasks made of events: a user is a task, the kind of an event its status, every seventh event a removal."""
+    status = F.when(F.col("event_id") % 7 == 0, changes.REMOVED).otherwise(F.col("event_type"))
+    return load(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), status.alias("status"), "ts", F.col("event_id").alias("seq"))
+
+
+@query("""WITH t AS (SELECT user_id AS task_id, CASE WHEN event_id % 7 = 0 THEN 'removed' ELSE event_type END AS status, ts, event_id AS seq FROM events),
+  b AS (SELECT *, coalesce(lag(status) OVER (PARTITION BY task_id ORDER BY ts, seq), 'removed') AS before FROM t WHERE task_id IS NOT NULL AND status IS NOT NULL)
+  SELECT task_id, CASE WHEN status = 'removed' THEN 'removed' WHEN before = 'removed' THEN 'inserted' ELSE 'changed' END AS change, status, ts, seq FROM b WHERE status <> before""")
+def task_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.changes(task_updates(spark, sf_dir), "task_id")

@@ -12,6 +12,7 @@ from ..functions import vectors as X
 from ..operators import claims as C
 from ..operators import evaluation as E
 from ..operators import filters as P
+from ..operators import retrieval as R
 from ..operators import windows as W
 from ..session import load
 from . import standins as S
@@ -195,13 +196,13 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT doc_id, lang, n_chars, sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS used FROM documents) SELECT lang, doc_id, n_chars FROM r WHERE used <= 20000""")
 def retrieval_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
-    return X.within_budget(d, ["doc_id"], F.col("n_chars"), 20000, ["lang"])
+    return R.within_budget(d, ["doc_id"], F.col("n_chars"), 20000, ["lang"])
 
 
 @query("""WITH r AS (SELECT doc_id, lang, text, 20000 - coalesce(sum(length(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM documents) SELECT lang, doc_id, least(length(text), room)::BIGINT AS n, md5(left(text, room::BIGINT)) AS digest FROM r WHERE room > 0""")
 def retrieval_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").select("lang", "doc_id", "text")
-    return X.truncated_to_budget(d, ["doc_id"], "text", 20000, ["lang"]).select("lang", "doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+    return R.truncated_to_budget(d, ["doc_id"], "text", 20000, ["lang"]).select("lang", "doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 
 @query(f"""WITH {S.NEEDS}, r AS (SELECT * FROM needs ORDER BY doc_id LIMIT 5) SELECT string_agg('[来源: ' || platform || ' | ' || title || ']' || chr(10) || left(body, 100), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS context FROM r""")
@@ -221,7 +222,7 @@ def retrieval_hits_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = X.hash_embedding(chunks.withColumn("key", F.struct("lang", "doc_id", "pos")), "key", "chunk").select(F.col("key.lang").alias("lang"), F.struct("key.doc_id", "key.pos").alias("key"), "bucket", "weight")
     hits = X.nearest_sparse(vectors, queries, "key", "lang", 5, 0.2).join(chunks, ["lang", "key"])
     order = [F.desc("score"), "key"]
-    fit = X.within_budget(hits, order, F.length("chunk"), 2000, ["lang"])
+    fit = R.within_budget(hits, order, F.length("chunk"), 2000, ["lang"])
     return X.context_text(fit, order, "platform", "title", "chunk", ["lang"])
 
 
@@ -264,7 +265,13 @@ def relative_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", V.age(F.col("ts"), F.expr("TIMESTAMP '2024-01-31 00:00:00'")).alias("age"))
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '{WS}+'), lambda x: length(x) >= 3)) AS words FROM part),
+  r AS (SELECT p_brand, p_partkey, n, p_partkey AS seed, [{{'seed': p_partkey, 'words': words}}] AS seeds FROM w WHERE n = 1
+    UNION ALL SELECT p_brand, p_partkey, n, coalesce(hit, p_partkey), CASE WHEN hit IS NULL THEN list_append(seeds, {{'seed': p_partkey, 'words': words}}) ELSE seeds END
+    FROM (SELECT w.*, r.seeds, list_filter(r.seeds, lambda s: list_has_any(s.words, w.words))[1].seed AS hit FROM r JOIN w ON w.p_brand = r.p_brand AND w.n = r.n + 1)),
+  c AS (SELECT p_brand, seed, count(*) AS many, count(*) OVER (PARTITION BY p_brand) AS clusters, sum(count(*)) OVER (PARTITION BY p_brand) AS total FROM r GROUP BY p_brand, seed),
+  k AS (SELECT *, CASE WHEN total <= 3 THEN 0 WHEN clusters <= 8 THEN row_number() OVER (PARTITION BY p_brand ORDER BY seed) - 1 ELSE least(row_number() OVER (PARTITION BY p_brand ORDER BY many DESC, seed) - 1, 7) END AS cluster FROM c)
+  SELECT r.p_brand, p_partkey, CAST(cluster AS INTEGER) AS cluster FROM r JOIN k USING (p_brand, seed)""")
 def seed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.seed_clusters(load(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_name")
 
