@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -52,12 +53,15 @@ def _header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": pdf["path"], "filename": names, "title": [f.get("标题") or f.get("title") or n.removesuffix(".md") for f, n in zip(fields, names, strict=True)], "fields": fields, "body": [b for _, b in parts], "modified": pdf["modificationTime"], "length": pdf["length"]})
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
+def documents(spark: SparkSession, path: str, first: datetime | None = None, last: datetime | None = None) -> DataFrame:
     """Markdown files of a folder: header fields as a map (lists joined by commas), and the body.
 
-    A header that does not parse gives no fields; without an end to the header the whole text is the body.
+    A header that does not parse gives no fields; without an end to the header the whole text is the body. first, last:
+    only files modified between the two, others are not opened.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(path)
+    if first is not None:
+        files = files.where(F.col("modificationTime").between(F.lit(first), F.lit(last)))
     return files.mapInPandas(_header, DOCUMENT)
 
 
