@@ -25,14 +25,14 @@ NONE = -np.iinfo(np.int64).max
 
 
 def whole_vectors(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
-    """vec_id, v (array<long>: floor of scale times each component), once per id.
+    """vec_id, v (array<long>: floor of scale times each component), copies: how many rows hold that.
 
-    Null ids, null or empty vectors and those with a null or non-finite component are left out; of an id's different
-    vectors the smallest counts; components beyond 2^62 are held there.
+    Null ids, null or empty vectors and those with a null or non-finite component are left out; components beyond 2^62
+    are held there.
     """
     real = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     scaled = F.transform("embedding", lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(1 << 62)), F.lit(-(1 << 62))).cast("long"))
-    return vectors.where(F.col("vec_id").isNotNull() & real).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.where(F.col("vec_id").isNotNull() & real).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v")).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
 
 
 class Products:
@@ -52,12 +52,12 @@ class BallTree:
     """Rows in an order where every node is a slice, with its center and radius."""
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, k: int, largest: int):
-        # of equal vectors no more than the k + 1 smallest ids can be among the best k of any query
+        # of equal vectors no more than the 2 k first rows can be among the best k of any query: its own id has k at most
         order = np.lexsort((ids, *rows.T[::-1]))
         rows, ids = rows[order], ids[order]
         fresh = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
         nth = np.arange(len(ids)) - np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))
-        rows, ids = rows[nth <= k], ids[nth <= k]
+        rows, ids = rows[nth < 2 * k], ids[nth < 2 * k]
         self.nodes: list[tuple[slice, np.ndarray, float, int, int]] = []
         self.points, self.order = rows.astype(float), np.arange(len(ids))
         self.root = self._build(0, len(ids))
@@ -128,14 +128,15 @@ def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other vectors of each query, ties to the smaller vec_id.
 
-    Queries are the vectors whose id is divisible by `every`. Vectors of another length than the query's are no
-    candidates. An empty table, or one without queries, gives no rows.
+    Queries are the vectors whose id is divisible by `every`, of different vectors under one id the smallest; candidates
+    are all rows under other ids, repeated ones as often as they come. Vectors of another length than the query's are no
+    candidates. An empty table, or one without queries, gives no rows. Other columns are ignored.
     """
     whole = whole_vectors(vectors, scale).withColumn("d", F.size("v"))
-    totals = whole.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"), F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()
+    totals = whole.agg(F.coalesce(F.sum(F.least("copies", F.lit(k))), F.lit(0)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"), F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()
     shards, blocks, top = max(1, math.ceil(totals["n"] / SHARD_ROWS)), max(1, math.ceil((totals["q"] or 0) / BLOCK_ROWS)), int(totals["top"] or 0)
     spark = vectors.sparkSession
-    some = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
+    some = whole.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE_ROWS).collect()
     sample = spark.sparkContext.broadcast([(r["vec_id"], r["d"], np.array(r["v"], np.int64)) for r in some])
 
     def first_bound(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,10 +149,13 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = SCAL
                 out.append(int(np.sort(got)[-k]) if len(got) >= k else NONE)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "first"])
 
-    queries = whole.where(F.col("vec_id") % every == 0).mapInArrow(first_bound, "vec_id long, v array<long>, d int, first long")
+    asking = whole.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
+    queries = asking.mapInArrow(first_bound, "vec_id long, v array<long>, d int, first long")
     spread = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     # every block of queries meets every shard once; both sizes are fixed, so a task's share is
-    dealt = whole.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # rows repeated are one until here; k of them are all that the best k of a query can hold
+    rows = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int")))).drop("copies", "copy")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []

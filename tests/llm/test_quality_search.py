@@ -171,17 +171,20 @@ def test_top_k(spark, seed):
         x *= 1e12
     rows = [(i * 25, [float(v) for v in x[i]]) for i in range(n)]
     rows += [(1, None), (3, [1.0, None]), (7, [float("nan")] * 8), (11, [float("inf")] * 8), (13, []), (None, [1.0] * 8), (200, [2.0] * 3), (300, [1.0] * 3), rows[4]]
+    rows += [rows[7]] * 15 + [rows[8]] * 13 + [rows[n - 1]] * 12  # repeated rows are candidates as often as they come
     df = spark.createDataFrame([(*r, 0, 0.5) for r in rows], "vec_id long, embedding array<double>, rank int, score double").repartition(3)
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in balltree.top_k(df).collect())
-    vectors: dict[int, list[int]] = {}
+    asked: dict[int, list[int]] = {}
+    vectors = []
     for i, v in rows:
         if i is not None and v and all(c is not None and np.isfinite(c) for c in v):
             whole = [max(-(1 << 62), min(1 << 62, int(np.floor(c * 1024.0)))) for c in v]
-            vectors[i] = min(vectors.get(i, whole), whole)
+            vectors.append((i, whole))
+            asked[i] = min(asked.get(i, whole), whole)
     want, limit = [], (1 << 63) - 1
-    for q, a in vectors.items():
+    for q, a in asked.items():
         if q % 100 == 0:
-            scored = sorted((-max(1 - limit, min(limit, sum(s * t for s, t in zip(a, b, strict=True)))), i) for i, b in vectors.items() if i != q and len(a) == len(b))
+            scored = sorted((-max(1 - limit, min(limit, sum(s * t for s, t in zip(a, b, strict=True)))), i) for i, b in vectors if i != q and len(a) == len(b))
             want += [(q, k, i, -s) for k, (s, i) in enumerate(scored[:10], 1)]
     assert got == sorted(want)
     assert balltree.top_k(df.where("false")).count() == 0
