@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from .text import STARS
+
 # How reports head a pain point, a severity and a category.
 HEAD = re.compile(r"(?m)^[^\S\n]*(?:(?:###\s*)?\d+[.、]\s*共性痛点[：:]|(?:###\s*)?痛点\s*\d+[：:]|\*\*共性痛点\d+[：:])[^\S\n]*(.*)$")
 SEVERITY = re.compile(r"严重程度[：:]\s*(.+?)(?:\*\*|）|$)", re.M)
@@ -23,7 +25,7 @@ def level(raw: str) -> str:
     """A severity's level from stars or words; the text itself where it names none."""
     stars = raw.count("★")
     if stars:
-        return "高" if stars >= 5 else "中到高" if stars == 4 else "中" if stars == 3 else "低"
+        return next(name for n, name in STARS.items() if stars >= n)
     high, middle = "高" in raw, "中" in raw
     return "中到高" if high and middle else "高" if high else "中" if middle or not raw.strip() else raw.strip()
 

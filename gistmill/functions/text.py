@@ -215,12 +215,16 @@ def real_line_feeds(text: Column) -> Column:
     return F.replace(text, F.lit("\\n"), F.lit("\n"))
 
 
+# Least stars of each severity.
+STARS = {5: "高", 4: "中到高", 3: "中", 1: "低"}
+
+
 def severity(raw: Column) -> Column:
     """High, middling to high, middling or low, from stars or words."""
     stars = F.length(raw) - F.length(F.replace(raw, F.lit("★"), F.lit("")))
     high, middle = F.contains(raw, F.lit("高")), F.contains(raw, F.lit("中"))
     return (
-        F.when(stars >= 5, "高").when(stars >= 4, "中到高").when(stars >= 3, "中").when(stars >= 1, "低")
+        F.when(stars > 0, F.coalesce(*(F.when(stars >= n, F.lit(name)) for n, name in STARS.items())))
         .when(high & ~middle, "高").when(middle & high, "中到高").when(middle, "中")
         .otherwise(F.coalesce(F.nullif(strip(raw), F.lit("")), F.lit("中")))
     )

@@ -13,6 +13,7 @@ from ..operators import outputs as O
 from ..session import load
 from . import standins as S
 from .registry import query
+from .texts import STRIP, WS
 
 
 @query(f"""WITH {S.NEEDS}, r AS (SELECT *, CASE WHEN n_chars % 11 = 0 THEN body END AS error, CASE WHEN n_chars % 5 = 0 THEN 'too short' END AS reason, (n_chars % 10) / 10.0::DOUBLE AS c FROM needs)
@@ -141,7 +142,9 @@ def phase_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.phase_states(load(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("phase"), status.alias("status"), "ts", i.alias("seq"), F.when(i % 4 == 0, F.col("props")).alias("result")))
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, text, list_filter(list_transform(list_filter(regexp_split_to_array(text, '[.!?。！？\\n]'), lambda x: regexp_matches(x, '\\d')), lambda x: {STRIP('x')}), lambda x: length(x) > 5) AS found FROM documents WHERE length(trim(text)) >= 50),
+  q AS (SELECT doc_id, text, unnest(list_filter(found, lambda x, i: list_position(found, x) = i)[1:12]) AS quote FROM d), s AS (SELECT *, strpos(text, quote) - 1 AS start FROM q)
+  SELECT doc_id, left(sha256(lower({STRIP(f"regexp_replace(quote, '{WS}+', ' ', 'g')")}) || chr(10) || chr(10) || start), 16) AS claim_id, quote, '' AS section, start, start + length(quote) AS "end" FROM s""")
 def quoted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of whole documents by the default hook, with their places; tested against a plain version."""
+    """Claims of whole documents by the default hook, with their places."""
     return M.extract_claims(load(spark, sf_dir, "documents"), "doc_id", "text").where("error = ''").drop("error")

@@ -95,9 +95,17 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.edges_from_links(s, "supplier", "s_suppkey", "refs", "references", "nation").select(F.col("source_id").cast("long").alias("s_suppkey"), "target_id")
 
 
-@query("SELECT name, storage FROM (VALUES ('opportunity', 'database'), ('proposal', 'database'), ('crawl_task', 'database'), ('pipeline_run', 'database'), ('verification', 'database')) t(name, storage)")
+@query("""WITH i AS (SELECT 'requirement' AS name, count(*) AS n FROM documents UNION ALL SELECT 'raw_discussion', count(*) FROM pages UNION ALL SELECT 'proposal', count(*) FROM part UNION ALL SELECT 'crawl_task', count(DISTINCT conv_id) FROM conversations
+  UNION ALL SELECT 'verification', count(*) FROM labels UNION ALL SELECT 'stranger', count(*) FROM nation) SELECT name, 'database' AS storage, n FROM i WHERE name IN ('proposal', 'crawl_task', 'verification')""")
 def entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.entities(spark, "database", "HasStatus").select("name", "storage")
+    """Rows of each kind that is registered as living in the database with a status; others are no such entities."""
+    sizes = {"requirement": "documents", "raw_discussion": "pages", "proposal": "part", "crawl_task": "conversations", "verification": "labels", "stranger": "nation"}
+    rows = None
+    for kind, table in sizes.items():
+        n = F.count_distinct("conv_id") if table == "conversations" else F.count(F.lit(1))
+        one = load(spark, sf_dir, table).agg(F.lit(kind).alias("name"), n.alias("n"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.join(F.broadcast(G.entities(spark, "database", "HasStatus")), "name").select("name", "storage", "n")
 
 
 @query(f"""WITH {S.NEEDS}, r AS (SELECT platform, doc_id, CASE WHEN length(title) > 25 THEN left(title, 25) || '...' ELSE title END AS t, row_number() OVER (PARTITION BY platform ORDER BY doc_id) AS n FROM needs) SELECT platform, string_agg(t, chr(10) ORDER BY doc_id) AS lines FROM r WHERE n <= 8 GROUP BY platform""")
@@ -190,12 +198,12 @@ def ranked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, user_id, arg_max(props, (ts, event_id)) AS value, count(*) AS source_count, round(least(1.0, 0.5 + 0.05 * (count(*) - 1)), 4)::DOUBLE AS confidence FROM events GROUP BY 1, 2")
 def knowledge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
-    first, second = e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
+    # two batches, one after the other in time, cut in the middle of the table's days
+    cut = F.broadcast(e.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("cut")))
+    dealt = e.crossJoin(cut)
     keys = ["event_type", "user_id"]
-    latest = e.groupBy(*keys).agg(F.max_by("props", "at").alias("value"))
-    merged = U.upsert_counted(U.counted(first, keys, "props", "at"), U.counted(second, keys, "props", "at"), keys)
-    # the batches interleave in time here, so the latest value is taken over both
-    return merged.drop("value").join(latest, keys).select(*keys, "value", "source_count", "confidence")
+    first, second = (U.counted(dealt.where(c), keys, "props", "at") for c in ("ts <= cut", "ts > cut"))
+    return U.upsert_counted(first, second, keys).select(*keys, "value", "source_count", "confidence")
 
 
 @query("""WITH o AS (SELECT p_partkey, p_size AS v FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS v FROM part WHERE p_partkey % 2 = 0)
@@ -315,7 +323,9 @@ def first_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.first_stage(one, "o_custkey", ["P", "F"]).select("o_custkey", "o_orderkey")
 
 
-@query()
+@query(f"""WITH {S.CLAIMS}, b AS (SELECT *, verdict IN ('hallucination', 'contradicted') AS bad FROM claims WHERE verdict IN ('hallucination', 'contradicted', 'partially'))
+  SELECT CASE WHEN bad THEN 'correction' ELSE 'review' END AS type, 'line ' || l_linenumber AS claim, verdict, CASE WHEN bad THEN '该声明与来源数据不符' ELSE '部分内容缺乏数据支撑' END AS reason,
+  CASE WHEN bad THEN '建议删除或修正该声明，确保与原始数据一致' ELSE '建议补充具体来源或限定表述范围' END AS action FROM b""")
 def claim_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = S.claims(spark, sf_dir).select("report_id", "verdict", F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("text"), F.lit("").alias("evidence"))
     return C.suggestions(c)

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Labels of trending periods.
-# Markup of result blocks, their links, texts and authors, and of topics.
+# Markup of result blocks, their links, texts and authors, and of topics; labels of trending periods.
 POST_BLOCK = r'(?s)<div\s+class="s_post"[^>]*>(.*?)</div>'
 POST_LINK = r'(?s)<a\s+[^>]*href="(/p/\d+)"[^>]*>(.*?)</a>'
 POST_TEXT = r'(?s)<p[^>]*class="[^"]*p_content[^"]*"[^>]*>(.*?)</p>'
