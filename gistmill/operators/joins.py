@@ -47,14 +47,15 @@ def by_title(asked: DataFrame, docs: DataFrame) -> DataFrame:
     same = q.join(d, q["file"] == d["filename"]).select("title", "filename", F.lit(1).alias("tier"))
     alike = q.join(d, q["key"] == d["doc_key"]).select("title", "filename", F.lit(2).alias("tier"))
     rest = q.join(same.unionByName(alike).select("title").distinct(), "title", "left_anti")
-    # a title inside another begins at one of its places: blocks are the three characters at every place. Shorter keys are
-    # blocks of their own, which meet the empty string, the characters and pairs of characters of the other side
+    # a key inside another has all its three-character blocks there, so it is looked for under the one that fewest of the
+    # others hold. Keys under three characters are blocks of their own, which meet the empty string, the characters and
+    # pairs of characters of the other side
     at_places = lambda k, n: F.when(F.length(k) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - (n - 1), F.lit(1))), lambda i: F.substring(k, i, F.lit(n)))))
     few = lambda k: F.flatten(F.array_compact(F.array(F.array(F.lit("")), at_places(k, 1), at_places(k, 2))))
-    inside = F.contains("key", F.col("doc_key")) | F.contains("doc_key", F.col("key"))
-    left = rest.withColumn("at", F.explode(at_places(F.col("key"), 3))).withColumn("head", F.left("key", F.lit(3)))
-    right = d.withColumn("at", F.explode(at_places(F.col("doc_key"), 3))).withColumn("doc_head", F.left("doc_key", F.lit(3)))
-    near = left.join(right, "at").where((F.col("at") == F.col("head")) | (F.col("at") == F.col("doc_head"))).where(inside).select("title", "filename")
+    left = rest.select("key").distinct().withColumn("at", F.explode(at_places(F.col("key"), 3)))
+    right = d.select("doc_key").distinct().withColumn("at", F.explode(at_places(F.col("doc_key"), 3)))
+    inner = _held(right, "doc_key", left, "key").select("key", "doc_key").unionByName(_held(left, "key", right, "doc_key").select("key", "doc_key")).distinct()
+    near = rest.select("title", "key").join(inner, "key").join(d.select("filename", "doc_key"), "doc_key").select("title", "filename")
     short_asked = rest.where(F.length("key") < 3).join(d.withColumn("at", F.explode(few(F.col("doc_key")))), F.col("key") == F.col("at")).select("title", "filename")
     short_docs = rest.withColumn("at", F.explode(few(F.col("key")))).join(d.where(F.length("doc_key") < 3), F.col("at") == F.col("doc_key")).select("title", "filename")
     near = near.unionByName(short_asked).unionByName(short_docs).withColumn("tier", F.lit(3))
@@ -62,6 +63,13 @@ def by_title(asked: DataFrame, docs: DataFrame) -> DataFrame:
     return same.unionByName(alike).unionByName(near.distinct()).withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
 
 
+def _held(parts: DataFrame, part: str, wholes: DataFrame, whole: str) -> DataFrame:
+    """(part, whole) keys with the one inside the other, from their blocks (key, at)."""
+    sizes = wholes.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(sizes, "at", "left").groupBy(part).agg(F.min_by("at", F.coalesce("n", F.lit(0))).alias("at"))
+    return rarest.join(wholes, "at").where(F.contains(whole, F.col(part)))
+
+
 def held_out(items: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
     return items.join(excluded.select(*keys).distinct(), keys, "left_anti")
 

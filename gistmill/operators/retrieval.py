@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -50,6 +54,45 @@ def embedded(rows: DataFrame, text: str, embed: Embedder = hashed_tokens, batch:
     return rows.mapInArrow(run, f"{fields}, embedding array<float>")
 
 
+#: White space in the sense of Unicode.
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("bucket", IntegerType()), StructField("weight", DoubleType())])))
+def sparse_vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The unit vector of a text's token counts as (bucket, weight) entries: `hash_embedding` within a row."""
+    known: dict[str, int] = {}
+
+    def bucket(token: str) -> int:
+        if token not in known:
+            if len(known) > 200_000:
+                known.clear()
+            known[token] = int.from_bytes(hashlib.sha256(token.encode()).digest()[:2], "big") % DIMENSIONS
+        return known[token]
+
+    def of(text: str | None) -> list[dict]:
+        counts = Counter(bucket(t) for t in SPACE.split((text or "").lower()) if t)
+        norm = sum(n * n for n in counts.values()) ** 0.5
+        return [{"bucket": b, "weight": n / norm} for b, n in sorted(counts.items())]
+
+    for series in texts:
+        yield series.map(of)
+
+
+def nearest_texts(rows: DataFrame, text: str, queries: DataFrame, asked: str, by: str, k: int, least: float = 0.0) -> DataFrame:
+    """rows with score, the k most similar to the text of their `by`'s query; scores, to nine digits, under `least` go.
+
+    queries: (by, asked), one row for each `by`. A row's vector and product are made within the row, so what is shuffled
+    is the best k of each task and query. Rows that tie are taken in the order of their other columns.
+    """
+    q = queries.select(by, F.map_from_entries(sparse_vectors(asked)).alias("_q")).where("size(_q) > 0")
+    vectors = rows.withColumn("_v", sparse_vectors(text)).join(q, by)
+    score = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x["weight"] * F.coalesce(F.col("_q")[x["bucket"]], F.lit(0.0)))
+    scored = vectors.withColumn("score", F.round(score, 9)).drop("_v", "_q").where(F.col("score") >= least)
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), *(c for c in rows.columns if c != by)))
+    return scored.withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
     """Unit vectors as rows."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

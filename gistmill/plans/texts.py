@@ -230,10 +230,8 @@ def retrieval_hits_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     most similar to it by hashed words, of 0.2 or more, as far as they fit 2000 characters. A language whose best hit does not fit has none."""
     n = S.needs(spark, sf_dir)
     first = n.where(F.rlike("title", F.lit(r"\w"))).groupBy("lang").agg(F.min_by("title", "doc_id").alias("title"))
-    queries = X.hash_embedding(first, "lang", "title")
-    chunks = n.select("lang", "platform", "title", "doc_id", F.posexplode(T.chunks(F.col("body"), separator="\n")).alias("pos", "chunk")).withColumn("key", F.struct("doc_id", "pos"))
-    vectors = X.hash_embedding(chunks.withColumn("key", F.struct("lang", "doc_id", "pos")), "key", "chunk").select(F.col("key.lang").alias("lang"), F.struct("key.doc_id", "key.pos").alias("key"), "bucket", "weight")
-    hits = X.nearest_sparse(vectors, queries, "key", "lang", 5, 0.2).join(chunks, ["lang", "key"])
+    chunks = n.select("lang", "platform", "title", "doc_id", F.posexplode(T.chunks(F.col("body"), separator="\n")).alias("pos", "chunk")).select("lang", F.struct("doc_id", "pos").alias("key"), "platform", "title", "chunk")
+    hits = R.nearest_texts(chunks, "chunk", first.withColumnRenamed("title", "asked"), "asked", "lang", 5, 0.2)
     order = [F.desc("score"), "key"]
     fit = R.within_budget(hits, order, F.length("chunk"), 2000, ["lang"])
     return X.context_text(fit, order, "platform", "title", "chunk", ["lang"])
