@@ -157,6 +157,12 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -500, 500)))
 
 
+def thinning(share: float) -> tuple[int, int]:
+    """How many of 2^20 values two parts of a hash may take so that about a share of all rows is left, down to 2^-40."""
+    first = int(share * (1 << 20))
+    return (first, 1 << 20) if first else (1, max(1, int(share * (1 << 40))))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(text, label) of at most about `sample` labelled documents that are not held out.
 
@@ -167,7 +173,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).where("label = most")
     total = usable.count()
     if total > sample:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(sample / total * (1 << 20)))
+        h = F.xxhash64("doc_id", F.lit("sample"))
+        low, high = (F.pmod(x, F.lit(1 << 20)) for x in (h, F.shiftrightunsigned(h, 20)))
+        first, second = thinning(sample / total)
+        usable = usable.where((low < first) & (high < second))
     return docs.select("doc_id", "text").join(F.broadcast(usable.select("doc_id", "label")), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
 
 

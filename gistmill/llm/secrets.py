@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from hashlib import sha256
 
 import numpy as np
@@ -131,8 +132,11 @@ def spans(texts: pa.Array) -> Iterator[tuple[list[tuple[int, int, str]], list[tu
         if fixed[k] or coded[k]:
             text = texts[k].as_py()
             base = base_spans(text) if fixed[k] else []
+            starts = sorted(a for a, _, _ in base)
+            reach = list(accumulate((b for _, b, _ in sorted(base)), max))  # how far the spans up to each start go
             for m in CANDIDATE.finditer(text) if coded[k] else ():
-                if not any(a < m.end() and m.start() < b for a, b, _ in base) and (got := randomness(m[0])):
+                before = bisect_left(starts, m.end())
+                if not (before and reach[before - 1] > m.start()) and (got := randomness(m[0])):
                     found.append((m.start(), m.end(), stratum(got[0], len(m[0])), min(BINS - 1, int(got[1] * BINS))))
         yield base, found
 
@@ -178,8 +182,9 @@ def _plain(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """One row per row of `docs`: doc_id, base spans, and random spans that passed, each an array of structs.
 
-    Null and empty texts have no spans; random spans never overlap fixed ones; repeated rows give repeated rows; other
-    columns are left out; an empty table gives no rows.
+    Null and empty texts have no spans; random spans never overlap fixed ones, and are runs of at least 20 characters of
+    an encoding's alphabet; repeated rows give repeated rows; other columns are left out; an empty table gives no rows.
+    A text of any length is scanned whole, in time that grows with it; a worker holds it once.
     """
     scanned = cut(_plain(docs).mapInArrow(_scan, SCANNED_SQL), "secrets")
     least = F.array(*map(F.lit, _thresholds(scanned, fdr)))

@@ -150,6 +150,24 @@ def test_classifier_on_odd_documents(spark, odd_docs, no_docs):
     assert classifier.score(odd_docs, model).columns == [*(c for c in odd_docs.columns if c != "quality_score"), "quality_score"]
 
 
+def test_thinning_of_labels_leaves_some_at_any_number():
+    for share in (0.9, 0.1, 1e-5, 1e-6, 1e-7, 1e-9, 1e-11):
+        first, second = classifier.thinning(share)
+        assert abs(first / 2**20 * second / 2**20 - share) <= max(2**-20 * (share > 2**-20), 2**-40) and first and second
+
+
+def test_held_out_documents_are_judged_by_their_text(spark, data):
+    docs, labels = table(spark, data, "documents"), table(spark, data, "labels")
+    got = classifier.classify(docs, labels)
+    met = got.where("held_out").join(labels, "doc_id").select("quality", "predicted").collect()
+    assert len(met) > 5 and sum(r["quality"] == r["predicted"] for r in met) / len(met) > 0.8
+    # languages, sources and the labels of held-out documents have no effect
+    other = docs.withColumns({"lang": F.lit("xx"), "source": F.lit("y")})
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    flipped = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert sorted(map(tuple, classifier.classify(other, flipped).collect())) == sorted(map(tuple, got.collect()))
+
+
 def test_folded_scores_are_the_networks():
     texts = pa.array([prose(i, 20 + i) for i in range(12)] + ["", "a a a"])
     samples = classifier.features(texts)

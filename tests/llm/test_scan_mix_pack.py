@@ -49,6 +49,33 @@ def test_threshold_controls_false_discoveries():
     assert 5 <= k < secrets.BINS and secrets.threshold(np.r_[np.full(5, 99.0), np.zeros(secrets.BINS - 5)], 0.05) == secrets.BINS
 
 
+def test_planted_keys_are_found_and_nothing_else(spark, data):
+    """The given documents, of which every one in so many has a key of some encoding in it; thresholds are their own."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").toPandas()
+    plain = {r["doc_id"]: r["n_random"] for r in secrets.digest(secrets.scan(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    rng = random.Random(9)
+    kinds = {"base62": (string.ascii_letters + string.digits, 40), "base32": (string.ascii_uppercase + "234567", 24), "base64url": (string.ascii_letters + string.digits + "-_", 22), "hex": ("0123456789abcdef", 31)}
+    for letters, size in kinds.values():
+        planted = {}
+        for n, i in enumerate(docs["doc_id"]):
+            if n % 3 == 0:
+                key = "".join(rng.choice(letters) for _ in range(size))
+                planted[i] = (len(docs["text"][n]) + 1, len(docs["text"][n]) + 1 + size)
+                docs.loc[n, "marked"] = f"{docs['text'][n]} {key} end"
+            else:
+                docs.loc[n, "marked"] = docs["text"][n]
+        got = secrets.scan(spark.createDataFrame(docs[["doc_id", "marked"]].rename(columns={"marked": "text"}), "doc_id long, text string")).collect()
+        hits = sum(any((x["start"], x["end"]) == planted[r["doc_id"]] for x in r["random"]) for r in got if r["doc_id"] in planted)
+        others = sum(not (r["doc_id"] in planted and (x["start"], x["end"]) == planted[r["doc_id"]]) for r in got for x in r["random"])
+        assert hits >= 0.9 * len(planted) and others <= sum(plain.values()) + 0.06 * len(planted)
+
+
+def test_a_long_text_of_many_spans_takes_linear_time():
+    text = " ".join(f"token={'k' * 8}{i} {'Ab3' * 8}{i:x}" for i in range(40_000))
+    base, found = next(secrets.spans(pa.array([text])))
+    assert len(base) == 40_000 and all(text[a:b].startswith("Ab3") for a, b, *_ in found)
+
+
 def test_scan_of_odd_documents(odd_docs, no_docs):
     got = secrets.digest(secrets.scan(odd_docs)).collect()
     texts = {(r["doc_id"]): r["text"] for r in odd_docs.collect()}
