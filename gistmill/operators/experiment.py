@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from .evaluation import prf
+from .evaluation import prf, reviewed
 from .filters import noise_verdict
+from .outputs import EMPTY
 
 Hook = Callable[[list[str]], list[str]]
 # The configurations compared.
@@ -21,6 +22,11 @@ EXTRACTIONS = ("rule_only", "llm_only", "hybrid")
 EVIDENCE = {"no_evidence": None, "titles_only": 0, "snippet_200": 200, "snippet_800": 800}
 SCORES = ("fact_only", "fact_consistency", "full_weighted")
 CHOSEN = "snippet_200"
+# How a discussion and its context are put to a model.
+TITLE_MARK, CONTENT_MARK = "讨论标题：", "\n\n讨论内容：\n"
+CONTEXT_MARK = "\n\n以下是 held-out 公开讨论中检索到的补充上下文。仅用于帮助理解，不要把上下文中的事实当作当前讨论的事实：\n\n"
+TEXTS, MOODS = ("title", "description", "pain_point", "use_case"), ("sentiment", "emotion")
+RECORD = "struct<title:string,description:string,pain_point:string,use_case:string,sentiment:string,emotion:string>"
 FIELDS = "stage string, fingerprint string, result string, error string, attempts int"
 
 
@@ -184,3 +190,34 @@ def extraction_benchmark(items: DataFrame, store: Store, hook: Hook, configurati
     asked = got.select("id", present.alias("present"), F.nullif("result", F.lit("")).alias("record"), "error")
     none = F.lit(None).cast("string")
     return asked.unionByName(judged.where("noise").select("id", F.lit("no").alias("present"), none.alias("record"), none.alias("error")))
+
+
+def discussion_experiment(items: DataFrame, contexts: DataFrame, gold: DataFrame, store: Store, hook: Hook) -> DataFrame:
+    """(id, configuration, present, fields of a record, error) of each discussion with no context, with one, and reviewed.
+
+    items: id, title, content; contexts: id, context, what retrieval found for a discussion; gold: id, present and the
+    fields. The hook gives a record as JSON, or an empty string where there is no need. Noise is `no` in every
+    configuration and never asked about. Without a context the configurations that take one have an error. rag_hitl is
+    rag as a reviewer with the gold leaves it (see `evaluation.reviewed`), so it asks nothing of its own; a discussion that
+    failed is not reviewed.
+    """
+    noise = noise_verdict(F.col("content"), F.col("title"))
+    judged = items.select("id", "title", "content", (noise["verdict"] == "noise").alias("noise")).join(contexts, "id", "left")
+    plain = F.concat(F.lit(TITLE_MARK), F.coalesce("title", F.lit("")), F.lit(CONTENT_MARK), F.coalesce("content", F.lit("")))
+    found = F.nullif(F.trim(F.coalesce("context", F.lit(""))), F.lit(""))
+    ways = F.array(F.struct(F.lit("no_rag").alias("configuration"), plain.alias("input")), F.struct(F.lit("rag").alias("configuration"), F.concat(plain, F.lit(CONTEXT_MARK), found).alias("input")))
+    each = judged.select("id", "noise", F.inline(ways))
+    got = store.run(each.where("NOT noise AND input IS NOT NULL").select("id", "configuration", "input"), "discussion", hook)
+    record = F.from_json("result", RECORD)
+    said = F.when(F.col("result").isNull(), "error").when(F.col("result") == "", "no").when(record["title"].isNull(), "error").otherwise("yes")
+    asked = got.select("id", "configuration", said.alias("present"), record.alias("r"), F.when(said == "error", F.coalesce("error", F.lit("answer is no record"))).alias("error"))
+    nothing = F.lit(None).cast(RECORD)
+    rest = each.where("noise OR input IS NULL").select("id", "configuration", F.when(F.col("noise"), "no").otherwise("error").alias("present"), nothing.alias("r"), F.when(~F.col("noise"), "no context returned").alias("error"))
+    empty = {n: F.lit(EMPTY.get(n, "")) for n in (*TEXTS, *MOODS)}
+    fields = [F.coalesce(F.col(f"r.{n}"), v).alias(n) for n, v in empty.items()]
+    made = asked.unionByName(rest).select("id", "configuration", "present", *fields, "error")
+    rag = made.where("configuration = 'rag'")
+    edited = reviewed(rag.where("present <> 'error'").drop("configuration", "error"), gold, "id", list(TEXTS), list(MOODS)).drop("edited")
+    failed = rag.where("present = 'error'").withColumn("configuration", F.lit("rag_hitl"))
+    hitl = edited.withColumns({"configuration": F.lit("rag_hitl"), "error": F.lit(None).cast("string")})
+    return made.unionByName(hitl.select(*made.columns)).unionByName(failed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ..operators import phases as H
 from ..operators import retrieval as R
 from ..operators import synthesis as Y
 from ..session import load
+from . import standins as S
 from .registry import SQL, query
 from .texts import STRIP, WS
 
@@ -174,3 +176,24 @@ def batched_claim_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "conversations")
     claims = c.select("conv_id", F.col("turn").alias("claim_id"), F.col("text").alias("quote"))
     return M.check_in_batches(claims, c.select("conv_id", F.col("role").alias("title"), F.col("text").alias("content")), "conv_id", contained).drop("error")
+
+
+def records_with_figures(texts: list[str]) -> list[str]:
+    """A hook: a discussion with a figure states a need, others do not."""
+    return [json.dumps({"title": t.split("\n")[0][:80], "sentiment": "moderate"}) if re.search("[0-9]", t) else "" for t in texts]
+
+
+@query(f"""WITH verdicts AS ({SQL["noise_verdicts"]}), g AS (SELECT doc_id, CASE WHEN min(quality) = 1 THEN 'yes' ELSE 'no' END AS gold FROM labels GROUP BY 1),
+  i AS (SELECT d.doc_id, v.verdict = 'noise' AS noise, regexp_matches(d.text, '[0-9]') AS figure, g.gold FROM documents d JOIN verdicts v USING (doc_id) LEFT JOIN g USING (doc_id)),
+  p AS (SELECT 'no_rag' AS configuration, CASE WHEN noise THEN 'no' WHEN figure THEN 'yes' ELSE 'no' END AS present, gold FROM i UNION ALL SELECT 'rag', CASE WHEN noise THEN 'no' WHEN gold IS NULL THEN 'error' WHEN figure THEN 'yes' ELSE 'no' END, gold FROM i),
+  r AS (SELECT configuration, present FROM p UNION ALL SELECT 'rag_hitl', CASE WHEN present = 'error' THEN present ELSE gold END FROM p WHERE configuration = 'rag' AND (present = 'error' OR gold IS NOT NULL))
+  SELECT configuration, present, count(*) AS n FROM r GROUP BY 1, 2""")
+def discussion_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each configuration says of all documents; those with labels have a context, and labels are the gold."""
+    items = S.needs(spark, sf_dir).select(F.col("doc_id").alias("id"), "title", F.col("body").alias("content"))
+    labelled = load(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("q"))
+    contexts = labelled.select("id", F.lit("labelled by a reader").alias("context"))
+    gold = labelled.select("id", F.when(F.col("q") == 1, "yes").otherwise("no").alias("present"), *(F.lit("").alias(c) for c in (*X.TEXTS, *X.MOODS)))
+    store = X.Store(spark, f"{shared_dir(spark)}/discussions-{uuid.uuid4().hex}")
+    got = X.discussion_experiment(items, contexts, gold, store, records_with_figures)
+    return got.groupBy("configuration", "present").agg(F.count(F.lit(1)).alias("n"))

@@ -165,7 +165,6 @@ def test_extraction_benchmark_asks_about_what_is_no_noise(spark, tmp_path):
 def test_claims_in_batches_survive_every_fault(spark):
     claims = spark.createDataFrame([(1, i, f"quote {i}") for i in range(30)] + [(2, 0, "alone"), (3, 0, None)], "report long, claim_id int, quote string")
     sources = spark.createDataFrame([(1, "t", "x" * 500), (3, None, None)], "report long, title string, content string")
-    seen = []
 
     def of(answer):
         def hook(asks):
@@ -195,4 +194,32 @@ def test_claims_in_batches_survive_every_fault(spark):
     for answer in faults:
         got = {(r["report"], r["claim_id"]): (r["verdict"], r["error"]) for r in M.check_in_batches(claims, sources, "report", of(answer)).collect()}
         assert got[1, 7][0] is None and got[1, 7][1] and all(v == ("supported", None) for k, v in got.items() if k not in ((1, 7), (2, 0)))
-    assert not seen and M.check_in_batches(claims.where("false"), sources, "report", whole).count() == 0
+    assert M.check_in_batches(claims.where("false"), sources, "report", whole).count() == 0
+
+
+def test_discussions_in_three_configurations(spark, tmp_path):
+    long = "the export of large projects fails with a timeout every time it is started from the menu"
+    items = spark.createDataFrame([(1, "Export fails", long), (2, "ok", "thanks"), (3, "Down", long + " boom"), (4, "Praise", long), (5, "Lost", long)], "id long, title string, content string")
+    contexts = spark.createDataFrame([(i, f"context {i}") for i in (1, 2, 3, 4)] + [(5, "  ")], "id long, context string")
+    fields = "title string, description string, pain_point string, use_case string, sentiment string, emotion string"
+    gold = spark.createDataFrame([(1, "yes", "Export breaks", "d", "p", "u", "strong", "angry"), (2, "no", "", "", "", "", "mild", "neutral"), (4, "no", "", "", "", "", "mild", "neutral"), (5, "yes", "x", "", "", "", "mild", "neutral")], f"id long, present string, {fields}")
+    def hook(texts):
+        if any("boom" in t for t in texts):
+            raise ValueError("boom")
+        out = []
+        for t in texts:
+            title = t.split("讨论标题：")[1].split("\n")[0]
+            found = "补充上下文" in t
+            out.append("" if title == "Praise" and not found else json.dumps({"title": title, "description": "with context" if found else "alone", "sentiment": "strong"}))
+        return out
+
+    store = X.Store(spark, f"{tmp_path}/store")
+    got = {(r["id"], r["configuration"]): r for r in X.discussion_experiment(items, contexts, gold, store, hook).collect()}
+    present = {k: r["present"] for k, r in got.items()}
+    assert {k: v for k, v in present.items() if k[1] == "no_rag"} == {(1, "no_rag"): "yes", (2, "no_rag"): "no", (3, "no_rag"): "error", (4, "no_rag"): "no", (5, "no_rag"): "yes"}
+    assert {k: v for k, v in present.items() if k[1] == "rag"} == {(1, "rag"): "yes", (2, "rag"): "no", (3, "rag"): "error", (4, "rag"): "yes", (5, "rag"): "error"}
+    assert {k: v for k, v in present.items() if k[1] == "rag_hitl"} == {(1, "rag_hitl"): "yes", (2, "rag_hitl"): "no", (3, "rag_hitl"): "error", (4, "rag_hitl"): "no", (5, "rag_hitl"): "error"}
+    assert got[1, "rag"]["description"] == "with context" and got[1, "rag_hitl"]["emotion"] == "angry" and got[4, "rag_hitl"]["title"] == ""
+    assert got[5, "rag"]["error"] == "no context returned" and got[3, "rag"]["error"] == "boom"
+    again = X.discussion_experiment(items, contexts, gold, store, lambda texts: 1 / 0)
+    assert {(r["id"], r["configuration"]): r for r in again.collect()} == got
