@@ -1,7 +1,7 @@
 """Quality rules with adaptive thresholds.
 
 Counts per text are made in one pass. What is usual is learnt from the data: per language and source a mergeable
-quantile sketch of each ratio, a histogram over buckets that widen with the value (relative error below 1/16), so that
+quantile sketch of each ratio, a histogram over buckets that widen with the value (relative error below 1/FINE), so that
 sketches add up by bucket and partial sums are made before the shuffle. Every group's sketch is blended with `PRIOR`
 documents' worth of its language's, and that with the whole table's, so that a small group leans on its language and a
 large one on itself, without a size at which the rule changes. Thresholds are fences beyond the outer tenths of the
@@ -26,6 +26,8 @@ SPACE, SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 SYMBOL[list(b"#*$%&|<>")] = True
 WINDOW = 5
+#: Buckets of a sketch for each doubling.
+FINE = 256
 #: So many documents of the language (of the whole table, for a language) are added to each sketch.
 PRIOR = 200
 #: Quantiles of a sketch, and how many times the distance from the middle to the outer ones the fences lie beyond these.
@@ -104,19 +106,19 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bucket(value: Column) -> Column:
-    """Sketch bucket of a whole number from 0: exact below 32, then 16 buckets for each doubling."""
-    shift = F.greatest(F.floor(F.log2(F.greatest(value, F.lit(1)).cast("double"))).cast("int") - 4, F.lit(0))
-    return (shift * 16 + F.call_function("shiftright", value, shift)).cast("int")
+    """Sketch bucket of a whole number from 0: exact below 2 FINE, then FINE buckets for each doubling."""
+    shift = F.greatest(F.floor(F.log2(F.greatest(value, F.lit(1)).cast("double"))).cast("int") - FINE.bit_length() + 1, F.lit(0))
+    return (shift * FINE + F.call_function("shiftright", value, shift)).cast("int")
 
 
 def bucket_top(b: Column) -> Column:
     """The largest number of a bucket."""
-    shift = F.greatest((b / 16).cast("int") - 1, F.lit(0))
-    return F.call_function("shiftleft", (b - shift * 16 + 1).cast("long"), shift) - 1
+    shift = F.greatest((b / FINE).cast("int") - 1, F.lit(0))
+    return F.call_function("shiftleft", (b - shift * FINE + 1).cast("long"), shift) - 1
 
 
 def sketches(measured: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group and ratio, the counts by bucket; a few hundred rows a group however many documents it has."""
+    """Per group and ratio, the counts by bucket; at most FINE rows for each doubling of the values, however many documents a group has."""
     ratios = F.explode(F.create_map(*[x for name in RATIOS for x in (F.lit(name), F.col(name))]))
     return measured.select(*keys, ratios.alias("ratio", "value")).groupBy(*keys, "ratio", bucket(F.col("value")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 

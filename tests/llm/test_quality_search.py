@@ -41,7 +41,7 @@ def test_counts(texts):
 def test_sketch_buckets(spark):
     df = spark.range(0, 100_000, 7).select("id", rules.bucket(F.col("id")).alias("b")).withColumn("top", rules.bucket_top(F.col("b")))
     rows = df.collect()
-    assert all(r["id"] <= r["top"] <= r["id"] * (1 + 1 / 15) + 1 for r in rows) and [r["b"] for r in rows] == sorted(r["b"] for r in rows)
+    assert all(r["id"] <= r["top"] <= r["id"] * (1 + 1 / rules.FINE) + 1 for r in rows) and [r["b"] for r in rows] == sorted(r["b"] for r in rows)
 
 
 def test_rules(spark, odd_docs, no_docs):
@@ -64,7 +64,7 @@ def plain_verdicts(rows, prior):
     parts, names = 10**6, ("word_length", "symbols", "dup_lines", "repeats")
 
     def top(v):
-        shift = max(v.bit_length() - 5, 0)
+        shift = max(v.bit_length() - 9, 0)
         return ((v >> shift) + 1 << shift) - 1
 
     measured = {}
@@ -231,3 +231,9 @@ def test_entry_without_the_subpackage(tmp_path):
             (tmp_path / "gistmill" / p.name).symlink_to(p)
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert q and o and not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_groups_have_fences_of_their_own(spark, data):
+    measured = rules.measure(table(spark, data, "documents")).where("n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words")
+    got = rules.fences(rules.sketches(measured, ["lang", "source"])).select("fence_word_length").collect()
+    assert len({tuple(r[0]) for r in got}) > len(got) / 4
