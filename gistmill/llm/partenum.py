@@ -99,12 +99,12 @@ def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-PROFILE = [("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("sketch", pa.binary()), ("packed", pa.binary())]
-PROFILE_SQL = "doc_id long, n long, low long, high long, sketch binary, packed binary"
+PROFILE = [("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("sketch", pa.binary()), ("mark", pa.binary())]
+PROFILE_SQL = "doc_id long, n long, low long, high long, sketch binary, mark binary"
 
 
 def _profile(size: int, num: int, den: int, buckets: int):
-    """Size, name, sketch and packed text of each document's set, and its signatures packed for their buckets."""
+    """Size, name and sketch of each document's set, its text's mark, and the set's signatures packed for their buckets."""
     names = [n for n, _ in PROFILE] + [f"s_{n}" for n, _ in keys.PACKED]
     kinds = dict(zip(names, (t for _, t in PROFILE + keys.PACKED), strict=True))
 
@@ -128,7 +128,7 @@ def _profile(size: int, num: int, den: int, buckets: int):
                     got = signatures(own, num, den)
                     signed.append(got)
                     owners.append(np.full(len(got), doc, np.int64))
-            yield batch(rows | {"packed": packed_texts(part.column("text"))})
+            yield batch(rows | {"mark": _marks(part.column("text"))})
             if signed:
                 for packed in packer.add(np.concatenate(signed), np.concatenate(owners)):
                     yield batch({f"s_{n}": v for n, v in packed.items()})
@@ -138,6 +138,17 @@ def _profile(size: int, num: int, den: int, buckets: int):
     return run
 
 
+def _marks(texts: pa.Array) -> list[bytes]:
+    """128 bits by which a text is told from others under its id."""
+    return [xxhash.xxh3_128_digest(t or b"") for t in texts.cast(pa.binary()).to_pylist()]
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, mark, packed) of documents."""
+    for part in by_bytes(batches, "text"):
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_marks(part.column("text")), pa.binary()), packed_texts(part.column("text"))], ["id", "mark", "packed"])
+
+
 def _sets(size: int):
     return lambda packed: shingle_sets(pa.array([unpack(x).decode() for x in packed], pa.string()), size)
 
@@ -168,14 +179,17 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     every = profile.where("doc_id is not null and n > 0").distinct().join(classes, ["n", "low", "high"]).select("doc_id", "rep").distinct()
     named = groups.select("key", F.explode("members").alias("doc_id")).join(every, "doc_id").select("key", F.col("rep").alias("id")).distinct()
     named = scratch.cut(named, "named")
-    scratch.drop(groups)
     chosen = ["doc_id", "n", "low", "high"]
-    reps = texts.where("n > 0").join(member.where("doc_id = rep").select(*chosen), chosen, "left_semi").withColumnRenamed("doc_id", "id")
-    met = with_near_sketch(scratch, named, reps.select("id", "n", "sketch").dropDuplicates(["id"]), num, den)
+    stands = texts.where("n > 0").join(member.where("doc_id = rep").select(*chosen), chosen, "left_semi")
+    reps = scratch.cut(stands.select(F.col("doc_id").alias("id"), "n", "sketch", "mark").dropDuplicates(["id"]), "reps")
+    scratch.drop(both, groups)
+    met = with_near_sketch(scratch, named, reps.select("id", "n", "sketch"), num, den)
     scratch.drop(named)
-    wanted = reps.select("id", "packed").join(met.select("id").distinct(), "id", "left_semi")
-    content = scratch.cut(wanted.withColumn("bytes", F.octet_length("packed")).dropDuplicates(["id"]), "content")
-    scratch.drop(both)
+    # only texts that sketches leave together move, and none is written before
+    wanted = reps.join(met.select("id").distinct(), "id", "left_semi").select("id", "mark")
+    texts = plain.where("doc_id is not null").mapInArrow(_packed, "id long, mark binary, packed binary").join(wanted, ["id", "mark"], "left_semi")
+    content = scratch.cut(texts.withColumn("bytes", F.octet_length("packed")).dropDuplicates(["id"]).select("id", "packed", "bytes"), "content")
+    scratch.drop(reps)
     labels = linked(scratch, met, content, _sets(size), num, den)
     scratch.drop(content, met)
     found = member.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
