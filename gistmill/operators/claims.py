@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..kept import dropped, kept
+from .evaluation import fit_kind, scored
 
 CLAIM = r"\d+\.\s*\*\*(.{10,150}?)\*\*"
 
@@ -93,3 +94,23 @@ def seed_clusters(needs: DataFrame, by: str, key: str, title: str) -> DataFrame:
     numbered = placed.join(groups, "by").join(few.unionByName(large), ["by", "seed"], "left")
     cluster = F.when(F.col("rows") <= 3, 0).otherwise(F.coalesce("cluster", F.lit(7)))
     return numbered.select(F.col("by").alias(by), F.col("id").alias(key), cluster.cast("int").alias("cluster"))
+
+
+def opportunities(needs: DataFrame, by: str, key: str, title: str) -> tuple[DataFrame, DataFrame]:
+    """Opportunities of the clusters of two needs and more, and what they contain.
+
+    The first: (by, cluster, title, description, n, score, status), the title that of the first need, up to 300
+    characters, the score as in `evaluation.scored`. The second: edges (source_type, source_id, link_type, target_type,
+    target_id) from each opportunity, named by/cluster, to its needs. Titles are looked at one by one and counted, so a
+    cluster's texts never come together.
+    """
+    placed = kept(seed_clusters(needs, by, key, title), "clusters")
+    joined = placed.join(needs.select(by, key, F.col(title).alias("_title")), [by, key])
+    rows = joined.groupBy(by, "cluster").agg(F.count(F.lit(1)).alias("n"), F.min_by("_title", key).alias("_first"), F.min(fit_kind(F.col("_title"))).alias("_kind")).where("n >= 2")
+    text = F.concat(F.lit("基于 "), F.col("n").cast("string"), F.lit(" 条相关需求聚合"))
+    made = rows.select(by, "cluster", F.left(F.coalesce("_first", F.lit("")), F.lit(300)).alias("title"), text.alias("description"), "n", scored(F.col("_kind"), F.col("n")).alias("score"), F.lit("scored").alias("status"))
+    name = F.concat_ws("/", F.col(by).cast("string"), F.col("cluster").cast("string"))
+    edges = placed.join(rows.select(by, "cluster"), [by, "cluster"]).select(
+        F.lit("opportunity").alias("source_type"), name.alias("source_id"), F.lit("contains").alias("link_type"), F.lit("requirement").alias("target_type"), F.col(key).cast("string").alias("target_id")
+    )
+    return made, edges

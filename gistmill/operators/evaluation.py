@@ -117,17 +117,30 @@ def reviewed(predictions: DataFrame, gold: DataFrame, key: str, text: list[str],
     return j.select(key, *(F.when(e, F.col(f"g_{c}")).otherwise(F.col(f"p_{c}")).alias(c) for c, e in edit.items()), edited.alias("edited"))
 
 
-def heuristic_score(titles: Column, n: Column) -> Column:
-    """struct(suitability, demand, feasibility, freshness, overall) of a cluster from words in its titles."""
-    text = F.lower(titles)
-    has = lambda *words: F.rlike(text, F.lit("|".join(words)))
-    fit = (
-        F.when(has("ios", "android", "mobile"), 50.0)
-        .when(has("kernel", "driver", "firmware"), 20.0)
-        .when(has("cli", "command", "terminal", "shell"), 75.0)
-        .when(has("web", "app", "dashboard", "browser", "ui"), 85.0)
-        .otherwise(60.0)
-    )
+# How suitable a project is by the words in its titles, the first kind that has one.
+FITS = (
+    (50.0, ("ios", "android", "mobile")),
+    (20.0, ("kernel", "driver", "firmware")),
+    (75.0, ("cli", "command", "terminal", "shell")),
+    (85.0, ("web", "app", "dashboard", "browser", "ui")),
+    (60.0, ()),
+)
+
+
+def fit_kind(title: Column) -> Column:
+    """Place in FITS of the first kind that has a word in the title; of several titles the least counts."""
+    text = F.lower(F.coalesce(title, F.lit("")))
+    return F.coalesce(*(F.when(F.rlike(text, F.lit("|".join(words))), F.lit(k)) for k, (_, words) in enumerate(FITS) if words), F.lit(len(FITS) - 1))
+
+
+def scored(kind: Column, n: Column) -> Column:
+    """struct(suitability, demand, feasibility, freshness, overall) of a cluster of n titles of a kind."""
+    fit = F.element_at(F.array(*(F.lit(v) for v, _ in FITS)), (kind + 1).cast("int"))
     demand = F.least(n * 12.0, F.lit(100.0))
     overall = F.round(fit * 0.35 + demand * 0.30 + 70 * 0.20 + 50 * 0.15, 1)
     return F.struct(fit.alias("suitability"), demand.alias("demand"), F.lit(70.0).alias("feasibility"), F.lit(50.0).alias("freshness"), overall.alias("overall"))
+
+
+def heuristic_score(titles: Column, n: Column) -> Column:
+    """`scored` of a cluster whose titles are one text."""
+    return scored(fit_kind(titles), n)

@@ -114,8 +114,9 @@ def extract_claims(reports: DataFrame, key: str, text: str, hook: Callable[[list
     """(key, claim_id, quote, section, start, end, error): claims that the hook quotes from each report, with their places.
 
     An answer counts only whole: a list of at most `most` objects whose quotes are over 5 characters and stand in the
-    report word for word. Otherwise the report has one row with the error, and no claims. Places count characters from
-    0, the first place of a quote. Reports of fewer than 50 characters besides white space are not asked about.
+    report word for word. Otherwise the report has one row with the error, and no claims. A batch that fails is asked
+    again report by report. Places count characters from 0, the first place of a quote. Reports of fewer than 50
+    characters besides white space, and null ones, are not asked about.
     """
 
     def faults(items, body: str) -> str:
@@ -131,17 +132,21 @@ def extract_claims(reports: DataFrame, key: str, text: str, hook: Callable[[list
                 return "claim quote is not in the report"
         return ""
 
+    def said(texts: list[str]) -> list[tuple[list[dict] | None, str]]:
+        try:
+            answers = hook(texts)
+            if len(answers) != len(texts):
+                raise ValueError("number of answers differs")
+            return [(a, "") for a in answers]
+        except Exception as e:  # noqa: BLE001
+            return [(None, str(e) or "hook failed")] if len(texts) == 1 else [x for t in texts for x in said([t])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), batch):
                 part, rows = pdf.iloc[at : at + batch], []
-                try:
-                    said = hook(list(part[text]))
-                except Exception as e:  # noqa: BLE001
-                    rows = [(k, None, None, None, None, str(e) or "hook failed") for k in part[key]]
-                    said = []
-                for k, body, items in zip(part[key], part[text], said, strict=False):
-                    if error := faults(items, body):
+                for k, body, (items, error) in zip(part[key], part[text], said(list(part[text])), strict=True):
+                    if error := error or faults(items, body):
                         rows.append((k, None, None, None, None, error))
                         continue
                     rows += [(k, x["quote"], str(x.get("section", "")), body.find(x["quote"]), body.find(x["quote"]) + len(x["quote"]), "") for x in items]

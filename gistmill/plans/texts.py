@@ -16,7 +16,7 @@ from ..operators import retrieval as R
 from ..operators import windows as W
 from ..session import load
 from . import standins as S
-from .registry import query
+from .registry import SQL, query
 
 OFF_TOPIC = "[" + ", ".join(f"'{w}'" for w in T.OFF_TOPIC) + "]"
 #: White space in the sense of Unicode, for DuckDB's patterns.
@@ -299,3 +299,16 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = load(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", r"\s+")).alias("w"))
     top = words.groupBy("lang").agg(F.expr("approx_top_k(w, 3)").alias("t"))
     return top.select("lang", F.inline("t")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "item")))
+
+
+@query(f"""WITH c AS ({SQL["seed_clusters"]}), j AS (SELECT c.*, p_name FROM c JOIN part USING (p_brand, p_partkey)), o AS (SELECT p_brand, cluster, count(*) AS n, arg_min(p_name, p_partkey) AS title, lower(string_agg(p_name, ' ')) AS t FROM j GROUP BY 1, 2 HAVING count(*) >= 2),
+  v AS (SELECT *, CASE WHEN regexp_matches(t, 'ios|android|mobile') THEN 50.0 WHEN regexp_matches(t, 'kernel|driver|firmware') THEN 20.0 WHEN regexp_matches(t, 'cli|command|terminal|shell') THEN 75.0 WHEN regexp_matches(t, 'web|app|dashboard|browser|ui') THEN 85.0 ELSE 60.0 END AS fit, least(n * 12.0, 100.0) AS demand FROM o)
+  SELECT p_brand, cluster, title, '基于 ' || n || ' 条相关需求聚合' AS description, n, round(CAST(fit AS DOUBLE) * 0.35::DOUBLE + CAST(demand AS DOUBLE) * 0.3::DOUBLE + 14 + 7.5, 1) AS overall FROM v""")
+def opportunity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = C.opportunities(load(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_name")
+    return rows.select("p_brand", "cluster", "title", "description", "n", "score.overall")
+
+
+@query(f"""WITH c AS ({SQL["seed_clusters"]}) SELECT p_brand || '/' || cluster AS source_id, CAST(p_partkey AS VARCHAR) AS target_id FROM c QUALIFY count(*) OVER (PARTITION BY p_brand, cluster) >= 2""")
+def opportunity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.opportunities(load(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_name")[1].select("source_id", "target_id")

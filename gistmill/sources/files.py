@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -65,6 +66,38 @@ def documents(spark: SparkSession, path: str, first: datetime | None = None, las
     return files.mapInPandas(_header, DOCUMENT)
 
 
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, value) of the YAML files below a folder: a row for each leaf, its names joined by dots.
+
+    Numbers, booleans and texts are written as text, lists as JSON, null as null. A file that does not parse, or holds no
+    mapping, has one row with an empty name and its fault as value.
+    """
+
+    def leaves(node: object, name: str) -> Iterator[tuple[str, str | None]]:
+        if isinstance(node, dict) and node:
+            for k, v in node.items():
+                yield from leaves(v, f"{name}.{k}" if name else str(k))
+        else:
+            yield name, None if node is None else json.dumps(node, ensure_ascii=False, default=str) if isinstance(node, list | dict | bool) else str(node)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for pdf in batches:
+            out = []
+            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    got = yaml.safe_load(bytes(content).decode("utf-8-sig"))
+                    found = list(leaves(got, "")) if isinstance(got, dict) else [("", "no mapping")]
+                except (yaml.YAMLError, UnicodeDecodeError) as e:
+                    found = [("", str(e).split("\n")[0])]
+                out += [(p, n, v) for n, v in found]
+            yield pd.DataFrame(out, columns=["path", "name", "value"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{yml,yaml}").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInPandas(run, "path string, name string, value string")
+
+
 def file_counts(spark: SparkSession, folders: dict[str, tuple[str, str]]) -> DataFrame:
     """(name, files): how many files below each named folder fit its pattern; only the listing is read, no contents."""
     counts = None

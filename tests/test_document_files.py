@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gistmill.sources import document_files as D
-from gistmill.sources.files import documents
+from gistmill.sources.files import documents, settings
 
 
 def docs(spark, rows):
@@ -82,3 +82,14 @@ def test_lines_in_order_over_partitions_and_batches(spark, tmp_path):
     D.write_lines_in_order(rows.where("id >= 600"), path, ["id"], 1)
     assert D.finished_batches(path) == [0, 1] and sum(1 for f in D.line_files(path) for _ in open(f)) == 1000
     assert D.line_files(f"{tmp_path}/none") == []
+
+
+def test_settings_of_yaml_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.yaml").write_text("llm:\n  model: x\n  sizes: [1, 2]\n  live: true\nempty: {}\nnone:\nn: 3\n")
+    (tmp_path / "in" / "b.yml").write_text("a: [1\n")
+    (tmp_path / "in" / "c.yaml").write_text("- 1\n")
+    (tmp_path / "in" / "d.txt").write_text("x: 1\n")
+    got = {(r["path"].rsplit("/", 1)[1], r["name"]): r["value"] for r in settings(spark, f"{tmp_path}/in").collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "a.yaml"} == {"llm.model": "x", "llm.sizes": "[1, 2]", "llm.live": "true", "empty": "{}", "none": None, "n": "3"}
+    assert got["c.yaml", ""] == "no mapping" and got["b.yml", ""] and len(got) == 8

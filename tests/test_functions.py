@@ -253,3 +253,14 @@ def test_title_lookup_of_short_and_full_width_titles(spark):
     got = J.by_title(spark.createDataFrame([(t,) for t in [*asked, "file"]], "title string"), spark.createDataFrame(docs, "filename string, title string")).collect()
     assert {r["title"]: (r["tier"], r["filename"]) for r in got} == want | {"file": (2, "d7")}
     assert want["导出"] == (3, "d2") and want["ＡＢＣ－Ｄ"] == (2, "d3") and want["how to use ai"] == (3, "d1") and "zq" not in want
+
+
+def test_a_report_that_the_hook_fails_for_takes_no_other_with_it(spark):
+    def hook(texts):
+        if any("boom" in t for t in texts):
+            raise ValueError("boom")
+        return [[{"quote": t[:20]}] for t in texts]
+
+    df = spark.createDataFrame([(i, f"report {i} " + ("boom " if i == 3 else "fine ") * 12) for i in range(6)], "k long, t string").coalesce(1)
+    got = {r["k"]: r["error"] for r in M.extract_claims(df, "k", "t", hook).collect()}
+    assert got == {i: "boom" if i == 3 else "" for i in range(6)}

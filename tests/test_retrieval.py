@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gistmill.functions import vectors as X
 from gistmill.operators import retrieval as R
 from gistmill.plans import QUERIES
+from gistmill.session import load
 
 
 def made(n, dims=16, seed=3, groups=12):
@@ -96,3 +98,13 @@ def test_queries_without_hits_fall_back_on_words(spark):
     got = R.with_fallback(hits, rows, asked, "id", F.col("title"), F.col("body"), most=2)
     assert sorted((r["query_id"], r["rank"], r["key"], r["score"]) for r in got.collect()) == [("q1", 1, 9, 0.5), ("q2", 1, 1, None), ("q2", 2, 2, None), ("q4", 1, 1, None), ("q4", 2, 2, None)]
     assert rows.select(R.need_link(F.col("title")).alias("l")).where("id = 4").first()["l"] == "[[02-需求池/(a-b)|(a-b)]]"
+
+
+def test_vectors_within_rows_are_those_of_the_shuffled_ones(spark, data):
+    d = load(spark, data, "documents").where("text IS NOT NULL").select("lang", "doc_id", "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    asked = d.groupBy("lang").agg(F.min_by("title", "doc_id").alias("asked"))
+    got = R.nearest_texts(d.select("lang", "doc_id", "text"), "text", asked, "asked", "lang", 20, 0.1)
+    whole = X.hash_embedding(d.withColumn("key", F.struct("lang", "doc_id")), "key", "text").select("key.lang", "key.doc_id", "bucket", "weight")
+    want = X.nearest_sparse(whole, X.hash_embedding(asked, "lang", "asked"), "doc_id", "lang", 20, 0.1)
+    rounded = lambda rows: sorted((r["lang"], r["doc_id"], round(r["score"], 6)) for r in rows.collect())
+    assert rounded(got) == rounded(want) and got.count()
