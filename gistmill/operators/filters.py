@@ -26,7 +26,7 @@ def noise_verdict(content: Column, title: Column) -> Column:
         F.when(F.length(T.strip(both)) < 60, say("noise", F.lit("内容过短 (<60字符)"), 0.95))
         .when(F.length(both) > 50000, say("noise", F.lit("内容过长 (>50000字符)"), 0.85))
         .when(off_topic, say("noise", F.concat(F.lit("包含非技术关键词: "), F.array_join(F.slice(hits, 1, 3), ", ")), 0.90))
-        .when((F.size(lines) > 3) & (F.size(F.array_distinct(lines)) / F.size(lines) < 0.3), say("noise", F.lit("疑似重复/垃圾内容"), 0.85))
+        .when(T.once(lines, lambda x: (F.size(x) > 3) & (F.size(F.array_distinct(x)) / F.size(x) < 0.3)), say("noise", F.lit("疑似重复/垃圾内容"), 0.85))
         .otherwise(say("relevant", F.lit(""), 0.7))
     )
 

@@ -22,19 +22,30 @@ from .prefix import running
 
 Hook = Callable[[list[str]], list[dict | None]]
 # What an extracted record may hold.
+PAIN = re.compile(r"(?i)\b(?:cannot|can't|fails?|slow|broken|missing)\b")
 SENTIMENTS = ("strong", "moderate", "mild")
 EMOTIONS = ("frustrated", "neutral", "hopeful", "angry")
 RECORD = "title string, description string, pain_point string, use_case string, sentiment string, emotion string, confidence double, error string"
 
 
+def _pain(text: str) -> str:
+    """The part between full stops and line ends around the first word of PAIN, empty without one; one look at each character."""
+    found = PAIN.search(text)
+    if not found:
+        return ""
+    start = max(text.rfind(".", 0, found.start()), text.rfind("\n", 0, found.start())) + 1
+    ends = [e for e in (text.find(".", found.end()), text.find("\n", found.end())) if e >= 0]
+    return text[start : min(ends, default=len(text))]
+
+
 def rule_extractor(texts: list[str]) -> list[dict | None]:
     """A record from the text alone: first sentence as title, first 300 characters as description, words as mood."""
     out = []
     for t in texts:
         first = re.split(r"(?<=[.!?。！？])\s|\n", t.strip(), maxsplit=1)[0]
         mood = "strong" if re.search(r"(?i)must|never|broken|!!", t) else "mild" if len(t) < 200 else "moderate"
-        pain = re.search(r"(?i)[^.\n]*\b(?:cannot|can't|fails?|slow|broken|missing)\b[^.\n]*", t)
-        out.append({"title": first[:80], "description": t[:300], "pain_point": pain[0].strip() if pain else "", "use_case": "", "sentiment": mood, "emotion": "frustrated" if pain else "neutral", "confidence": 0.8 if pain else 0.5})
+        pain = _pain(t)
+        out.append({"title": first[:80], "description": t[:300], "pain_point": pain.strip(), "use_case": "", "sentiment": mood, "emotion": "frustrated" if pain else "neutral", "confidence": 0.8 if pain else 0.5})
     return out
 
 
