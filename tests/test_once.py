@@ -4,12 +4,25 @@ import random
 import re
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as T
+from gistmill.operators import experiment as X
 from gistmill.operators import models as M
 
 
+def counting(spark, column):
+    """The column through a function that counts its calls, and the count."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        calls.add(1)
+        return x
+
+    return F.udf(same, "string")(column), calls
+
+
 def test_pain_point_takes_time_in_proportion():
     old = re.compile(r"(?i)[^.\n]*\b(?:cannot|can't|fails?|slow|broken|missing)\b[^.\n]*")
     rng = random.Random(3)
@@ -27,3 +40,28 @@ def test_strip_takes_white_space_of_all_kinds(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in rows.select("t", T.strip(F.col("t")).alias("got"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("want")).collect():
         assert r["got"] == r["want"]
+
+
+def test_a_discussion_is_judged_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"title {i}", f"a discussion of number {i} " * 5) for i in range(20)], "id long, title string, content string")
+    content, calls = counting(spark, F.col("content"))
+    contexts = spark.createDataFrame([(1, "c")], "id long, context string")
+    gold = spark.createDataFrame([(1, "yes", "", "", "", "", "", "")], "id long, present string, " + ", ".join(f"{c} string" for c in (*X.TEXTS, *X.MOODS)))
+    hook = lambda texts: ['{"title": "t"}'] * len(texts)
+    got = X.discussion_experiment(rows.withColumn("content", content), contexts, gold, X.Store(spark, f"{tmp_path}/store"), hook)
+    assert len(got.collect()) == 60 and calls.value == 20
+
+
+def test_claims_of_a_report_are_folded_once(spark, tmp_path):
+    source = "array(named_struct('platform', 'github', 'title', 't', 'content', 'c'))"
+    rows = spark.range(20).selectExpr("cast(id AS string) AS id", "concat('body of number ', id, '. More of 7.') AS report_body", f"{source} AS sources")
+    quote, calls = counting(spark, F.concat(F.lit("quote of "), F.col("id")))
+    rule = F.array(F.struct(quote.alias("quote"), F.lit("s").alias("section")))
+    got = X.verifier_experiment(rows, X.Store(spark, f"{tmp_path}/store"), M.claims_as_json, M.checks_as_json, M.consistency_by_words, rule)
+    assert len(got["extraction"].collect()) == 60 and len(got["evidence"].collect()) == 80 and calls.value == 20
+
+
+def test_inputs_are_taken_a_few_at_a_time():
+    rows = pa.record_batch({"fingerprint": list("abcde"), "input": list("vwxyz")})
+    got = X._asking(lambda inputs: [x.upper() for x in inputs], 2)(iter([rows]))
+    assert [b.to_pydict()["result"] for b in got] == [["V", "W"], ["X", "Y"], ["Z"]]
