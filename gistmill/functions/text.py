@@ -170,8 +170,8 @@ def chunks(text: Column, size: int = 800, overlap: int = 100, separator: str = "
         return F.struct(F.when(full, F.array_append(state["done"], strip(state["open"]))).otherwise(state["done"]).alias("done"), F.when(full, again).otherwise(grown).alias("open"))
 
     end = lambda s: F.when(strip(s["open"]) != "", F.array_append(s["done"], strip(s["open"]))).otherwise(s["done"])
-    made = F.aggregate(parts, start, step, end)
-    return F.when(text == "", F.array().cast("array<string>")).when(F.size(made) == 0, F.array(F.left(text, F.lit(size)))).otherwise(made)
+    made = once(F.aggregate(parts, start, step, end), lambda m: F.when(F.size(m) == 0, F.array(F.left(text, F.lit(size)))).otherwise(m))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(made)
 
 
 def keyword_share(keywords: Column, text: Column) -> Column:

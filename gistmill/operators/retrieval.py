@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -58,37 +58,67 @@ def embedded(rows: DataFrame, text: str, embed: Embedder = hashed_tokens, batch:
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("bucket", IntegerType()), StructField("weight", DoubleType())])))
-def sparse_vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The unit vector of a text's token counts as (bucket, weight) entries: `hash_embedding` within a row."""
+def _counts(text: str | None, known: dict[str, int]) -> Counter:
+    """Tokens of a text by bucket; known: buckets found before."""
+    out: Counter = Counter()
+    text = (text or "").lower()
+    # split() also takes four control characters for white space
+    tokens = SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+    for token, n in Counter(tokens).items():
+        if token:
+            if token not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                known[token] = int.from_bytes(hashlib.sha256(token.encode()).digest()[:2], "big") % DIMENSIONS
+            out[known[token]] += n
+    return out
+
+
+@F.pandas_udf(BinaryType())
+def packed_vector(texts: pd.Series) -> pd.Series:
+    """The unit vector of a text's token counts in buckets (see `hash_embedding`) as doubles, null without tokens."""
     known: dict[str, int] = {}
 
-    def bucket(token: str) -> int:
-        if token not in known:
-            if len(known) > 200_000:
-                known.clear()
-            known[token] = int.from_bytes(hashlib.sha256(token.encode()).digest()[:2], "big") % DIMENSIONS
-        return known[token]
+    def of(text: str | None) -> bytes | None:
+        counts, out = _counts(text, known), np.zeros(DIMENSIONS)
+        norm = sum(n * n for n in counts.values()) ** 0.5
+        for b, n in counts.items():
+            out[b] = n / norm
+        return out.tobytes() if counts else None
+
+    return texts.map(of)
 
-    def of(text: str | None) -> list[dict]:
-        counts = Counter(bucket(t) for t in SPACE.split((text or "").lower()) if t)
+
+@F.pandas_udf(DoubleType())
+def hashed_score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Product of the unit vector of a text's token counts with a packed one; of the vectors only a number leaves the row."""
+    known: dict[str, int] = {}
+    unpacked: dict[bytes, list[float]] = {}
+
+    def of(text: str | None, packed: bytes) -> float:
+        if packed not in unpacked:
+            if len(unpacked) > 1000:
+                unpacked.clear()
+            unpacked[packed] = np.frombuffer(packed).tolist()
+        q, counts, total = unpacked[packed], _counts(text, known), 0.0
         norm = sum(n * n for n in counts.values()) ** 0.5
-        return [{"bucket": b, "weight": n / norm} for b, n in sorted(counts.items())]
+        for b, n in sorted(counts.items()):
+            total += n / norm * q[b]
+        return total
 
-    for series in texts:
-        yield series.map(of)
+    for texts, queries in batches:
+        yield pd.Series([of(t, q) for t, q in zip(texts, queries, strict=True)], dtype="float64")
 
 
 def nearest_texts(rows: DataFrame, text: str, queries: DataFrame, asked: str, by: str, k: int, least: float = 0.0) -> DataFrame:
     """rows with score, the k most similar to the text of their `by`'s query; scores, to nine digits, under `least` go.
 
-    queries: (by, asked), one row for each `by`. A row's vector and product are made within the row, so what is shuffled
-    is the best k of each task and query. Rows that tie are taken in the order of their other columns.
+    queries: (by, asked), one row for each `by`; their vectors, 3 kB each, are broadcast. A row's product is made within
+    the row, so what is shuffled is the best k of each task and query. Rows that tie are taken in the order of their
+    other columns.
     """
-    q = queries.select(by, F.map_from_entries(sparse_vectors(asked)).alias("_q")).where("size(_q) > 0")
-    vectors = rows.withColumn("_v", sparse_vectors(text)).join(q, by)
-    score = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x["weight"] * F.coalesce(F.col("_q")[x["bucket"]], F.lit(0.0)))
-    scored = vectors.withColumn("score", F.round(score, 9)).drop("_v", "_q").where(F.col("score") >= least)
+    q = queries.select(by, packed_vector(asked).alias("_q")).where("_q IS NOT NULL")
+    scored = rows.join(F.broadcast(q), by).withColumn("score", F.round(hashed_score(text, "_q"), 9)).drop("_q").where(F.col("score") >= least)
     nth = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), *(c for c in rows.columns if c != by)))
     return scored.withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")
 

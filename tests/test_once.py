@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gistmill.functions import text as T
 from gistmill.operators import experiment as X
 from gistmill.operators import models as M
+from gistmill.operators import retrieval as R
 
 
 def counting(spark, column):
@@ -65,3 +66,15 @@ def test_inputs_are_taken_a_few_at_a_time():
     rows = pa.record_batch({"fingerprint": list("abcde"), "input": list("vwxyz")})
     got = X._asking(lambda inputs: [x.upper() for x in inputs], 2)(iter([rows]))
     assert [b.to_pydict()["result"] for b in got] == [["V", "W"], ["X", "Y"], ["Z"]]
+
+
+def test_chunks_stay_where_they_are_scored(spark):
+    rows = spark.createDataFrame([(i, "en", "red mill " * i) for i in range(1, 5)], "id long, lang string, chunk string")
+    asked = spark.createDataFrame([("en", "mill"), ("de", "")], "lang string, asked string").groupBy("lang").agg(F.min("asked").alias("asked"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # sizes that the planner cannot tell
+    try:
+        got = R.nearest_texts(rows, "chunk", asked, "asked", "lang", 2)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().sparkPlan().toString()
+        assert [(r["id"], r["score"]) for r in got.orderBy("id").collect()] == [(1, 0.707106781), (2, 0.707106781)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
