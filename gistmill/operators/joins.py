@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..kept import kept
 
 
 def unseen(items: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,30 +45,49 @@ def by_title(asked: DataFrame, docs: DataFrame) -> DataFrame:
     asked = asked.select("title").distinct()
     d = docs.select("filename", F.col("title").alias("doc_title"), T.title_key(F.col("title")).alias("doc_key"))
     q = asked.withColumn("file", T.safe_filename(F.col("title"))).withColumn("key", T.title_key(F.col("title")))
-    same = q.join(d, q["file"] == d["filename"]).select("title", "filename", F.lit(1).alias("tier"))
+    same = q.join(d.select("filename").distinct(), q["file"] == F.col("filename")).select("title", "filename", F.lit(1).alias("tier"))
+    # of documents with one key only the first file name can be the answer
+    d = kept(d.groupBy("doc_key").agg(F.min("filename").alias("filename")).withColumn("doc_id", F.monotonically_increasing_id()), "titles")
     alike = q.join(d, q["key"] == d["doc_key"]).select("title", "filename", F.lit(2).alias("tier"))
     rest = q.join(same.unionByName(alike).select("title").distinct(), "title", "left_anti")
     # a key inside another has all its three-character blocks there, so it is looked for under the one that fewest of the
     # others hold. Keys under three characters are blocks of their own, which meet the empty string, the characters and
     # pairs of characters of the other side
-    at_places = lambda k, n: F.when(F.length(k) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - (n - 1), F.lit(1))), lambda i: F.substring(k, i, F.lit(n)))))
-    few = lambda k: F.flatten(F.array_compact(F.array(F.array(F.lit("")), at_places(k, 1), at_places(k, 2))))
-    left = rest.select("key").distinct().withColumn("at", F.explode(at_places(F.col("key"), 3)))
-    right = d.select("doc_key").distinct().withColumn("at", F.explode(at_places(F.col("doc_key"), 3)))
-    inner = _held(right, "doc_key", left, "key").select("key", "doc_key").unionByName(_held(left, "key", right, "doc_key").select("key", "doc_key")).distinct()
-    near = rest.select("title", "key").join(inner, "key").join(d.select("filename", "doc_key"), "doc_key").select("title", "filename")
-    short_asked = rest.where(F.length("key") < 3).join(d.withColumn("at", F.explode(few(F.col("doc_key")))), F.col("key") == F.col("at")).select("title", "filename")
+    few = lambda k: T.once(F.split(k, ""), lambda c: F.flatten(F.array(F.array(F.lit("")), _blocks(c, 1), _blocks(c, 2))))
+    keys = kept(rest.select("key").distinct().withColumn("key_id", F.monotonically_increasing_id()), "keys")
+    texts, asks = d.select(F.col("doc_id").alias("id"), F.col("doc_key").alias("text")), keys.select(F.col("key_id").alias("id"), F.col("key").alias("text"))
+    inner = _held(asks, texts).toDF("key_id", "doc_id").unionByName(_held(texts, asks).toDF("doc_id", "key_id")).distinct()
+    near = rest.select("title", "key").join(keys, "key").join(inner, "key_id").join(d.select("filename", "doc_id"), "doc_id").select("title", "filename")
+    held = d.select("filename", F.explode(few(F.col("doc_key"))).alias("at")).groupBy("at").agg(F.min("filename").alias("filename"))
+    short_asked = rest.where(F.length("key") < 3).join(held, F.col("key") == F.col("at")).select("title", "filename")
     short_docs = rest.withColumn("at", F.explode(few(F.col("key")))).join(d.where(F.length("doc_key") < 3), F.col("at") == F.col("doc_key")).select("title", "filename")
     near = near.unionByName(short_asked).unionByName(short_docs).withColumn("tier", F.lit(3))
     best = Window.partitionBy("title").orderBy("tier", "filename")
     return same.unionByName(alike).unionByName(near.distinct()).withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
 
 
-def _held(parts: DataFrame, part: str, wholes: DataFrame, whole: str) -> DataFrame:
-    """(part, whole) keys with the one inside the other, from their blocks (key, at)."""
-    sizes = wholes.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
-    rarest = parts.join(sizes, "at", "left").groupBy(part).agg(F.min_by("at", F.coalesce("n", F.lit(0))).alias("at"))
-    return rarest.join(wholes, "at").where(F.contains(whole, F.col(part)))
+def _blocks(chars: Column, n: int) -> Column:
+    """Distinct runs of n characters of an array of characters, none if it is shorter."""
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))), lambda i: F.concat(*(chars[i + k] for k in range(n))))
+    return F.when(F.size(chars) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def _held(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole) ids of texts (id, text) of three characters or more, the one inside the other.
+
+    A part longer than every whole is out at once. Blocks of the wholes that no part can have, by a hash of 20 bits, are
+    dropped where they are made; what moves is ids and blocks, and texts for the pairs that share a rarest block.
+    """
+    at = F.explode(T.once(F.split("text", ""), lambda c: _blocks(c, 3))).alias("at")
+    mark = F.pmod(F.xxhash64("at"), F.lit(1 << 20)).alias("mark")
+    most = wholes.agg(F.max(F.length("text")).alias("most"))
+    small = parts.crossJoin(F.broadcast(most)).where(F.length("text") <= F.col("most")).select("id", at)
+    placed = wholes.select(F.col("id").alias("whole"), at).withColumn("mark", mark).join(F.broadcast(small.select(mark).distinct()), "mark", "left_semi")
+    sizes = placed.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+    rarest = small.join(sizes, "at", "left").groupBy("id").agg(F.min_by("at", F.coalesce("n", F.lit(0))).alias("at"))
+    met = rarest.join(placed, "at").select(F.col("id").alias("part"), "whole")
+    told = met.join(parts.select(F.col("id").alias("part"), F.col("text").alias("_part")), "part").join(wholes.select(F.col("id").alias("whole"), F.col("text").alias("_whole")), "whole")
+    return told.where(F.contains("_whole", F.col("_part"))).select("part", "whole")
 
 
 def held_out(items: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gistmill.functions import text as T
 from gistmill.operators import experiment as X
+from gistmill.operators import joins as J
 from gistmill.operators import models as M
 from gistmill.operators import retrieval as R
 
@@ -78,3 +79,19 @@ def test_chunks_stay_where_they_are_scored(spark):
         assert [(r["id"], r["score"]) for r in got.orderBy("id").collect()] == [(1, 0.707106781), (2, 0.707106781)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_titles_of_any_length_are_looked_up(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeß\U0001f600") for _ in range(rng.randint(1, 4)))
+    docs = [(f"{i:02}.md", " ".join(word() for _ in range(rng.randint(1, 4)))) for i in range(60)] + [("long.md", " ".join(word() for _ in range(60_000)))]
+    asked = [w for _ in range(30) if (w := word())] + ["ab cd e", "nothing at all"]
+    began = time.perf_counter()
+    got = {r["title"]: (r["filename"], r["tier"]) for r in J.by_title(spark.createDataFrame([(a,) for a in asked], "title string"), spark.createDataFrame(docs, "filename string, title string")).collect()}
+    assert time.perf_counter() - began < 60
+    want = {}
+    for a in asked:
+        found = [(2 if a == t else 3, f) for f, t in docs if a == t or a in t or t in a]
+        if found:
+            want[a] = min(found)[::-1]
+    assert got == want
