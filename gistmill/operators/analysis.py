@@ -48,7 +48,9 @@ def asked(rows: DataFrame, key: str, ask: Column, hook: Hook, batch: int = 16) -
                 got = answers(list(part["_ask"]))
                 yield pd.DataFrame({key: part[key].to_numpy(), "answer": [a for a, _ in got], "error": [e for _, e in got]})
 
-    plain = rows.select(key, ask.alias("_ask")).where("_ask IS NOT NULL")
+    # a small file is one task, but its hooks' work is not small: the rows are dealt to all tasks
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = rows.select(key, ask.alias("_ask")).where("_ask IS NOT NULL").repartition(tasks)
     return plain.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, answer string, error string")
 
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as T
+from gistmill.operators import analysis as A
 from gistmill.operators import experiment as X
 from gistmill.operators import joins as J
 from gistmill.operators import models as M
@@ -95,3 +96,9 @@ def test_titles_of_any_length_are_looked_up(spark):
         if found:
             want[a] = min(found)[::-1]
     assert got == want
+
+
+def test_rows_of_one_file_are_asked_in_many_tasks(spark, tmp_path):
+    spark.range(400).selectExpr("concat('o/', id) AS full_name", "'d' AS description", "'l' AS language", "1 AS stars").coalesce(1).write.parquet(f"{tmp_path}/p")
+    got = A.asked(spark.read.parquet(f"{tmp_path}/p"), "full_name", F.col("full_name"), lambda texts: texts)
+    assert got.count() == 400 and got.rdd.getNumPartitions() == 4
