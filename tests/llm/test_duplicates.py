@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -111,6 +113,51 @@ def test_long_text_sets(monkeypatch):
         assert np.array_equal(long, words.shingle_sets(pa.array([text, "other"]), 5)[0])
 
 
+def cpu_seconds(run):
+    def once():
+        began = time.process_time()
+        run()
+        return time.process_time() - began
+
+    return min(once() for _ in range(3))
+
+
+def test_word_hashes_and_sets_make_no_list_of_words_and_no_call_a_text():
+    texts = pa.array([f"{i % 31} one {i % 37} two {i % 41} six" for i in range(50_000)])
+    distinct = pa.array([f"word{i * 7919}" for i in range(100_000)] + ["", "\u00e9", "\u65e5\u672c"])
+    assert hash_strings(distinct).tolist() == [xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()]
+    assert cpu_seconds(lambda: hash_strings(distinct)) < cpu_seconds(distinct.to_pylist)
+    sets = words.shingle_sets(texts, 5)
+    assert cpu_seconds(lambda: words.shingle_sets(texts, 5)) < cpu_seconds(lambda: [np.unique(x) for x in sets])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \t", max_size=25)), max_size=12), st.integers(1, 5))
+def test_sets_of_many_texts_are_those_of_each(texts, size):
+    got = words.shingle_sets(pa.array(texts, pa.string()), size)
+    assert [len(x) for x in got] == [len(shingles(t, size)) for t in texts]
+    assert all(np.array_equal(x, words.shingle_sets(pa.array([t], pa.string()), size)[0]) for x, t in zip(got, texts, strict=True))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(-3, 3), st.integers(0, 3)), max_size=40))
+def test_sorted_keys(rows):
+    got = keys._sorted(*(np.array([r[i] for r in rows], np.int64) for i in range(3)))
+    want = sorted(set(rows))
+    assert list(zip(*(x.tolist() for x in got[:3]), strict=True)) == want
+    first = [i for i, r in enumerate(want) if not i or want[i - 1][0] != r[0]]
+    assert got[3].tolist() == first and got[4].tolist() == np.diff([*first, len(want)]).tolist()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=90), st.integers(1, 60))
+def test_anchors_are_the_last_least_of_each_window(hashes, first_line):
+    n = len(hashes) + 1
+    got = paragraphs.anchors(np.array(hashes, np.uint64), np.repeat([0, 1], [min(first_line, n), max(n - first_line, 0)]), np.array([True, True]))
+    lines = [(0, min(first_line, n)), (min(first_line, n), n)]
+    assert set(got.tolist()) == {max(i for i in range(s, s + 20) if hashes[i] == min(hashes[s : s + 20])) for a, b in lines for s in range(a, b - 20)}
+
+
 def test_join_of_odd_documents(odd_docs, no_docs):
     got = partenum.join(odd_docs, 3, 90, 100).collect()
     sets = {r["doc_id"]: shingles(r["text"], 3) for r in odd_docs.collect() if r["doc_id"] is not None}
