@@ -11,8 +11,9 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from gistmill.llm import keys, linkage, paragraphs, partenum, suffix, words
+from gistmill.llm import common, keys, linkage, paragraphs, partenum, suffix, words
 from gistmill.llm.words import hash_strings, window_hashes
 
 from .conftest import prose
@@ -180,6 +181,52 @@ def test_components(spark):
     assert got == {k: v for k, v in want.items() if k in got} and len(got) >= 110
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(-9, 9), st.integers(-9, 9)).filter(lambda e: e[0] < e[1]), max_size=30), st.integers(1, 12), st.integers(1, 30))
+def test_stars_join_what_the_edges_join(edges, batch, held):
+    batches = [pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in edges[k : k + batch]]) for k in range(0, len(edges), batch)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(linkage, "EDGES", held)
+        got = [list(zip(*(b.column(c).to_pylist() for c in "ab"), strict=True)) for b in linkage._stars(batches)]
+
+    def joined(rows):
+        label = {i: i for e in edges for i in e}
+        for a, b in rows:
+            label = {i: min(label[a], label[b]) if x in (label[a], label[b]) else x for i, x in label.items()}
+        return label
+
+    assert joined([e for rows in got for e in rows]) == joined(edges)
+    assert all(len({b for _, b in rows}) == len(rows) and not {a for a, _ in rows} & {b for _, b in rows} for rows in got)
+
+
+def test_few_edges_are_done_in_a_round(spark):
+    ids = random.Random(4).sample(range(10_000), 500)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long").repartition(3)
+    scratch = common.Scratch(spark, "round")
+    assert {(r["id"], r["component"]) for r in linkage.components(edges, scratch).collect()} == {(i, min(ids)) for i in ids}
+    assert scratch.made <= 5  # tables: the edges and labels, and of one round the parents, labels and edges
+
+
+def test_edges_of_many_tasks_and_turns(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "EDGES", 3)
+    ids = random.Random(5).sample(range(10_000), 300)
+    edges = [(a, b) for part in (ids[:120], ids[120:]) for a, b in zip(part, part[1:], strict=False)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"]: r["component"] for r in linkage.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: min(part) for part in (ids[:120], ids[120:]) for i in part}
+
+
+def test_each_written_table_lets_the_driver_forget_its_plan(spark, monkeypatch):
+    seen, scratch = [], common.Scratch(spark, "kept")
+    monkeypatch.setattr(common, "release", lambda session: seen.append((session, scratch.made)))
+    tables = [scratch.cut(spark.range(100).groupBy((F.col("id") % k).alias("key")).count(), "counts") for k in (2, 3)]
+    assert seen == [(spark, 1), (spark, 2)] and [t.count() for t in tables] == [2, 3]
+
+
+
 def test_shared_keys(spark, monkeypatch):
     rng = np.random.default_rng(2)
     pairs = [(int(k) << 16, int(i)) for k, i in zip(rng.integers(0, 3000, 4000), rng.integers(0, 500, 4000), strict=True)] + [(7 << 40, i) for i in range(300)]
